@@ -68,10 +68,10 @@ def listings(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
         orders = table(spark, sf_dir, "orders")
         rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     if "region" in names:
-        places = table(spark, sf_dir, "supplier").join(
-            table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
-        )
-        rows = rows.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+        # One table at a time: the size of a file is known, that of a join is guessed.
+        supplier, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+        rows = rows.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        rows = rows.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     fields = _fields()
     return rows.select(*[fields[n].alias(n) for n in names])
 

@@ -32,11 +32,16 @@ AGE = X.FeatureSpec(numeric=("car_age",), categorical=(), label=LABEL)
 ALL = X.FeatureSpec(label=LABEL)
 
 
-def vectors(spark, sf, spec):
-    """Key, numbers, label and numeric vector of both sides, written once."""
+def vectors(spark, sf, spec, passes: str = "few"):
+    """Key, numbers, label and numeric vector of both sides.
+
+    Trees and grids pass over the rows many times, so for ``many`` passes the
+    joined columns are written once, in even files.
+    """
     df = car_age(listings(spark, sf, *KEY, "odometer", "year", LABEL))
-    numbers = materialize(X.assemble_numeric(spec).transform(df), "numbers")
-    return X.split_train_test(numbers, key=KEY)
+    if passes == "many":
+        df = materialize(df, "numbers", rebalance=True)
+    return X.split_train_test(X.assemble_numeric(spec).transform(df), key=KEY)
 
 
 # Moments of the train side, and least squares with penalties l1 and l2 on
@@ -104,7 +109,7 @@ TREE_SQL = f"""with {LEAF_SQL} select test.car_age, count(*) n, round(max(p), 2)
 
 
 def _tree(spark, sf, estimator):
-    train, test = vectors(spark, sf, AGE)
+    train, test = vectors(spark, sf, AGE, "many")
     with held(train) as (train,):
         model = M.fit(estimator(LABEL, X.NUMERIC_VECTOR), train)
     scored = M.predict(model, test).groupBy("car_age")
@@ -209,7 +214,7 @@ BOARD_SQL = (
 
 @query("leaderboard", BOARD_SQL)
 def leaderboard(spark, sf):
-    train, test = vectors(spark, sf, AGE)
+    train, test = vectors(spark, sf, AGE, "many")
     estimators = {n: M.REGRESSORS[n](LABEL, X.NUMERIC_VECTOR) for n in (*LINES, *TREES)}
     return E.leaderboard(E.fit_all(estimators, train), test, LABEL, BOARD_DIGITS)
 
@@ -233,7 +238,7 @@ result as (select "regParam", 0.0::double "elasticNetParam", max(case when in_tr
 
 
 def _grid(spark, sf):
-    train, test = vectors(spark, sf, NUMBERS)
+    train, test = vectors(spark, sf, NUMBERS, "many")
     return T.grid_search(M.linear(LABEL, X.NUMERIC_VECTOR), GRID, train, test)
 
 
@@ -292,8 +297,8 @@ def grid_search_boosted(spark, sf):
     return T.grid_search(
         M.gbt(LABEL),
         grid,
-        materialize(fitted.transform(train).select(*columns), "train"),
-        materialize(fitted.transform(test).select(*columns), "test"),
+        materialize(fitted.transform(train).select(*columns), "train", rebalance=True),
+        materialize(fitted.transform(test).select(*columns), "test", rebalance=True),
     )
 
 
@@ -304,7 +309,7 @@ REQUEST = (*KEY, "year", *SCORED.categorical)
 def _scorer(spark, sf, estimator):
     """A pipeline with rare-value lists, saved and read back, and its requests."""
     df = car_age(listings(spark, sf, *REQUEST, LABEL))
-    train, test = X.split_train_test(materialize(df, "requests"), key=KEY)
+    train, test = X.split_train_test(materialize(df, "requests", rebalance=True), key=KEY)
     fitted = S.fit_scorer(train, SCORED, estimator, {"region": 5, "model": 50})
     path = save_model(fitted, new_path(spark, "model"))
     return load_model(path), test.drop(LABEL)

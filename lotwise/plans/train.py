@@ -39,11 +39,13 @@ def train_and_compare(
 ) -> Training:
     """Fit features on the train side, then every named model on its vectors.
 
-    Vectors are written once; each model reads two columns of them.
+    Train vectors are written once, in even files, as trees pass over them many
+    times; the test side is read once, to score all models together.
     """
     train, test = split_train_test(df, share, seed, key)
     features = feature_pipeline(train, spec)
-    train_vectors = materialize(features.transform(train).select(FEATURES, spec.label), "train")
+    vectors = features.transform(train).select(FEATURES, spec.label)
+    train_vectors = materialize(vectors, "train", rebalance=True)
     test_vectors = features.transform(test).select(FEATURES, spec.label)
     models = fit_all({n: REGRESSORS[n](spec.label) for n in names}, train_vectors, parallelism)
     return Training(features, models, leaderboard(models, test_vectors, spec.label, digits))

@@ -37,10 +37,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/lotwise/{app}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table."""
+def materialize(df: DataFrame, label: str = "stage", rebalance: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and return the written table.
+
+    ``rebalance`` shuffles the rows into files of similar size first, which pays
+    when many passes follow: adaptive execution sets their number by size.
+    """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.hint("rebalance") if rebalance else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
