@@ -16,12 +16,14 @@ def read_csv(
     escape: str = '"',
     mode: str = "PERMISSIVE",
     sampling_ratio: float = 1.0,
+    empty_as_null: bool = True,
 ) -> DataFrame:
     """Scan a headed CSV.
 
     Give a ``schema`` for large inputs: inference reads the whole file once
     more. ``multi_line`` accepts line breaks inside quoted free text, but then
-    a file can no longer be split among tasks.
+    a file can no longer be split among tasks. Empty text reads as null;
+    without ``empty_as_null`` only a cell without quotes does.
     """
     reader = (
         spark.read.option("header", True)
@@ -30,6 +32,9 @@ def read_csv(
         .option("escape", escape)
         .option("mode", mode)
     )
+    if not empty_as_null:
+        # Stands for a cell with nothing in it, so that "" is not taken for one.
+        reader = reader.option("nullValue", "\u0000")
     if schema is None:
         reader = reader.option("inferSchema", True).option("samplingRatio", sampling_ratio)
     else:

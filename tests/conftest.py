@@ -6,7 +6,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+for folder in (Path(__file__).resolve().parents[1], Path(__file__).resolve().parent):
+    sys.path.insert(0, str(folder))
 
 from lotwise.session import get_session  # noqa: E402
 
