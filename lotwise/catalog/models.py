@@ -24,7 +24,7 @@ from lotwise.operators import tune as T
 from lotwise.plans.clean import clean_listings
 from lotwise.plans.train import train_and_compare
 from lotwise.sources.models import load_model, save_model
-from lotwise.sources.workspace import held, materialize, new_path
+from lotwise.sources.workspace import materialize, new_path
 
 LABEL = "worth"
 NUMBERS = X.FeatureSpec(numeric=("odometer", "car_age"), categorical=(), label=LABEL)
@@ -32,16 +32,11 @@ AGE = X.FeatureSpec(numeric=("car_age",), categorical=(), label=LABEL)
 ALL = X.FeatureSpec(label=LABEL)
 
 
-def vectors(spark, sf, spec, passes: str = "few"):
-    """Key, numbers, label and numeric vector of both sides.
-
-    Trees and grids pass over the rows many times, so for ``many`` passes the
-    joined columns are written once, in even files.
-    """
+def vectors(spark, sf, spec):
+    """Key, numbers, label and numeric vector of both sides, joined once."""
     df = car_age(listings(spark, sf, *KEY, "odometer", "year", LABEL))
-    if passes == "many":
-        df = materialize(df, "numbers", rebalance=True)
-    return X.split_train_test(X.assemble_numeric(spec).transform(df), key=KEY)
+    numbers = materialize(df, "numbers", rebalance=True)
+    return X.split_train_test(X.assemble_numeric(spec).transform(numbers), key=KEY)
 
 
 # Moments of the train side, and least squares with penalties l1 and l2 on
@@ -109,9 +104,8 @@ TREE_SQL = f"""with {LEAF_SQL} select test.car_age, count(*) n, round(max(p), 2)
 
 
 def _tree(spark, sf, estimator):
-    train, test = vectors(spark, sf, AGE, "many")
-    with held(train) as (train,):
-        model = M.fit(estimator(LABEL, X.NUMERIC_VECTOR), train)
+    train, test = vectors(spark, sf, AGE)
+    model = M.fit(estimator(LABEL, X.NUMERIC_VECTOR), train)
     scored = M.predict(model, test).groupBy("car_age")
     return scored.agg(F.count(F.lit(1)).alias("n"), F.round(F.max("prediction"), 2).alias("prediction"))
 
@@ -214,7 +208,7 @@ BOARD_SQL = (
 
 @query("leaderboard", BOARD_SQL)
 def leaderboard(spark, sf):
-    train, test = vectors(spark, sf, AGE, "many")
+    train, test = vectors(spark, sf, AGE)
     estimators = {n: M.REGRESSORS[n](LABEL, X.NUMERIC_VECTOR) for n in (*LINES, *TREES)}
     return E.leaderboard(E.fit_all(estimators, train), test, LABEL, BOARD_DIGITS)
 
@@ -238,7 +232,7 @@ result as (select "regParam", 0.0::double "elasticNetParam", max(case when in_tr
 
 
 def _grid(spark, sf):
-    train, test = vectors(spark, sf, NUMBERS, "many")
+    train, test = vectors(spark, sf, NUMBERS)
     return T.grid_search(M.linear(LABEL, X.NUMERIC_VECTOR), GRID, train, test)
 
 

@@ -8,7 +8,7 @@ from lotwise.catalog.data import LISTINGS_SQL, listings, table
 from lotwise.catalog.registry import query
 from lotwise.functions.columns import car_age, round_columns
 from lotwise.operators.evaluate import regression_metrics
-from lotwise.operators.profile import top_k_values
+from lotwise.operators.profile import value_tallies
 from lotwise.sources import frames
 from lotwise.sources.csv import read_csv, write_csv
 from lotwise.sources.workspace import new_path
@@ -80,10 +80,9 @@ def request_to_df(spark, sf):
     """A request for the most usual listing."""
     rows = car_age(listings(spark, sf, "odometer", "year"))
     numbers = rows.agg(F.avg("car_age").alias("car_age"), F.avg("odometer").alias("odometer")).first()
-    usual = {
-        c: top_k_values(listings(spark, sf, c).where(F.col(c).isNotNull()), c, 1).first()[0]
-        for c in CATEGORIES
-    }
+    tallies = value_tallies(listings(spark, sf, *CATEGORIES)).where(F.col("value").isNotNull())
+    first = F.min(F.struct((-F.col("count")).alias("n"), "value"))["value"]
+    usual = {r["column_name"]: r["value"] for r in tallies.groupBy("column_name").agg(first.alias("value")).collect()}
     request = frames.request_to_df(spark, **numbers.asDict(), **usual)
     return round_columns(request, {"car_age": 4, "odometer": 4})
 

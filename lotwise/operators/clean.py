@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.columns import car_age, case_when
 from lotwise.functions.predicates import filter_greater, filter_not_equal, filter_open_range
-from lotwise.operators.profile import top_k_values
+from lotwise.operators.profile import DRIVER_VALUES, top_k_values
 from lotwise.operators.quantiles import quantiles
 
 OTHERS = "others"
-# A kept-value list up to this length is sent to every task; a longer one is shuffled.
-BROADCAST_VALUES = 10_000
 
 
 def group_rare_fixed(df: DataFrame, name: str, keep: Sequence, other: str = OTHERS) -> DataFrame:
@@ -30,7 +28,7 @@ def group_rare_topk(df: DataFrame, name: str, k: int, other: str = OTHERS) -> Da
     right side, and adaptive execution splits a hot value on the left.
     """
     kept = top_k_values(df, name, k).select(F.col(name).alias("_kept"))
-    if k <= BROADCAST_VALUES:
+    if k <= DRIVER_VALUES:
         kept = F.broadcast(kept)
     joined = df.join(kept, F.col(name) == F.col("_kept"), "left")
     return joined.select(

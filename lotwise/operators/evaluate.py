@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.columns import round_columns
 from lotwise.operators.models import fit, predict
-from lotwise.sources.workspace import held
 
 LEADERBOARD_DIGITS = {"R2": 2, "Mse": 4, "Mae": 4, "Rmse": 4}
 
@@ -52,14 +51,16 @@ def regression_metrics(
     return df.groupBy(*by).agg(*_scores(label, prediction))
 
 
-def fit_all(estimators: Mapping[str, object], train: DataFrame, parallelism: int = 2) -> dict[str, Model]:
-    """Fit several estimators on one held frame, a few at a time."""
-    needed = {c for e in estimators.values() for c in (e.getFeaturesCol(), e.getLabelCol())}
-    with held(train.select(*sorted(needed))) as (frame,):
-        with ThreadPoolExecutor(max(parallelism, 1)) as pool:
-            run = inheritable_thread_target(frame.sparkSession)(fit)
-            models = pool.map(lambda e: run(e, frame), estimators.values())
-            return dict(zip(estimators, models))
+def fit_all(estimators: Mapping[str, object], train: DataFrame, parallelism: int = 4) -> dict[str, Model]:
+    """Fit several estimators on one frame, a few at a time.
+
+    Each of them passes over ``train`` several times: give it a written table
+    or a held frame. Trees keep their own binned copy while they are fitted.
+    """
+    with ThreadPoolExecutor(max(parallelism, 1)) as pool:
+        run = inheritable_thread_target(train.sparkSession)(fit)
+        models = pool.map(lambda e: run(e, train), estimators.values())
+        return dict(zip(estimators, models))
 
 
 def leaderboard(

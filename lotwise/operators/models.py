@@ -12,6 +12,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame
 
 from lotwise.operators.features import FEATURES
+from lotwise.sources.workspace import shared_folder
 
 SEED = 23
 # The boosted-tree setting chosen after tuning.
@@ -63,7 +64,11 @@ REGRESSORS = {
 
 
 def fit(estimator, train: DataFrame) -> Model:
-    """Fit on the two columns the estimator reads, so nothing else is held."""
+    """Fit on the two columns the estimator reads, so nothing else is carried.
+
+    Boosting cuts its growing lineage in the shared folder every few trees.
+    """
+    shared_folder(train.sparkSession)
     columns = (estimator.getFeaturesCol(), estimator.getLabelCol())
     return estimator.fit(train.select(*columns))
 

@@ -11,11 +11,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotwise.functions.columns import percent_of_total
 from lotwise.operators.rows import limit_n, sort_desc
 
 
+# The longest list of values that is brought to the driver or sent to every task.
+DRIVER_VALUES = 10_000
+
+
 def _nulls(name: str) -> Column:
     return F.count_if(F.col(name).isNull())
 
@@ -37,6 +42,28 @@ def null_percentages(df: DataFrame, names: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _as_text(field: T.StructField) -> Column:
+    """Text that is equal for equal values of the column and only for those."""
+    value = F.col(field.name)
+    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        value = value + F.lit(0.0)  # makes 0.0 of -0.0
+    elif isinstance(field.dataType, T.TimestampType):
+        value = F.unix_micros(value)
+    return value.cast("string").alias(field.name)
+
+
+def value_tallies(df: DataFrame, names: Sequence[str] = ()) -> DataFrame:
+    """Rows per value of many columns in one pass: column, value as text, count.
+
+    Rows are short (a column and a value), and equal ones combine in each task,
+    so the shuffle carries each distinct value of a column once per task.
+    """
+    names = list(names or df.columns)
+    texts = df.select(*[_as_text(df.schema[n]) for n in names])
+    long = texts.unpivot([], names, "column_name", "value")
+    return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
+
+
 def distinct_counts(df: DataFrame, names: Sequence[str] = (), rsd: float | None = None) -> DataFrame:
     """Non-null distinct values per column, one row per column.
 
@@ -44,11 +71,19 @@ def distinct_counts(df: DataFrame, names: Sequence[str] = (), rsd: float | None
     switches to sketches of that relative error, which shuffle only sketches.
     """
     names = list(names or df.columns)
-    counted = [
-        (F.count_distinct(F.col(n)) if rsd is None else F.approx_count_distinct(n, rsd)).alias(n)
-        for n in names
-    ]
-    return df.agg(*counted).unpivot([], names, "column_name", "distinct_values")
+    if rsd is not None:
+        counted = df.agg(*[F.approx_count_distinct(n, rsd).alias(n) for n in names])
+        return counted.unpivot([], names, "column_name", "distinct_values")
+    found = value_tallies(df, names).groupBy("column_name").agg(F.count("value").alias("distinct_values"))
+    return _every_column(df, names).join(found, "column_name", "left").select(
+        "column_name", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values")
+    )
+
+
+def _every_column(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row per column name, also where the table has no rows to show it."""
+    one = df.sparkSession.range(1)
+    return one.select(F.explode(F.array(*[F.lit(n) for n in names])).alias("column_name"))
 
 
 def unique_values_count(df: DataFrame, name: str) -> DataFrame:
@@ -67,10 +102,13 @@ def top_k_values(df: DataFrame, name: str, k: int) -> DataFrame:
 
 
 def top_values(df: DataFrame, limits: dict[str, int]) -> dict[str, list]:
-    """The most frequent values of several columns, from one job.
+    """The most frequent values of several text columns, from one job.
 
-    Brings at most ``sum(limits.values())`` values to the driver.
+    They come to the driver, so each list is limited to ``DRIVER_VALUES``.
     """
+    long = {name: k for name, k in limits.items() if k > DRIVER_VALUES}
+    if long:
+        raise ValueError(f"lists over {DRIVER_VALUES} values stay in Spark, see group_rare_topk: {long}")
     parts = [
         top_k_values(df, name, k).select(
             F.lit(name).alias("name"), F.col(name).cast("string").alias("value"), "count"
@@ -87,21 +125,20 @@ def top_values(df: DataFrame, limits: dict[str, int]) -> dict[str, list]:
     return found
 
 
-def column_audit(df: DataFrame, names: Sequence[str] = (), rsd: float | None = None) -> DataFrame:
+def column_audit(df: DataFrame, names: Sequence[str] = ()) -> DataFrame:
     """Nulls, non-nulls, rows and unique values (null counts as one) per column."""
     names = list(names or df.columns)
-    measures = [F.count(F.lit(1)).alias("_rows")]
-    for i, n in enumerate(names):
-        distinct = F.count_distinct(F.col(n)) if rsd is None else F.approx_count_distinct(n, rsd)
-        measures += [_nulls(n).alias(f"_nulls_{i}"), distinct.alias(f"_distinct_{i}")]
-    facts = [
-        F.struct(
-            F.lit(n).alias("column_name"),
-            F.col(f"_nulls_{i}").alias("null_records"),
-            (F.col("_rows") - F.col(f"_nulls_{i}")).alias("not_null_records"),
-            F.col("_rows").alias("total_count"),
-            (F.col(f"_distinct_{i}") + (F.col(f"_nulls_{i}") > 0).cast("int")).alias("unique_records"),
-        )
-        for i, n in enumerate(names)
-    ]
-    return df.agg(*measures).select(F.inline(F.array(*facts)))
+    is_null = F.col("value").isNull()
+    found = value_tallies(df, names).groupBy("column_name").agg(
+        F.sum(F.when(is_null, F.col("count"))).alias("null_records"),
+        F.sum("count").alias("total_count"),
+        F.count(F.lit(1)).alias("unique_records"),
+    )
+    nulls, total = (F.coalesce(c, F.lit(0)) for c in ("null_records", "total_count"))
+    return _every_column(df, names).join(found, "column_name", "left").select(
+        "column_name",
+        nulls.alias("null_records"),
+        (total - nulls).alias("not_null_records"),
+        total.alias("total_count"),
+        F.coalesce("unique_records", F.lit(0)).alias("unique_records"),
+    )

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from lotwise.operators.evaluate import leaderboard
 from lotwise.operators.models import fit
-from lotwise.sources.workspace import held
 
 # The 80 points of the full boosted-tree grid.
 FULL_GRID = {
@@ -43,8 +42,8 @@ def _boosted_group(estimator: GBTRegressor, iterations, fixed: dict, train, test
     is the start of the one with more.
     """
     label = estimator.getLabelCol()
-    model = fit(estimator.copy({getattr(estimator, p): v for p, v in
-                                {**fixed, "maxIter": max(iterations)}.items()}), train)
+    longest = {**fixed, "maxIter": max(iterations)}
+    model = fit(estimator.copy({getattr(estimator, p): v for p, v in longest.items()}), train)
     on_train, on_test = _r2_by_iteration(model, train, label), _r2_by_iteration(model, test, label)
     return [
         {"maxIter": i, **fixed, "train_r2": on_train[i - 1], "test_r2": on_test[i - 1]}
@@ -64,25 +63,26 @@ def grid_search(
     grid: Mapping[str, Sequence],
     train: DataFrame,
     test: DataFrame,
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Train and test R² of every grid point; each model is fitted once.
 
-    Both sides are held for the whole search. A boosted estimator is fitted
-    once per setting of the other parameters, not once per ``maxIter``.
+    A boosted estimator is fitted once per setting of the other parameters, not
+    once per ``maxIter``. Every fit passes over both sides: give written tables
+    or held frames.
     """
     names = list(grid)
     columns = (estimator.getFeaturesCol(), estimator.getLabelCol())
     boosted = isinstance(estimator, GBTRegressor) and "maxIter" in grid
-    with held(train.select(*columns), test.select(*columns)) as (train, test):
-        if boosted:
-            others = grid_points({n: v for n, v in grid.items() if n != "maxIter"})
-            jobs = [(_boosted_group, estimator, list(grid["maxIter"]), o, train, test) for o in others]
-        else:
-            jobs = [(_single_point, estimator, p, train, test) for p in grid_points(grid)]
-        with ThreadPoolExecutor(max(parallelism, 1)) as pool:
-            run = inheritable_thread_target(train.sparkSession)(lambda work, *args: work(*args))
-            found = [row for rows in pool.map(lambda job: run(*job), jobs) for row in rows]
+    train, test = train.select(*columns), test.select(*columns)
+    if boosted:
+        others = grid_points({n: v for n, v in grid.items() if n != "maxIter"})
+        jobs = [(_boosted_group, estimator, list(grid["maxIter"]), o, train, test) for o in others]
+    else:
+        jobs = [(_single_point, estimator, p, train, test) for p in grid_points(grid)]
+    with ThreadPoolExecutor(max(parallelism, 1)) as pool:
+        run = inheritable_thread_target(train.sparkSession)(lambda work, *args: work(*args))
+        found = [row for rows in pool.map(lambda job: run(*job), jobs) for row in rows]
     order = {tuple(p[n] for n in names): i for i, p in enumerate(grid_points(grid))}
     found.sort(key=lambda row: order[tuple(row[n] for n in names)])
     kinds = {n: "int" if all(isinstance(v, int) for v in grid[n]) else "double" for n in names}

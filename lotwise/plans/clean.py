@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.columns import car_age, cast_int, drop_columns
-from lotwise.operators.clean import group_rare_fixed, quantile_fence
-from lotwise.operators.profile import top_values
+from lotwise.operators.clean import group_rare_fixed, group_rare_topk, quantile_fence
+from lotwise.operators.profile import DRIVER_VALUES, top_values
 from lotwise.operators.rows import drop_duplicates, drop_null_rows, fill_unknown
 from lotwise.sources.workspace import materialize
 
@@ -71,8 +71,11 @@ def _inside(name: str, fence: tuple[float, float] | None) -> Column:
 
 
 def learn(base: DataFrame, spec: CleanSpec) -> Learned:
-    """Kept values from the deduplicated rows, each fence from the rows before it."""
-    kept = top_values(base, dict(spec.top_k))
+    """Kept values from the deduplicated rows, each fence from the rows before it.
+
+    Lists too long for the driver are left to ``group_rare_topk``.
+    """
+    kept = top_values(base, {n: k for n, k in spec.top_k.items() if k <= DRIVER_VALUES})
     filters = [("transmission in list", F.col("transmission").isin(list(spec.transmissions)))]
     rows = cast_int(base, *INT_COLUMNS).where(filters[0][1])
     for name in ("price", "odometer"):
@@ -98,8 +101,11 @@ def clean_listings(df: DataFrame, spec: CleanSpec = CleanSpec()) -> DataFrame:
     base = materialize(fill_unknown(drop_null_rows(distinct, spec.required)), "listings")
     learned = learn(base, spec)
     rows = group_rare_fixed(base, "manufacturer", spec.makes)
-    for name, values in learned.kept.items():
-        rows = group_rare_fixed(rows, name, values)
+    for name, k in spec.top_k.items():
+        if name in learned.kept:
+            rows = group_rare_fixed(rows, name, learned.kept[name])
+        else:
+            rows = group_rare_topk(rows, name, k)
     rows = cast_int(rows, *INT_COLUMNS)
     for _, keep in learned.filters:
         rows = rows.where(keep)

@@ -34,7 +34,7 @@ def train_and_compare(
     share: float = 0.8,
     seed: int = 23,
     key: Sequence[str] = (),
-    parallelism: int = 2,
+    parallelism: int = 4,
     digits=LEADERBOARD_DIGITS,
 ) -> Training:
     """Fit features on the train side, then every named model on its vectors.

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotwise.operators import clean as C
+from lotwise.operators import profile
 from lotwise.operators.profile import null_counts
+from lotwise.plans import clean as job
 from lotwise.plans.clean import CleanSpec, clean_listings, step_counts
 
 EXACT = CleanSpec(rel_err=0.0)
@@ -124,13 +126,23 @@ def test_null_takes_a_place_among_the_frequent(spark):
 def test_a_long_list_is_joined_without_broadcast_hint(spark, monkeypatch):
     df = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', cast(id % 400 as string)) as v", "id")
     small = C.group_rare_topk(df, "v", 100)
-    monkeypatch.setattr(C, "BROADCAST_VALUES", 10)
+    monkeypatch.setattr(C, "DRIVER_VALUES", 10)
     large = C.group_rare_topk(df, "v", 100)
     assert "broadcast" in small._jdf.queryExecution().analyzed().toString()
     assert "broadcast" not in large._jdf.queryExecution().analyzed().toString()
     assert small.exceptAll(large).isEmpty() and small.count() == large.count() == 3000
 
 
+def test_long_lists_in_the_job_stay_in_spark(spark, vehicles, monkeypatch):
+    short = clean_listings(vehicles, EXACT)
+    monkeypatch.setattr(profile, "DRIVER_VALUES", 10)
+    with pytest.raises(ValueError, match="group_rare_topk"):
+        profile.top_values(vehicles, {"model": 50})
+    monkeypatch.setattr(job, "DRIVER_VALUES", 10)
+    long = clean_listings(vehicles, EXACT)
+    assert long.exceptAll(short).isEmpty() and short.exceptAll(long).isEmpty()
+
+
 def test_trims(spark):
     df = spark.range(1, 101).selectExpr("cast(id as int) as price", "cast(id as int) as odometer")
     outliers = df.unionAll(spark.createDataFrame([(10000, 50), (50, 10000)], df.schema))
