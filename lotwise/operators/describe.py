@@ -17,13 +17,14 @@ def histogram(df: DataFrame, name: str, bins: int) -> DataFrame:
     The last bin is closed, empty bins are listed with 0, and a column with a
     single value gets bins of total width 1 around it.
     """
-    seen = df.select(F.col(name).cast("double").alias("x")).where(F.col("x").isNotNull())
-    ends = F.when(F.min("x") == F.max("x"), F.lit(0.5)).otherwise(F.lit(0.0))
-    span = seen.agg(
-        F.struct((F.min("x") - ends).alias("lo"), (F.max("x") + ends).alias("hi")).alias("span")
-    ).scalar()
-    lo, width = span["lo"], (span["hi"] - span["lo"]) / F.lit(bins)
-    position = F.least(F.floor((F.col("x") - lo) / width).cast("int"), F.lit(bins - 1))
+    x = F.col("x")
+    seen = df.select(F.col(name).cast("double").alias("x")).where(x.isNotNull() & ~F.isnan(x))
+    low, high = seen.agg(F.min("x"), F.max("x")).first()
+    if low is not None and low == high:
+        low, high = low - 0.5, high + 0.5
+    lo, hi = (F.lit(end).cast("double") for end in (low, high))
+    width = (hi - lo) / F.lit(bins)
+    position = F.least(F.floor((x - lo) / width).cast("int"), F.lit(bins - 1))
     counted = seen.groupBy(position.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(counted, "bin", "left").select(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,16 +74,17 @@ def distinct_counts(df: DataFrame, names: Sequence[str] = (), rsd: float | None
     if rsd is not None:
         counted = df.agg(*[F.approx_count_distinct(n, rsd).alias(n) for n in names])
         return counted.unpivot([], names, "column_name", "distinct_values")
-    found = value_tallies(df, names).groupBy("column_name").agg(F.count("value").alias("distinct_values"))
-    return _every_column(df, names).join(found, "column_name", "left").select(
-        "column_name", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values")
-    )
+    return _per_column(df, names).agg(F.count_if(F.col("value").isNotNull()).alias("distinct_values"))
 
 
-def _every_column(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row per column name, also where the table has no rows to show it."""
-    one = df.sparkSession.range(1)
-    return one.select(F.explode(F.array(*[F.lit(n) for n in names])).alias("column_name"))
+def _per_column(df: DataFrame, names: Sequence[str]) -> GroupedData:
+    """Tallies grouped by column, with a null of count 0 for columns of an empty table."""
+    every = df.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(n) for n in names])).alias("column_name"),
+        F.lit(None).cast("string").alias("value"),
+        F.lit(0).cast("bigint").alias("count"),
+    )
+    return value_tallies(df, names).unionAll(every).groupBy("column_name")
 
 
 def unique_values_count(df: DataFrame, name: str) -> DataFrame:
@@ -128,17 +129,10 @@ def top_values(df: DataFrame, limits: dict[str, int]) -> dict[str, list]:
 def column_audit(df: DataFrame, names: Sequence[str] = ()) -> DataFrame:
     """Nulls, non-nulls, rows and unique values (null counts as one) per column."""
     names = list(names or df.columns)
-    is_null = F.col("value").isNull()
-    found = value_tallies(df, names).groupBy("column_name").agg(
-        F.sum(F.when(is_null, F.col("count"))).alias("null_records"),
-        F.sum("count").alias("total_count"),
-        F.count(F.lit(1)).alias("unique_records"),
-    )
-    nulls, total = (F.coalesce(c, F.lit(0)) for c in ("null_records", "total_count"))
-    return _every_column(df, names).join(found, "column_name", "left").select(
-        "column_name",
+    nulls = F.sum(F.when(F.col("value").isNull(), F.col("count")).otherwise(0))
+    return _per_column(df, names).agg(
         nulls.alias("null_records"),
-        (total - nulls).alias("not_null_records"),
-        total.alias("total_count"),
-        F.coalesce("unique_records", F.lit(0)).alias("unique_records"),
+        (F.sum("count") - nulls).alias("not_null_records"),
+        F.sum("count").alias("total_count"),
+        F.count_if(F.col("count") > 0).alias("unique_records"),
     )

@@ -71,13 +71,13 @@ def _inside(name: str, fence: tuple[float, float] | None) -> Column:
 
 
 def learn(base: DataFrame, spec: CleanSpec) -> Learned:
-    """Kept values from the deduplicated rows, each fence from the rows before it.
+    """Kept values from the deduplicated, cast rows, each fence from the rows before it.
 
     Lists too long for the driver are left to ``group_rare_topk``.
     """
     kept = top_values(base, {n: k for n, k in spec.top_k.items() if k <= DRIVER_VALUES})
     filters = [("transmission in list", F.col("transmission").isin(list(spec.transmissions)))]
-    rows = cast_int(base, *INT_COLUMNS).where(filters[0][1])
+    rows = base.where(filters[0][1])
     for name in ("price", "odometer"):
         f: Fence = getattr(spec, name)
         fence = quantile_fence(rows, name, f.lower, f.lo, f.hi, f.factor, spec.rel_err)
@@ -93,12 +93,14 @@ def learn(base: DataFrame, spec: CleanSpec) -> Learned:
 def clean_listings(df: DataFrame, spec: CleanSpec = CleanSpec()) -> DataFrame:
     """Drop, deduplicate, null rules, rare values, casts, fences, age.
 
-    The raw table is read once. The deduplicated rows are written as a narrow
-    table; lists and fences are learned from single columns of it, and the
-    result is one filtered scan of it.
+    The raw table is read once. The deduplicated rows are written as a narrow,
+    typed table; lists and fences are learned from single columns of it, and the
+    result is one scan of it that the fences are pushed down to. Casting ahead
+    of the rare-value and list rules changes nothing: they read other columns.
     """
     distinct = drop_duplicates(drop_columns(df, *spec.drop))
-    base = materialize(fill_unknown(drop_null_rows(distinct, spec.required)), "listings")
+    filled = fill_unknown(drop_null_rows(distinct, spec.required))
+    base = materialize(cast_int(filled, *INT_COLUMNS), "listings")
     learned = learn(base, spec)
     rows = group_rare_fixed(base, "manufacturer", spec.makes)
     for name, k in spec.top_k.items():
@@ -106,7 +108,6 @@ def clean_listings(df: DataFrame, spec: CleanSpec = CleanSpec()) -> DataFrame:
             rows = group_rare_fixed(rows, name, learned.kept[name])
         else:
             rows = group_rare_topk(rows, name, k)
-    rows = cast_int(rows, *INT_COLUMNS)
     for _, keep in learned.filters:
         rows = rows.where(keep)
     return car_age(rows, spec.reference_year)
@@ -120,13 +121,12 @@ def step_counts(df: DataFrame, spec: CleanSpec = CleanSpec()) -> DataFrame:
     """
     narrow = drop_columns(df, *spec.drop)
     counted = narrow.groupBy(*narrow.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    counted = materialize(counted, "steps")
-    learned = learn(fill_unknown(drop_null_rows(counted, spec.required)), spec)
-
     present = F.lit(True)
     for name in spec.required:
         present = present & F.col(name).isNotNull()
-    rows = cast_int(fill_unknown(counted.withColumn("_present", present)), *INT_COLUMNS)
+    filled = fill_unknown(counted.withColumn("_present", present))
+    rows = materialize(cast_int(filled, *INT_COLUMNS), "steps")
+    learned = learn(rows.where("_present"), spec)
     steps = [
         ("read", F.coalesce(F.sum("_copies"), F.lit(0))),
         ("distinct", F.count(F.lit(1))),
