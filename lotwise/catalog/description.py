@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lotwise.catalog.data import LISTINGS_SQL, listings, table
 from lotwise.catalog.registry import query
-from lotwise.functions.columns import round_columns
+from lotwise.functions.columns import car_age, round_columns
 from lotwise.operators import describe
 from lotwise.operators.clean import trim_price
 
@@ -67,12 +67,17 @@ ROUNDED = {"mean": 4, "ci_low": 4, "ci_high": 4}
 
 
 def _mean_query(by: str):
-    @query(f"group_mean_ci_{by}", f"with {LISTINGS_SQL} {_means_sql(by)}")
+    source = """, listings_ as (select *, cast(2024 - "year" as int) car_age from listings) """
+    sql = _means_sql(by).replace("from listings", "from listings_")
+
+    @query(f"group_mean_ci_{by}", f"with {LISTINGS_SQL}{source}{sql}")
     def build(spark, sf):
-        return round_columns(describe.group_mean_ci(listings(spark, sf, "price", by), by), ROUNDED)
+        df = listings(spark, sf, "price", "year" if by == "car_age" else by)
+        df = car_age(df) if by == "car_age" else df
+        return round_columns(describe.group_mean_ci(df, by), ROUNDED)
 
 
-for _by in ("odometer", "fuel", "condition"):
+for _by in ("odometer", "fuel", "condition", "car_age"):
     _mean_query(_by)
 
 

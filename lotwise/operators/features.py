@@ -95,23 +95,23 @@ def one_hot(spec: FeatureSpec) -> OneHotEncoder:
 
 def assemble_features(spec: FeatureSpec) -> VectorAssembler:
     """Scaled numbers and one-hot slots in one vector."""
+    scaled = [SCALED_VECTOR] if spec.numeric else []
     return VectorAssembler(
-        inputCols=[SCALED_VECTOR, *spec.one_hot_columns], outputCol=FEATURES, handleInvalid="keep"
+        inputCols=scaled + spec.one_hot_columns, outputCol=FEATURES, handleInvalid="keep"
     )
 
 
 def feature_stages(spec: FeatureSpec) -> list[Estimator | Transformer]:
-    return [
-        assemble_numeric(spec),
-        standard_scale(),
-        string_index(spec),
-        one_hot(spec),
-        assemble_features(spec),
-    ]
+    """The stages in order; those for a kind of column the spec lacks are left out."""
+    numeric = [assemble_numeric(spec), standard_scale()] if spec.numeric else []
+    categorical = [string_index(spec), one_hot(spec)] if spec.categorical else []
+    return [*numeric, *categorical, assemble_features(spec)]
 
 
 def check_levels(df: DataFrame, names: Sequence[str], limit: int = MAX_LEVELS) -> None:
     """Refuse columns with more values than an index on the driver should hold."""
+    if not names:
+        return
     seen = df.agg(*[F.approx_count_distinct(n).alias(n) for n in names]).first().asDict()
     wide = {n: v for n, v in seen.items() if v > limit}
     if wide:

@@ -69,3 +69,9 @@ def test_levels_are_checked_before_indexing(rows):
     X.check_levels(rows, ["c"], limit=3)
     with pytest.raises(ValueError, match="group rare values first"):
         X.check_levels(rows, ["c", "id"], limit=100)
+
+
+def test_only_numbers_or_only_categories(rows):
+    for spec, size in ((X.FeatureSpec(("a", "b"), (), "y"), 2), (X.FeatureSpec((), ("c",), "y"), 3)):
+        vector = X.feature_pipeline(rows, spec).transform(rows).select(X.FEATURES).first()[0]
+        assert vector.size == size
