@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.catalog.registry import Build
@@ -29,10 +29,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = F.col("secret_spans")
     base = F.filter(spans, lambda s: s["rank"] < len(secrets.BASE))
-    counts = [
-        F.size(F.filter(spans, lambda s, rank=rank: s["rank"] == rank)).cast("long").alias(f"n_{rule.kind}")
-        for rank, rule in enumerate(secrets.BASE)
-    ]
+
+    def count(rank: int) -> Column:
+        return F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
+
+    counts = [count(rank).alias(f"n_{rule.kind}") for rank, rule in enumerate(secrets.BASE)]
     return secrets.scan(docs).select(
         "doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(spans).alias("spans")
     )
