@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.catalog.registry import Build
-from lotwise.llm import bpe, quality, secrets, sharding, url_filter
+from lotwise.llm import bpe, chunks, quality, secrets, sharding, templates, url_filter
 from lotwise.llm.common import table
 
 QUERIES: dict[str, Build] = {}
@@ -45,6 +45,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_benchmark_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return templates.matches(docs, table(spark, sf_dir, "benchmark")).drop("row")
+
+
 @query("op6_sharding")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents"))
@@ -61,6 +67,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, path, public_tokenizers.PATTERN, digests=True)
 
 
+@query("op9_substring_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.report(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
+
+
 _HOST = r"translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's')"
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
