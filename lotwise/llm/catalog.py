@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.catalog.registry import Build
-from lotwise.llm import bpe, chunks, quality, secrets, sharding, templates, url_filter
+from lotwise.llm import bpe, chunks, minhash, quality, secrets, sharding, templates, url_filter
 from lotwise.llm.common import table
 
 QUERIES: dict[str, Build] = {}
@@ -51,6 +51,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.matches(docs, table(spark, sf_dir, "benchmark")).drop("row")
 
 
+@query("op4_minhash_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, words=2).drop("row")
+
+
 @query("op6_sharding")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents"))
