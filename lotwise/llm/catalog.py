@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.catalog.registry import Build
-from lotwise.llm import bpe, chunks, minhash, quality, secrets, sharding, templates, url_filter
+from lotwise.llm import bpe, chunks, minhash, quality, secrets, sharding, suffix_dedup, templates, url_filter
 from lotwise.llm.common import table
 
 QUERIES: dict[str, Build] = {}
@@ -57,6 +57,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, words=2).drop("row")
 
 
+@query("op5_suffix_array_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.strip(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query("op6_sharding")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents"))
