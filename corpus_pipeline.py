@@ -1,13 +1,65 @@
-"""The text operators in a row: from raw documents to token ids."""
+"""The text operators in a row: from raw documents to token ids.
+
+Every stage works on all that the one before kept, and its table is written to
+the cluster's shared folder, so a lost executor costs a re-read of files.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lotwise.llm import bpe, minhash, quality, secrets, templates
+from lotwise.llm.common import table
+from lotwise.sources.workspace import materialize
+
+#: Words of a shingle when near copies are looked for.
+SHINGLE = 5
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the plain rules and have enough content."""
+    return quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return minhash.dedup(docs, words=SHINGLE)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return templates.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mask and ``n_chars`` counted anew."""
+    masked = secrets.redact(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_chars, n_tokens and token_ids of every document."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode(docs, path, public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mask_secrets", mask_secrets),
+    ("encode", encode),
+]
 
-STAGES: list = []
+#: SQL has no conditional random field and no BPE: the stages are tested against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of a folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
     return docs

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.catalog.registry import Build
-from lotwise.llm import bpe, chunks, minhash, quality, secrets, sharding, suffix_dedup, templates, url_filter
+from lotwise.llm import bpe, chunks, html, minhash, quality, secrets, sharding, suffix_dedup, templates, url_filter
 from lotwise.llm.common import table
 
 QUERIES: dict[str, Build] = {}
@@ -74,6 +74,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_html_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query("op8_byte_level_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
