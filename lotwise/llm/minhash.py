@@ -11,8 +11,9 @@ two full shingle sets.
 Candidates are not all pairs of a band's bucket. Documents with equal sets are
 one class. In a few rounds every class is compared with one centre, and links
 join components; what then still shares a bucket with another component is
-compared in blocks of bounded size on sketches, and those that may be similar
-on full sets. No pair that shares a bucket and lies in two components is left out.
+compared in blocks of bounded size: on sketches, and those that may be similar
+on full sets. No pair that shares a bucket and lies in two components is left out,
+and only links leave a block.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ BINS = BANDS * ROWS
 ROUNDS = 3
 #: Documents whose full sets, or sketches, meet in one task.
 BLOCK = 256
-#: Sketches that agree on less than this are no link: at 0.8 that is over six deviations away.
-ESTIMATE = 0.55
+#: Sketches that agree on less than this are no link: at 0.8 that is almost five deviations away.
+ESTIMATE = 0.65
 PIECE = 2 << 20
 
 _SEEDS = mix64(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -123,18 +124,18 @@ def sketched(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text
 
 
 def _sketches(texts: DataFrame, words: int) -> DataFrame:
-    """Rows (node, n_shingles, bins) of (node, text): 32 bits of each coordinate."""
+    """Rows (node, text, n_shingles, bins) of (node, text): 32 bits of each coordinate."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, PIECE):
             sets = [shingles(value, words) for value in batch.column("text").to_pylist()]
             bins = [(mix64(sketch(s)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array(map(len, sets), pa.int64()), pa.array(bins, pa.binary())],
-                names=["node", "n_shingles", "bins"],
+                [batch.column("node"), batch.column("text"), pa.array(map(len, sets), pa.int64()), pa.array(bins, pa.binary())],
+                names=["node", "text", "n_shingles", "bins"],
             )
 
-    return texts.mapInArrow(work, "node long, n_shingles long, bins binary")
+    return texts.mapInArrow(work, "node long, text string, n_shingles long, bins binary")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -181,14 +182,16 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (band, node, component, main, held) of buckets with two components or more.
+    """Rows (place, band, node, component, main, held, others) of buckets with two components or more.
 
-    ``main`` is the component with the most members there, ``held`` the number of members.
+    ``main`` is the component with the most members there, ``held`` the number of
+    members and ``others`` the number outside it; ``place`` is the band's number.
     """
     known = materialize(members.join(labels, "node"), "members")
     sizes = known.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     buckets = sizes.groupBy("band").agg(
-        F.count(F.lit(1)).alias("parts"), F.sum("n").alias("held"), F.max_by("component", F.struct("n", "component")).alias("main")
+        F.count(F.lit(1)).alias("parts"), F.sum("n").alias("held"), F.max_by("component", F.struct("n", "component")).alias("main"),
+        (F.sum("n") - F.max("n")).alias("others"),
     )
     return known.join(materialize(buckets.where("parts > 1").drop("parts"), "buckets"), "band")
 
@@ -204,36 +207,56 @@ def _centre_pairs(open_: DataFrame, round_: int) -> DataFrame:
     return best.select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _block_pairs(open_: DataFrame, sketches: DataFrame) -> DataFrame:
-    """All pairs of a bucket in two components whose sketches may be similar.
+def _block_links(open_: DataFrame, sketches: DataFrame, words: int) -> DataFrame:
+    """Links between two components of a bucket, enough of them to join all that are linked.
 
-    Members are dealt into blocks. Those outside the main component visit every
-    block and are compared with its members, so no task has more than a block and
-    its visitors.
+    Members are dealt into blocks, and so are those outside the main component,
+    which visit every block; a task has one block of each. A pair is looked at in
+    the first band it shares, and on full sets if the sketches may be similar.
+    ``sketches`` has (node, text, n_shingles, bins).
     """
-    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", "band"), blocks).cast("int")
-    home = open_.select("band", "node", "component", own.alias("block"), F.lit(False).alias("visits"))
+    deal = lambda n, seed: (F.ceil(F.col(n) / BLOCK).cast("int"), F.pmod(F.xxhash64("node", "band", F.lit(seed)), F.ceil(F.col(n) / BLOCK)).cast("int"))
+    blocks, block = deal("held", 0)
+    groups, group_ = deal("others", 1)
+    kept = ["place", "band", "node", "component"]
+    home = open_.select(*kept, block.alias("block"), F.explode(F.sequence(F.lit(0), groups - 1)).alias("group"), F.lit(False).alias("visits"))
     visits = open_.where("component <> main").select(
-        "band", "node", "component", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("visits")
+        *kept, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), group_.alias("group"), F.lit(True).alias("visits")
     )
     met = home.union(visits).join(sketches, "node")
 
     def work(group: pa.Table) -> pa.Table:
         node, component, size = (group.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
+        place = group.column("place")[0].as_py()
         bins = np.frombuffer(b"".join(group.column("bins").to_pylist()), np.uint32).reshape(-1, BINS)
         visiting = np.array(group.column("visits").to_pylist())
+        texts = group.column("text")
         home = np.flatnonzero(~visiting)
+        component = component.copy()
+        sets: dict[int, set[int]] = {}
+
+        def set_of(i: int) -> set[int]:
+            if node[i] not in sets:
+                sets[node[i]] = set(shingles(texts[i].as_py(), words).tolist())
+            return sets[node[i]]
+
         left, right = [], []
-        for i in np.flatnonzero(visiting):
+        for i in np.flatnonzero(visiting).tolist():
             at = home[component[home] != component[i]]
             at = at[100 * np.minimum(size[at], size[i]) >= PERCENT * np.maximum(size[at], size[i])]
-            at = at[(bins[at] == bins[i]).mean(1) >= ESTIMATE]
-            left += [min(node[i], x) for x in node[at]]
-            right += [max(node[i], x) for x in node[at]]
+            equal = bins[at] == bins[i]
+            at = at[(equal.mean(1) >= ESTIMATE) & ~equal[:, : place * ROWS].reshape(len(at), place, ROWS).all(2).any(1)]
+            for j in at.tolist():
+                if component[j] == component[i]:
+                    continue
+                shared = len(set_of(i) & set_of(j))
+                if 100 * shared >= PERCENT * (int(size[i]) + int(size[j]) - shared):
+                    left.append(node[i])
+                    right.append(node[j])
+                    component[component == component[j]] = component[i]
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    return met.groupBy("band", "block").applyInArrow(work, "a long, b long").distinct()
+    return met.groupBy("band", "block", "group").applyInArrow(work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,7 +273,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text:
         found.where(F.col("high").isNotNull()).groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")),
         "classes",
     )
-    members = classes.where(F.col("node").isNotNull()).select("node", F.explode("bands").alias("band"))
+    members = classes.where(F.col("node").isNotNull()).select("node", F.posexplode("bands").alias("place", "band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     members = materialize(members.join(materialize(shared, "bands"), "band"), "members")
     nodes = materialize(members.select("node").distinct(), "nodes")
@@ -263,8 +286,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text:
         labels = _joined(labels, confirmed(pairs, texts, words))
     open_ = materialize(_open_buckets(members, labels), "open")
     left = texts.join(open_.select("node").distinct(), "node", "left_semi")
-    pairs = materialize(_block_pairs(open_, materialize(_sketches(left, words), "sketches")), "candidates")
-    labels = _joined(labels, confirmed(pairs, texts, words))
+    labels = _joined(labels, _block_links(open_, materialize(_sketches(left, words), "sketches"), words))
     named = classes.select("high", "low", "node").join(labels, "node", "left").select(
         "high", "low", F.coalesce("component", "node").alias("component_id")
     )
