@@ -2,7 +2,7 @@
 
 Documents are taken in blocks of bounded size. In each, a suffix array by
 two-stage sorting and its adjacent common prefixes find the strings that repeat
-within the block. Of what is left, every string goes by its least 16-byte hash
+within the block. Of what is left, every string goes by its least 12-byte hash
 (its minimizer) to a bucket, as part of a run of strings with the same one; there the
 strings of different blocks meet and a suffix array finds the rest. A passage
 that very many documents have leaves each block once, so no bucket grows with
@@ -26,12 +26,12 @@ from lotwise.sources.workspace import materialize
 #: Bytes of a string that counts.
 WIDTH = 50
 #: Bytes a minimizer is hashed over, and how many of those a string has.
-GRAM = 16
+GRAM = 12
 GRAMS = WIDTH - GRAM + 1
 #: Bytes sorted at a time, in a block of documents and in a part of a bucket.
 BLOCK = 4 << 20
 #: Bytes of text for each bucket, and the least number of buckets.
-BUCKET = 16 << 20
+BUCKET = 4 << 20
 BUCKETS = 64
 
 SPANS = "doc_id long, row long, starts binary"
@@ -58,7 +58,7 @@ def minimizers(data: np.ndarray) -> np.ndarray:
     """For each place the least hash of a gram in the string that starts there."""
     words = _words(data, WIDTH)
     n = len(data)
-    h = mix64(words[:n]) * np.uint64(0x9E3779B97F4A7C15) ^ mix64(words[8 : n + 8] + np.uint64(1))
+    h = words[:n].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ words[GRAM - 8 : n + GRAM - 8].astype(np.uint64)
     h = np.concatenate([mix64(h), np.full(GRAMS, np.iinfo(np.uint64).max, np.uint64)])
     width = 1
     while 2 * width <= GRAMS:
@@ -67,6 +67,18 @@ def minimizers(data: np.ndarray) -> np.ndarray:
     return np.minimum(h[:n], h[GRAMS - width : n + GRAMS - width])
 
 
+def _first_minimizers(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The minimizers of the strings at ``starts`` alone, some at a time."""
+    out = np.empty(len(starts), np.uint64)
+    words = _words(data, WIDTH)
+    steps = np.arange(GRAMS)
+    for a in range(0, len(starts), 1 << 14):
+        at = starts[a : a + (1 << 14), None] + steps
+        h = words[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ words[at + GRAM - 8].astype(np.uint64)
+        out[a : a + (1 << 14)] = mix64(h).min(1)
+    return out
+
+
 def _runs(places: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last index of each run of adjoining places that agree in ``same``."""
     if not len(places):
@@ -150,9 +162,15 @@ class _Block:
         for a, b in zip(cuts, [*cuts[1:], len(place)]):
             f, count = first[a:b], last[a:b] - first[a:b] + 1
             of = part[f]
-            fields = [np.array([b - a]), ids[of], rows[of], inside[f], count, key[a:b].view(np.int64)]
+            # Numbers as they are small: parts by their first run, places by their distance.
+            new = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            fields = [
+                np.array([b - a, len(new)], "<i8"), ids[of[new]], rows[of[new]], offset[of[new]],
+                np.diff(np.append(new, b - a)).astype("<i4"),
+                (starts[f] - base[of]).astype("<i4"), count.astype("<i4"),
+            ]
             content = data[_expand(starts[f], count + WIDTH - 1)]
-            out.append(pack(b"".join([*(x.astype("<i8").tobytes() for x in fields), content.tobytes()])))
+            out.append(pack(b"".join([*(x.tobytes() for x in fields), content.tobytes()])))
         nulls = [pa.nulls(len(out), t) for t in (pa.int64(), pa.int64(), pa.binary())]
         yield pa.RecordBatch.from_arrays(
             [pa.array(place[cuts], pa.int32()), *nulls, pa.array(out, pa.binary())],
@@ -165,19 +183,24 @@ def _meet(payloads: list[bytes]) -> pa.RecordBatch:
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    fields: list[list[np.ndarray]] = [[] for _ in range(5)]
+    fields: list[list[np.ndarray]] = [[] for _ in range(4)]
     contents = []
     for payload in payloads:
         raw = unpack(payload)
-        n = int(np.frombuffer(raw, "<i8", 1)[0])
-        numbers = np.frombuffer(raw, "<i8", 5 * n, 8).reshape(5, n)
-        for kept, values in zip(fields, numbers):
+        n, parts = np.frombuffer(raw, "<i8", 2).tolist()
+        about = np.frombuffer(raw, "<i8", 3 * parts, 16).reshape(3, parts)
+        small = np.frombuffer(raw, "<i4", parts + 2 * n, 16 + 24 * parts).astype(np.int64)
+        ids, rows, offset = (np.repeat(x, small[:parts]) for x in about)
+        for kept, values in zip(fields, (ids, rows, offset + small[parts : parts + n], small[parts + n :])):
             kept.append(values)
-        contents.append(np.frombuffer(raw, np.uint8, offset=8 + 40 * n))
-    ids, rows, inside, count, key = (np.concatenate(x) for x in fields)
+        contents.append(np.frombuffer(raw, np.uint8, offset=16 + 28 * parts + 8 * n))
+    ids, rows, inside, count = (np.concatenate(x) for x in fields)
     content = np.concatenate(contents)
+    del contents
     lengths = count + WIDTH - 1
     base = np.cumsum(lengths) - lengths
+    # All strings of a run have one minimizer: that of the first.
+    key = _first_minimizers(content, base)
     order = np.lexsort((ids, key))
     new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
     group = np.cumsum(new) - 1
