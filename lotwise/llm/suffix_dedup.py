@@ -67,18 +67,6 @@ def minimizers(data: np.ndarray) -> np.ndarray:
     return np.minimum(h[:n], h[GRAMS - width : n + GRAMS - width])
 
 
-def _first_minimizers(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The minimizers of the strings at ``starts`` alone, some at a time."""
-    out = np.empty(len(starts), np.uint64)
-    words = _words(data, WIDTH)
-    steps = np.arange(GRAMS)
-    for a in range(0, len(starts), 1 << 14):
-        at = starts[a : a + (1 << 14), None] + steps
-        h = words[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ words[at + GRAM - 8].astype(np.uint64)
-        out[a : a + (1 << 14)] = mix64(h).min(1)
-    return out
-
-
 def _runs(places: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last index of each run of adjoining places that agree in ``same``."""
     if not len(places):
@@ -167,7 +155,7 @@ class _Block:
             fields = [
                 np.array([b - a, len(new)], "<i8"), ids[of[new]], rows[of[new]], offset[of[new]],
                 np.diff(np.append(new, b - a)).astype("<i4"),
-                (starts[f] - base[of]).astype("<i4"), count.astype("<i4"),
+                (starts[f] - base[of]).astype("<i4"), count.astype("<i4"), (key[a:b] >> np.uint64(32)).astype("<u4"),
             ]
             content = data[_expand(starts[f], count + WIDTH - 1)]
             out.append(pack(b"".join([*(x.tobytes() for x in fields), content.tobytes()])))
@@ -183,24 +171,22 @@ def _meet(payloads: list[bytes]) -> pa.RecordBatch:
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    fields: list[list[np.ndarray]] = [[] for _ in range(4)]
+    fields: list[list[np.ndarray]] = [[] for _ in range(5)]
     contents = []
     for payload in payloads:
         raw = unpack(payload)
         n, parts = np.frombuffer(raw, "<i8", 2).tolist()
         about = np.frombuffer(raw, "<i8", 3 * parts, 16).reshape(3, parts)
-        small = np.frombuffer(raw, "<i4", parts + 2 * n, 16 + 24 * parts).astype(np.int64)
+        small = np.frombuffer(raw, "<i4", parts + 3 * n, 16 + 24 * parts).astype(np.int64)
         ids, rows, offset = (np.repeat(x, small[:parts]) for x in about)
-        for kept, values in zip(fields, (ids, rows, offset + small[parts : parts + n], small[parts + n :])):
+        for kept, values in zip(fields, (ids, rows, offset + small[parts : parts + n], small[parts + n : parts + 2 * n], small[parts + 2 * n :])):
             kept.append(values)
-        contents.append(np.frombuffer(raw, np.uint8, offset=16 + 28 * parts + 8 * n))
-    ids, rows, inside, count = (np.concatenate(x) for x in fields)
+        contents.append(np.frombuffer(raw, np.uint8, offset=16 + 28 * parts + 12 * n))
+    ids, rows, inside, count, key = (np.concatenate(x) for x in fields)
     content = np.concatenate(contents)
     del contents
     lengths = count + WIDTH - 1
     base = np.cumsum(lengths) - lengths
-    # All strings of a run have one minimizer: that of the first.
-    key = _first_minimizers(content, base)
     order = np.lexsort((ids, key))
     new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
     group = np.cumsum(new) - 1
