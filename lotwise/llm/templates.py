@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm.common import mix64, pieces
+from lotwise.sources.workspace import materialize
 
 #: Tokens of a window, and how many of them must be plain words for it to ask for anything.
 WINDOW = 8
@@ -186,7 +187,8 @@ def matches(
     met = found.join(asked, "h")
     pair = F.explode_outer(F.array_distinct(F.arrays_zip("item_slots", "slots"))).alias("pair")
     by_shift = ["key", "row", "item_id", "shift"]
-    met = met.withColumn("shift", F.col("at") - F.col("item_at"))
+    # Read twice below: written, so that the corpus is gone through once.
+    met = materialize(met.withColumn("shift", F.col("at") - F.col("item_at")), "met")
     values = met.select(*by_shift, pair).where(F.col("pair").isNotNull()).groupBy(*by_shift, F.col("pair.item_slots").alias("given")).agg(
         F.count_distinct("pair.slots").alias("put"), F.min("pair.slots").alias("value")
     )
