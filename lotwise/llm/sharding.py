@@ -32,12 +32,12 @@ def first_map(slots: int = SLOTS, shards: int = SHARDS) -> Map:
     return {slot: slot % shards for slot in range(slots)}
 
 
-def rebalance(current: Map, sizes: dict[int, int], shards: int) -> Map:
+def rebalance(current: Map, sizes: dict[int, int], shards: int, into: int | None = None) -> Map:
     """The next version: slots moved from the fullest to the emptiest shard.
 
     Each move takes the slot nearest to half the gap; it ends when no move makes
-    the gap smaller. With as many shards as before, few slots move; a new shard
-    starts empty and so only takes.
+    the gap smaller. With ``into``, slots move to that shard alone, as when one is
+    added.
     """
     edited = dict(current)
     load = [0] * shards
@@ -49,7 +49,7 @@ def rebalance(current: Map, sizes: dict[int, int], shards: int) -> Map:
             held[shard].append((size, slot))
     for _ in range(len(edited) * 4):
         high = max(range(shards), key=lambda s: (load[s], -s))
-        low = min(range(shards), key=lambda s: (load[s], s))
+        low = min(range(shards), key=lambda s: (load[s], s)) if into is None else into
         gap = load[high] - load[low]
         movable = [x for x in held[high] if x[0] < gap]
         if not movable:
