@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.columns import car_age, case_when
 from lotwise.functions.predicates import filter_greater, filter_not_equal, filter_open_range
-from lotwise.operators.profile import DRIVER_VALUES, top_k_values
+from lotwise.operators.profile import top_k_values
 from lotwise.operators.quantiles import quantiles
 
 OTHERS = "others"
@@ -23,13 +23,16 @@ def group_rare_fixed(df: DataFrame, name: str, keep: Sequence, other: str = OTHE
 def group_rare_topk(df: DataFrame, name: str, k: int, other: str = OTHERS) -> DataFrame:
     """Keep the ``k`` most frequent values, the rest becomes ``other``.
 
-    The list holds at most ``k`` rows and is joined back, so it is broadcast
-    while ``k`` is small. Beyond that each kept value is still one row of the
-    right side, and adaptive execution splits a hot value on the left.
+    ``df`` is read twice, once for one column. The list holds at most ``k`` rows
+    and is joined back: Spark broadcasts it below its threshold, and beyond that
+    adaptive execution splits a hot value on the left.
     """
-    kept = top_k_values(df, name, k).select(F.col(name).alias("_kept"))
-    if k <= DRIVER_VALUES:
-        kept = F.broadcast(kept)
+    return keep_listed(df, name, top_k_values(df, name, k), other)
+
+
+def keep_listed(df: DataFrame, name: str, listed: DataFrame, other: str = OTHERS) -> DataFrame:
+    """Keep the values of the column ``name`` of ``listed``, each there once; the rest becomes ``other``."""
+    kept = listed.select(F.col(name).alias("_kept"))
     joined = df.join(kept, F.col(name) == F.col("_kept"), "left")
     return joined.select(
         *[

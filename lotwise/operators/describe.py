@@ -15,10 +15,11 @@ def histogram(df: DataFrame, name: str, bins: int) -> DataFrame:
     """Rows in each of ``bins`` equal-width bins from minimum to maximum.
 
     The last bin is closed, empty bins are listed with 0, and a column with a
-    single value gets bins of total width 1 around it.
+    single value gets bins of total width 1 around it. Nulls, NaN and infinite
+    values are left out.
     """
     x = F.col("x")
-    seen = df.select(F.col(name).cast("double").alias("x")).where(x.isNotNull() & ~F.isnan(x))
+    seen = df.select(F.col(name).cast("double").alias("x")).where(F.abs(x) < float("inf"))
     low, high = seen.agg(F.min("x"), F.max("x")).first()
     if low is not None and low == high:
         low, high = low - 0.5, high + 0.5
@@ -36,9 +37,9 @@ def histogram(df: DataFrame, name: str, bins: int) -> DataFrame:
 
 
 def box_stats(df: DataFrame, name: str, whisker: float = 1.5, rel_err: float = 0.0) -> DataFrame:
-    """Quartiles, whiskers (last values within ``whisker`` ranges) and outliers."""
+    """Quartiles, whiskers (last values within ``whisker`` ranges) and outliers; NaN counts as null."""
     q1, median, q3 = quantiles(df, name, [0.25, 0.5, 0.75], rel_err, interpolate=rel_err <= 0)
-    x = F.col(name).cast("double")
+    x = F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
     quartiles = [F.lit(v).cast("double").alias(c) for v, c in ((q1, "q1"), (median, "median"), (q3, "q3"))]
     reach = F.lit(None if q1 is None else whisker * (q3 - q1)).cast("double")
     low_end, high_end = F.lit(q1).cast("double") - reach, F.lit(q3).cast("double") + reach

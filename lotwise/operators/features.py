@@ -7,17 +7,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.columns import hash_text
+from lotwise.operators.profile import value_tallies
 
 NUMERIC_VECTOR = "numerical_feature_vector"
 SCALED_VECTOR = "scaled_numerical_feature_vector"
 FEATURES = "final_feature_vector"
-# The fitted index of a column lives on the driver and in every task.
-MAX_LEVELS = 100_000
 
 
 @dataclass(frozen=True)
@@ -78,14 +77,32 @@ def standard_scale() -> StandardScaler:
     )
 
 
-def string_index(spec: FeatureSpec) -> StringIndexer:
+class TallyIndexer(Estimator):
+    """Fits a ``StringIndexerModel`` for each column from tallies of all columns at once.
+
+    Counts are combined in the tasks and shuffled by value, so no task merges
+    the values of a whole table; the driver gets the levels, as the model does.
+    """
+
+    def __init__(self, names: Sequence[str], outputs: Sequence[str]):
+        super().__init__()
+        self.names, self.outputs = list(names), list(outputs)
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        texts = dataset.select(*[F.col(n).cast("string") for n in self.names])
+        tallies = value_tallies(texts, self.names).where(F.col("value").isNotNull())
+        levels: dict[str, list[str]] = {n: [] for n in self.names}
+        for row in tallies.orderBy("column_name", F.desc("count"), "value").collect():
+            levels[row["column_name"]].append(row["value"])
+        return PipelineModel([
+            StringIndexerModel.from_labels(levels[n], inputCol=n, outputCol=o, handleInvalid="keep")
+            for n, o in zip(self.names, self.outputs)
+        ])
+
+
+def string_index(spec: FeatureSpec) -> TallyIndexer:
     """Index by falling frequency, equal counts by value; unseen and null last."""
-    return StringIndexer(
-        inputCols=list(spec.categorical),
-        outputCols=spec.index_columns,
-        handleInvalid="keep",
-        stringOrderType="frequencyDesc",
-    )
+    return TallyIndexer(spec.categorical, spec.index_columns)
 
 
 def one_hot(spec: FeatureSpec) -> OneHotEncoder:
@@ -108,17 +125,6 @@ def feature_stages(spec: FeatureSpec) -> list[Estimator | Transformer]:
     return [*numeric, *categorical, assemble_features(spec)]
 
 
-def check_levels(df: DataFrame, names: Sequence[str], limit: int = MAX_LEVELS) -> None:
-    """Refuse columns with more values than an index on the driver should hold."""
-    if not names:
-        return
-    seen = df.agg(*[F.approx_count_distinct(n).alias(n) for n in names]).first().asDict()
-    wide = {n: v for n, v in seen.items() if v > limit}
-    if wide:
-        raise ValueError(f"group rare values first, over {limit} levels in {wide}")
-
-
 def feature_pipeline(train: DataFrame, spec: FeatureSpec) -> PipelineModel:
     """All feature stages fitted on the train side only."""
-    check_levels(train, spec.categorical)
     return Pipeline(stages=feature_stages(spec)).fit(train)

@@ -72,6 +72,14 @@ def values_at_ranks(df: DataFrame, name: str, ranks: Sequence[int], low, high) -
                 offset -= n
 
 
+def _numbers(df: DataFrame, name: str) -> DataFrame:
+    """The column without nulls and NaN."""
+    seen = df.select(name).where(F.col(name).isNotNull())
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        seen = seen.where(~F.isnan(name))
+    return seen
+
+
 def exact_quantiles(
     df: DataFrame, name: str, probs: Sequence[float], interpolate: bool = False
 ) -> list[float | None]:
@@ -80,10 +88,7 @@ def exact_quantiles(
     Without ``interpolate``: the smallest value whose share of rows at or below
     reaches the probability. With it: the linear form between the neighbours.
     """
-    kind = df.schema[name].dataType
-    seen = df.select(name).where(F.col(name).isNotNull())
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        seen = seen.where(~F.isnan(name))
+    seen = _numbers(df, name)
     n, low, high = seen.agg(F.count(F.lit(1)), F.min(name), F.max(name)).first()
     if not n:
         return [None] * len(probs)
@@ -106,11 +111,11 @@ def quantiles(
     rel_err: float = 0.01,
     interpolate: bool = False,
 ) -> list[float | None]:
-    """Quantiles to the driver; ``rel_err`` 0 asks for the exact ones."""
+    """Quantiles to the driver, nulls and NaN left out; ``rel_err`` 0 asks for the exact ones."""
     if rel_err <= 0:
         return exact_quantiles(df, name, probs, interpolate)
     accuracy = max(math.ceil(1 / rel_err), 1)
-    found = df.agg(F.percentile_approx(name, list(probs), accuracy)).first()[0]
+    found = _numbers(df, name).agg(F.percentile_approx(name, list(probs), accuracy)).first()[0]
     return [None] * len(probs) if found is None else [float(v) for v in found]
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.columns import int_price_text
-from lotwise.operators.features import FeatureSpec, check_levels, feature_stages
+from lotwise.operators.features import FeatureSpec, feature_stages
 from lotwise.operators.stages import RareGrouper
 from lotwise.sources.workspace import shared_folder
 
@@ -41,7 +41,6 @@ def fit_scorer(
     raw value in a request is grouped as it was in training.
     """
     top_k = dict(top_k or {})
-    check_levels(train, [c for c in spec.categorical if c not in top_k])
     shared_folder(train.sparkSession)
     grouping = [RareGrouper(inputCols=list(top_k), k=list(top_k.values()))] if top_k else []
     return Pipeline(stages=[*grouping, *feature_stages(spec), estimator]).fit(train)

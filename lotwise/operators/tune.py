@@ -30,8 +30,10 @@ def grid_points(grid: Mapping[str, Iterable]) -> list[dict]:
 
 
 def _r2_by_iteration(model, df: DataFrame, label: str) -> list[float]:
-    """R² after each boosting iteration, from one pass over ``df``."""
+    """R² after each boosting iteration, from one pass over ``df``; null if the label is constant or there is no row."""
     spread = df.agg(F.var_pop(F.col(label).cast("double"))).first()[0]
+    if not spread:
+        return [None] * model.getNumTrees
     return [1 - mse / spread for mse in model.evaluateEachIteration(df, "squared")]
 
 
@@ -89,7 +91,7 @@ def grid_search(
     schema = ", ".join([f"{n} {kinds[n]}" for n in names] + ["train_r2 double", "test_r2 double"])
     rows = [
         tuple(int(row[n]) if kinds[n] == "int" else float(row[n]) for n in names)
-        + (float(row["train_r2"]), float(row["test_r2"]))
+        + tuple(None if row[side] is None else float(row[side]) for side in ("train_r2", "test_r2"))
         for row in found
     ]
     return train.sparkSession.createDataFrame(rows, schema)

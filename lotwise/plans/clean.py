@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.columns import car_age, cast_int, drop_columns
-from lotwise.operators.clean import group_rare_fixed, group_rare_topk, quantile_fence
-from lotwise.operators.profile import DRIVER_VALUES, top_values
+from lotwise.operators.clean import group_rare_fixed, keep_listed, quantile_fence
+from lotwise.operators.profile import top_k_values, top_values
+from lotwise.operators.stages import RareGrouperModel
 from lotwise.operators.rows import drop_duplicates, drop_null_rows, fill_unknown
 from lotwise.sources.workspace import materialize
 
@@ -51,6 +52,7 @@ class CleanSpec:
     year_excluded: int = 2022
     reference_year: int = 2024
     rel_err: float = 0.01
+    keep_year: bool = False
 
 
 INT_COLUMNS = ("year", "odometer", "price")
@@ -58,9 +60,8 @@ INT_COLUMNS = ("year", "odometer", "price")
 
 @dataclass(frozen=True)
 class Learned:
-    """What cleaning takes from the data: kept values and fences, all small."""
+    """What cleaning takes from the data besides the lists of kept values."""
 
-    kept: Mapping[str, list]
     filters: tuple[tuple[str, Column], ...]
 
 
@@ -71,11 +72,7 @@ def _inside(name: str, fence: tuple[float, float] | None) -> Column:
 
 
 def learn(base: DataFrame, spec: CleanSpec) -> Learned:
-    """Kept values from the deduplicated, cast rows, each fence from the rows before it.
-
-    Lists too long for the driver are left to ``group_rare_topk``.
-    """
-    kept = top_values(base, {n: k for n, k in spec.top_k.items() if k <= DRIVER_VALUES})
+    """Each fence from the deduplicated, cast rows that the steps before it leave."""
     filters = [("transmission in list", F.col("transmission").isin(list(spec.transmissions)))]
     rows = base.where(filters[0][1])
     for name in ("price", "odometer"):
@@ -87,15 +84,35 @@ def learn(base: DataFrame, spec: CleanSpec) -> Learned:
         ("year after minimum", F.col("year") > spec.year_after),
         ("year not excluded", F.col("year") != spec.year_excluded),
     ]
-    return Learned(kept, tuple(filters))
+    return Learned(tuple(filters))
+
+
+@dataclass(frozen=True)
+class Cleaned:
+    """The cleaned rows, and the table that the lists of kept values were learned from."""
+
+    rows: DataFrame
+    base: DataFrame
+    spec: CleanSpec
+
+    def grouper(self) -> RareGrouperModel:
+        """The lists as a fitted stage: it turns raw values into those the rows hold."""
+        kept = {n: [v for v in vs if v is not None] for n, vs in top_values(self.base, dict(self.spec.top_k)).items()}
+        kept["manufacturer"] = list(self.spec.makes)
+        return RareGrouperModel(inputCols=list(kept), kept=kept)
 
 
 def clean_listings(df: DataFrame, spec: CleanSpec = CleanSpec()) -> DataFrame:
+    """The cleaned rows alone, see ``clean_and_learn``."""
+    return clean_and_learn(df, spec).rows
+
+
+def clean_and_learn(df: DataFrame, spec: CleanSpec = CleanSpec()) -> Cleaned:
     """Drop, deduplicate, null rules, rare values, casts, fences, age.
 
     The raw table is read once. The deduplicated rows are written as a narrow,
     typed table; lists and fences are learned from single columns of it, and the
-    result is one scan of it that the fences are pushed down to. Casting ahead
+    result is one scan of it that the fences are pushed down to, joined with the lists. Casting ahead
     of the rare-value and list rules changes nothing: they read other columns.
     """
     distinct = drop_duplicates(drop_columns(df, *spec.drop))
@@ -104,13 +121,12 @@ def clean_listings(df: DataFrame, spec: CleanSpec = CleanSpec()) -> DataFrame:
     learned = learn(base, spec)
     rows = group_rare_fixed(base, "manufacturer", spec.makes)
     for name, k in spec.top_k.items():
-        if name in learned.kept:
-            rows = group_rare_fixed(rows, name, learned.kept[name])
-        else:
-            rows = group_rare_topk(rows, name, k)
+        rows = keep_listed(rows, name, top_k_values(base, name, k))
     for _, keep in learned.filters:
         rows = rows.where(keep)
-    return car_age(rows, spec.reference_year)
+    if spec.keep_year:
+        rows = rows.withColumn("_year", F.col("year"))
+    return Cleaned(car_age(rows, spec.reference_year).withColumnRenamed("_year", "year"), base, spec)
 
 
 def step_counts(df: DataFrame, spec: CleanSpec = CleanSpec()) -> DataFrame:

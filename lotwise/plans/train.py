@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Model, PipelineModel
+from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.sql import DataFrame
 
 from lotwise.operators.evaluate import LEADERBOARD_DIGITS, fit_all, leaderboard
@@ -21,10 +21,11 @@ class Training:
     features: PipelineModel
     models: dict[str, Model]
     board: DataFrame
+    before: tuple[Transformer, ...] = ()
 
     def scorer(self, name: str) -> PipelineModel:
-        """One of the models together with its features, to be saved and loaded."""
-        return PipelineModel([*self.features.stages, self.models[name]])
+        """One of the models with its features and the stages before them, to be saved and loaded."""
+        return PipelineModel([*self.before, *self.features.stages, self.models[name]])
 
 
 def train_and_compare(
@@ -36,11 +37,14 @@ def train_and_compare(
     key: Sequence[str] = (),
     parallelism: int = 4,
     digits=LEADERBOARD_DIGITS,
+    before: Sequence[Transformer] = (),
 ) -> Training:
     """Fit features on the train side, then every named model on its vectors.
 
     Train vectors are written once, in even files, as trees pass over them many
-    times; the test side is read once, to score all models together.
+    times; the test side is read once, to score all models together. ``before``
+    are fitted stages that ``df`` has been through, as ``Cleaned.grouper()``: a
+    scorer takes raw values through them as well.
     """
     train, test = split_train_test(df, share, seed, key)
     features = feature_pipeline(train, spec)
@@ -48,4 +52,4 @@ def train_and_compare(
     train_vectors = materialize(vectors, "train", rebalance=True)
     test_vectors = features.transform(test).select(FEATURES, spec.label)
     models = fit_all({n: REGRESSORS[n](spec.label) for n in names}, train_vectors, parallelism)
-    return Training(features, models, leaderboard(models, test_vectors, spec.label, digits))
+    return Training(features, models, leaderboard(models, test_vectors, spec.label, digits), tuple(before))

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotwise.operators import clean as C
+from lotwise.operators.quantiles import quantiles
 from lotwise.operators import profile
 from lotwise.operators.profile import null_counts
-from lotwise.plans import clean as job
 from lotwise.plans.clean import CleanSpec, clean_listings, step_counts
 
 EXACT = CleanSpec(rel_err=0.0)
@@ -123,24 +123,32 @@ def test_null_takes_a_place_among_the_frequent(spark):
     assert sorted(r.v for r in C.group_rare_topk(df, "v", 2).collect()) == ["a", "a"] + ["others"] * 4
 
 
-def test_a_long_list_is_joined_without_broadcast_hint(spark, monkeypatch):
-    df = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', cast(id % 400 as string)) as v", "id")
-    small = C.group_rare_topk(df, "v", 100)
-    monkeypatch.setattr(C, "DRIVER_VALUES", 10)
-    large = C.group_rare_topk(df, "v", 100)
-    assert "broadcast" in small._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" not in large._jdf.queryExecution().analyzed().toString()
-    assert small.exceptAll(large).isEmpty() and small.count() == large.count() == 3000
-
-
-def test_long_lists_in_the_job_stay_in_spark(spark, vehicles, monkeypatch):
-    short = clean_listings(vehicles, EXACT)
-    monkeypatch.setattr(profile, "DRIVER_VALUES", 10)
-    with pytest.raises(ValueError, match="group_rare_topk"):
-        profile.top_values(vehicles, {"model": 50})
-    monkeypatch.setattr(job, "DRIVER_VALUES", 10)
-    long = clean_listings(vehicles, EXACT)
-    assert long.exceptAll(short).isEmpty() and short.exceptAll(long).isEmpty()
+def test_long_lists_take_the_same_path(spark):
+    df = spark.range(15000).selectExpr("if(id % 3 = 0, 'hot', cast(id as string)) as v", "id")
+    grouped = C.group_rare_topk(df, "v", 10001)
+    assert grouped.count() == 15000 and grouped.where("v = 'others'").isEmpty()
+    assert "broadcast" not in grouped._jdf.queryExecution().analyzed().toString()
+    assert len(profile.top_values(df, {"v": 10001})["v"]) == 10001
+
+
+def test_year_may_stay(spark, vehicles):
+    dated = clean_listings(vehicles, replace(EXACT, keep_year=True))
+    plain = clean_listings(vehicles, EXACT)
+    assert dated.drop("year").exceptAll(plain).isEmpty() and dated.where("car_age <> 2024 - year").isEmpty()
+    assert dated.count() == plain.count() > 0
+
+
+@pytest.mark.parametrize("share", [1, 10, 33])
+def test_nan_is_no_value(spark, share):
+    nan = float("nan")
+    df = spark.createDataFrame([(float(i) if i % 100 >= share else nan,) for i in range(1000)], "x double")
+    whole = spark.createDataFrame([(float(i),) for i in range(1000) if i % 100 >= share], "x double")
+    exact = quantiles(df, "x", [0.15, 0.75], 0.0)
+    assert exact == quantiles(whole, "x", [0.15, 0.75], 0.0)
+    # A hundredth of the rows, here of the span of the values.
+    assert np.allclose(quantiles(df, "x", [0.15, 0.75], 0.01), exact, atol=10 * 1.5)
+    kept = C.trim_by_quantile(df, "x", 0.05, 0.25, 0.75, rel_err=0.0)
+    assert kept.exceptAll(C.trim_by_quantile(whole, "x", 0.05, 0.25, 0.75, rel_err=0.0)).isEmpty() and kept.count() > 0
 
 
 def test_trims(spark):

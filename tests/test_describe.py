@@ -112,3 +112,13 @@ def test_pair_plot_data(spark, numbers):
     crossed = points[(points.x_col == "price") & (points.y_col == "odometer")]
     known = set(zip(numbers.price, numbers.odometer.astype(float)))
     assert set(zip(crossed.x, crossed.y)) <= known
+
+
+def test_odd_numbers_are_left_out(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(float(i),) for i in range(1, 11)] + [(nan,)] * 5, "x double")
+    box = D.box_stats(df, "x").first()
+    assert (box.n, box.outliers, box.median) == (10, 0, 5.5)
+    assert D.box_stats(df, "x", rel_err=0.01).first().q3 == 8.0
+    odd = df.unionAll(spark.createDataFrame([(inf,), (-inf,)], "x double"))
+    assert [r.n for r in D.histogram(odd, "x", 2).orderBy("bin").collect()] == [5, 5]

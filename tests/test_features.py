@@ -65,10 +65,13 @@ def test_unseen_and_null_are_all_zero(spark, rows):
     assert sum(model.transform(fresh).select(vector_to_array(X.FEATURES)).first()[0][2:]) == 0.0
 
 
-def test_levels_are_checked_before_indexing(rows):
-    X.check_levels(rows, ["c"], limit=3)
-    with pytest.raises(ValueError, match="group rare values first"):
-        X.check_levels(rows, ["c", "id"], limit=100)
+def test_index_of_many_levels(spark):
+    df = spark.range(150_000).selectExpr("cast(id % 120000 as string) as c")
+    model = X.string_index(X.FeatureSpec((), ("c",), "y")).fit(df)
+    labels = model.stages[0].labels
+    assert len(labels) == 120_000
+    # The 30,000 values that are there twice come first, in order of their text.
+    assert list(labels[:30_000]) == sorted(map(str, range(30_000)))
 
 
 def test_only_numbers_or_only_categories(rows):

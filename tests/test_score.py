@@ -8,7 +8,8 @@ from lotwise.operators import models as M
 from lotwise.operators import score as S
 from lotwise.operators.features import FeatureSpec
 from lotwise.operators.stages import QuantileTrimmer, RareGrouper
-from lotwise.plans.clean import CleanSpec, clean_listings
+from lotwise.plans.clean import CleanSpec, clean_and_learn, clean_listings
+from lotwise.plans.train import train_and_compare
 from lotwise.sources.frames import REQUEST_SCHEMA, request_to_df
 from lotwise.sources.models import load_model, save_model
 
@@ -104,3 +105,14 @@ def test_learned_stages_survive_saving(spark, tmp_path):
     unfitted = str(tmp_path / "stage")
     stages[1].save(unfitted)
     assert QuantileTrimmer.load(unfitted).getOrDefault("qHi") == 0.75
+
+
+def test_scorer_of_the_training_job_groups_raw_values(spark, vehicles, tmp_path):
+    cleaned = clean_and_learn(vehicles, CleanSpec(rel_err=0.0, top_k={"region": 5, "model": 5}))
+    job = train_and_compare(cleaned.rows, SPEC, names=("Linear",), before=[cleaned.grouper()])
+    path = str(tmp_path / "job")
+    save_model(job.scorer("Linear"), path)
+    known = request_to_df(spark, **{**SAMPLE, "model": "others", "manufacturer": "others"})
+    raw = request_to_df(spark, **{**SAMPLE, "model": "never seen", "manufacturer": "lada"})
+    prices = [r.prediction for r in S.score_listings(load_model(path), known.unionAll(raw), SPEC).collect()]
+    assert prices[0] == prices[1] is not None
