@@ -2,11 +2,12 @@
 
 Documents are taken in blocks of bounded size. In each, a suffix array by
 two-stage sorting and its adjacent common prefixes find the strings that repeat
-within the block. Of what is left, every string goes by its least 12-byte hash
-(its minimizer) to a bucket, as part of a run of strings with the same one; there the
-strings of different blocks meet and a suffix array finds the rest. A passage
-that very many documents have leaves each block once, so no bucket grows with
-the number of copies.
+within the block. Of what is left, every string has a minimizer, its least 24-byte
+hash. Minimizers travel first, once for each block that has them; only strings
+whose minimizer another block has as well go to a bucket, as part of a run of
+strings with the same one. There the strings of different blocks meet and a suffix
+array finds the rest. A passage that very many documents have leaves each block
+once, so buckets do not grow with the number of copies, but by one string a block.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm.common import mix64
-from lotwise.llm.suffix_array import _words, common_prefixes, suffix_array
+from lotwise.llm.suffix_array import WORD, _words, common_prefixes, suffix_array
 from lotwise.sources.workspace import materialize
 
 #: Bytes of a string that counts.
 WIDTH = 50
 #: Bytes a minimizer is hashed over, and how many of those a string has.
-GRAM = 12
+GRAM = 24
 GRAMS = WIDTH - GRAM + 1
 #: Bytes sorted at a time, in a block of documents and in a part of a bucket.
 BLOCK = 4 << 20
@@ -35,6 +36,14 @@ BUCKET = 4 << 20
 BUCKETS = 64
 
 SPANS = "doc_id long, row long, starts binary"
+#: What a block leaves: spans of what repeats in it, minimizers by bucket, and its text.
+LEFT = pa.schema(
+    [
+        ("block", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()),
+        ("starts", pa.binary()), ("keys", pa.binary()), ("payload", pa.binary()),
+    ]
+)
+BLOCKS = f"block long, bucket int, {SPANS}, keys binary, payload binary"
 
 
 def repeated(data: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -58,7 +67,9 @@ def minimizers(data: np.ndarray) -> np.ndarray:
     """For each place the least hash of a gram in the string that starts there."""
     words = _words(data, WIDTH)
     n = len(data)
-    h = words[:n].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ words[GRAM - 8 : n + GRAM - 8].astype(np.uint64)
+    h = words[:n].astype(np.uint64)
+    for at in range(WORD, GRAM, WORD):
+        h = mix64(h) ^ words[at : n + at].astype(np.uint64)
     h = np.concatenate([mix64(h), np.full(GRAMS, np.iinfo(np.uint64).max, np.uint64)])
     width = 1
     while 2 * width <= GRAMS:
@@ -118,52 +129,108 @@ class _Block:
             self.size += len(part)
 
     def solve(self, buckets: int) -> Iterator[pa.RecordBatch]:
-        """Rows of (bucket, doc_id, row, starts) for what repeats here and (bucket, payload) for the rest."""
+        """Rows of ``LEFT``: spans of what repeats here, minimizers of the rest, and the text with what was found."""
+        import xxhash
         import zstandard
 
         data = np.frombuffer(b"".join(self.parts), np.uint8)
-        lengths = np.array([len(p) for p in self.parts])
-        base = np.cumsum(lengths) - lengths
+        lengths = np.array([len(p) for p in self.parts], np.int64)
         ids, rows, offset = (np.array(x, np.int64) for x in zip(*self.about))
-        starts = _expand(base, lengths - WIDTH + 1)
-        part = np.repeat(np.arange(len(lengths)), lengths - WIDTH + 1)
-        inside = starts - base[part] + offset[part]
+        starts, part, inside = _places(lengths, offset)
         found = repeated(data, starts, ids[part])
         at, of = inside[found], part[found]
         first, last = _runs(at, of)
         made = _spans(ids[of[first]], rows[of[first]], at[first], at[last])
-        bucket = pa.array((mix64(made.column("row").to_numpy().view(np.uint64)) % np.uint64(buckets)).astype(np.int32))
-        none = pa.nulls(made.num_rows, pa.binary())
-        yield pa.RecordBatch.from_arrays([bucket, *made.columns, none], names=["bucket", "doc_id", "row", "starts", "payload"])
-
-        rest = ~found
-        starts, part, inside = starts[rest], part[rest], inside[rest]
-        least = minimizers(data)[starts]
-        first, last = _runs(starts, part, least)
-        key = least[first]
-        place = (key % np.uint64(buckets)).astype(np.int32)
+
+        keys = np.unique(minimizers(data)[starts[~found]])
+        place = (keys % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(place, kind="stable")
-        first, last, key, place = first[order], last[order], key[order], place[order]
+        keys, place = keys[order], place[order]
         cuts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.zeros(0, int)
-        pack = zstandard.ZstdCompressor(level=3).compress
-        out = []
-        for a, b in zip(cuts, [*cuts[1:], len(place)]):
-            f, count = first[a:b], last[a:b] - first[a:b] + 1
-            of = part[f]
-            # Numbers as they are small: parts by their first run, places by their distance.
-            new = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            fields = [
-                np.array([b - a, len(new)], "<i8"), ids[of[new]], rows[of[new]], offset[of[new]],
-                np.diff(np.append(new, b - a)).astype("<i4"),
-                (starts[f] - base[of]).astype("<i4"), count.astype("<i4"), (key[a:b] >> np.uint64(32)).astype("<u4"),
-            ]
-            content = data[_expand(starts[f], count + WIDTH - 1)]
-            out.append(pack(b"".join([*(x.tobytes() for x in fields), content.tobytes()])))
-        nulls = [pa.nulls(len(out), t) for t in (pa.int64(), pa.int64(), pa.binary())]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(place[cuts], pa.int32()), *nulls, pa.array(out, pa.binary())],
-            names=["bucket", "doc_id", "row", "starts", "payload"],
-        )
+        dealt = [keys[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(place)])]
+
+        fields = [np.array([len(lengths)]), ids, rows, offset, lengths, np.packbits(found), data]
+        payload = zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in fields))
+        # Named by what is in it, so that a task that is run again names it alike.
+        block = xxhash.xxh3_64_intdigest(payload) - (1 << 63)
+        yield _left(len(made), doc_id=made.column("doc_id"), row=made.column("row"), starts=made.column("starts"))
+        yield _left(len(dealt), block=[block] * len(dealt), bucket=place[cuts], keys=dealt)
+        yield _left(1, block=[block], payload=[payload])
+
+
+def _left(n: int, **columns) -> pa.RecordBatch:
+    """Rows of ``LEFT`` in which the other columns are null."""
+    values = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in LEFT]
+    return pa.RecordBatch.from_arrays(values, schema=LEFT)
+
+
+def _places(lengths: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all strings in a block: where they start in it, their part, and where they start in their text."""
+    base = np.cumsum(lengths) - lengths
+    starts = _expand(base, lengths - WIDTH + 1)
+    part = np.repeat(np.arange(len(lengths)), lengths - WIDTH + 1)
+    return starts, part, starts - base[part] + offset[part]
+
+
+def _common(blocks: np.ndarray, keys: list[bytes]) -> pa.Table:
+    """Rows (block, shared): the minimizers of each block that another one has; a block lists each of its own once."""
+    sizes = np.array([len(k) // WORD for k in keys])
+    key, of = np.frombuffer(b"".join(keys), "<u8"), np.repeat(blocks, sizes)
+    order = np.argsort(key)
+    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    twice = np.zeros(len(key), bool)
+    twice[order] = ~(new & np.append(new[1:], True))
+    kept, ends = np.cumsum(twice), np.cumsum(sizes)
+    held = np.concatenate(([0], kept[ends - 1]))
+    key = key[twice]
+    some = np.flatnonzero(np.diff(held))
+    return pa.table(
+        {
+            "block": pa.array(blocks[some], pa.int64()),
+            "shared": pa.array([key[held[i] : held[i + 1]].tobytes() for i in some], pa.binary()),
+        }
+    )
+
+
+def _strings(payload: bytes, shared: list[bytes], buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, payload): the strings of a block that are not found yet and whose minimizer is shared."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(payload)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    ids, rows, offset, lengths = np.frombuffer(raw, "<i8", 4 * n, 8).reshape(4, n)
+    starts, part, inside = _places(lengths, offset)
+    packed = -(-len(starts) // 8)
+    found = np.unpackbits(np.frombuffer(raw, np.uint8, packed, 8 + 32 * n), count=len(starts)).astype(bool)
+    data = np.frombuffer(raw, np.uint8, offset=8 + 32 * n + packed)
+    least = minimizers(data)[starts]
+    wanted = np.sort(np.frombuffer(b"".join(shared), "<u8"))
+    at = np.minimum(np.searchsorted(wanted, least), len(wanted) - 1)
+    rest = ~found & (wanted[at] == least)
+    starts, part, least = starts[rest], part[rest], least[rest]
+    base = np.cumsum(lengths) - lengths
+
+    first, last = _runs(starts, part, least)
+    key = least[first]
+    place = (key % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(place, kind="stable")
+    first, last, key, place = first[order], last[order], key[order], place[order]
+    cuts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.zeros(0, int)
+    pack = zstandard.ZstdCompressor(level=3).compress
+    out = []
+    for a, b in zip(cuts, [*cuts[1:], len(place)]):
+        f, count = first[a:b], last[a:b] - first[a:b] + 1
+        of = part[f]
+        # Numbers as they are small: parts by their first run, places by their distance.
+        new = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        fields = [
+            np.array([b - a, len(new)], "<i8"), ids[of[new]], rows[of[new]], offset[of[new]],
+            np.diff(np.append(new, b - a)).astype("<i4"),
+            (starts[f] - base[of]).astype("<i4"), count.astype("<i4"), (key[a:b] >> np.uint64(32)).astype("<u4"),
+        ]
+        content = data[_expand(starts[f], count + WIDTH - 1)]
+        out.append(pack(b"".join([*(x.tobytes() for x in fields), content.tobytes()])))
+    return pa.RecordBatch.from_arrays([pa.array(place[cuts], pa.int32()), pa.array(out, pa.binary())], names=["bucket", "payload"])
 
 
 def _meet(payloads: list[bytes]) -> pa.RecordBatch:
@@ -242,15 +309,25 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         if block.parts:
             yield from block.solve(buckets)
 
+    def common(group: pa.Table) -> pa.Table:
+        return _common(group.column("block").to_numpy(), group.column("keys").to_pylist())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload, shared in zip(batch.column("payload"), batch.column("shared")):
+                yield _strings(payload.as_py(), shared.as_py(), buckets)
+
     def meet(group: pa.Table) -> pa.Table:
-        payload = group.column("payload")
-        here = group.filter(payload.is_null()).select(["doc_id", "row", "starts"])
-        there = payload.drop_null().to_pylist()
-        met = pa.Table.from_batches([_meet(there)]) if there else here.slice(0, 0)
-        return pa.concat_tables([here, met.cast(here.schema)])
-
-    blocks = rows.mapInArrow(work, f"bucket int, {SPANS}, payload binary")
-    return blocks.groupBy("bucket").applyInArrow(meet, SPANS)
+        return pa.Table.from_batches([_meet(group.column("payload").to_pylist())])
+
+    left = materialize(rows.mapInArrow(work, BLOCKS), "blocks")
+    keys = left.where(F.col("keys").isNotNull()).select("bucket", "block", "keys")
+    shared = keys.groupBy("bucket").applyInArrow(common, "block long, shared binary")
+    lists = shared.groupBy("block").agg(F.collect_list("shared").alias("shared"))
+    texts = left.where(F.col("payload").isNotNull()).select("block", "payload")
+    strings = texts.join(lists, "block").select("payload", "shared").mapInArrow(cut, "bucket int, payload binary")
+    met = strings.groupBy("bucket").applyInArrow(meet, SPANS)
+    return left.where(F.col("starts").isNotNull()).select("doc_id", "row", "starts").union(met)
 
 
 def removed_runs(starts: bytes | None) -> np.ndarray:
