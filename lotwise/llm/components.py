@@ -12,11 +12,12 @@ def components(edges: DataFrame) -> DataFrame:
     """Rows (node, component) for edges (a, b): component is the least node reachable.
 
     Each round takes the least label among the neighbours and then the label of
-    that label, so a path halves. Both sides of each join are written tables, so a node
-    with very many neighbours is split by Spark, and its least label is found by
-    partial aggregation. Loops and repeated edges are harmless; no edges give no rows.
+    that label, so a path halves. ``edges`` should be a written table, as every round
+    reads it. Both sides of each join then are, so a node with very many neighbours is
+    split by Spark, and its least label is found by partial aggregation. Loops and
+    repeated edges are harmless; no edges give no rows.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    both = edges.select("a", "b").union(edges.select("b", "a"))
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))

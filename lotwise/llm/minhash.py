@@ -176,7 +176,10 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (node, component) after more links; components join as their members do."""
     of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of"))
     edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_of").alias("a"), F.col("b_of").alias("b"))
-    found = components(materialize(edges.where("a <> b").distinct(), "links"))
+    edges = materialize(edges.where("a <> b").distinct(), "links")
+    if edges.isEmpty():
+        return labels
+    found = components(edges)
     merged = labels.join(found.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
     return materialize(merged.select("node", F.coalesce("to", "component").alias("component")), "components")
 
