@@ -35,6 +35,7 @@ BLOCK = 4 << 20
 BUCKET = 4 << 20
 BUCKETS = 64
 
+_HALF = np.uint64(32)
 SPANS = "doc_id long, row long, starts binary"
 #: What a block leaves: spans of what repeats in it, minimizers by bucket, and its text.
 LEFT = pa.schema(
@@ -147,6 +148,7 @@ class _Block:
         order = np.argsort(place, kind="stable")
         keys, place = keys[order], place[order]
         cuts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.zeros(0, int)
+        keys = (keys >> _HALF).astype("<u4")
         dealt = [keys[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(place)])]
 
         fields = [np.array([len(lengths)]), ids, rows, offset, lengths, np.packbits(found), data]
@@ -173,9 +175,13 @@ def _places(lengths: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _common(blocks: np.ndarray, keys: list[bytes]) -> pa.Table:
-    """Rows (block, shared): the minimizers of each block that another one has; a block lists each of its own once."""
-    sizes = np.array([len(k) // WORD for k in keys])
-    key, of = np.frombuffer(b"".join(keys), "<u8"), np.repeat(blocks, sizes)
+    """Rows (block, shared): the minimizers of each block that another one has.
+
+    A block lists each of its own once. Half of a hash and the bucket stand for it: two
+    that agree in both by chance only let strings travel that nothing meets.
+    """
+    sizes = np.array([len(k) // 4 for k in keys])
+    key = np.frombuffer(b"".join(keys), "<u4")
     order = np.argsort(key)
     new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
     twice = np.zeros(len(key), bool)
@@ -204,9 +210,10 @@ def _strings(payload: bytes, shared: list[bytes], buckets: int) -> pa.RecordBatc
     found = np.unpackbits(np.frombuffer(raw, np.uint8, packed, 8 + 32 * n), count=len(starts)).astype(bool)
     data = np.frombuffer(raw, np.uint8, offset=8 + 32 * n + packed)
     least = minimizers(data)[starts]
-    wanted = np.sort(np.frombuffer(b"".join(shared), "<u8"))
-    at = np.minimum(np.searchsorted(wanted, least), len(wanted) - 1)
-    rest = ~found & (wanted[at] == least)
+    wanted = np.sort(np.frombuffer(b"".join(shared), "<u4"))
+    half = (least >> _HALF).astype(np.uint32)
+    at = np.minimum(np.searchsorted(wanted, half), len(wanted) - 1)
+    rest = ~found & (wanted[at] == half)
     starts, part, least = starts[rest], part[rest], least[rest]
     base = np.cumsum(lengths) - lengths
 
@@ -226,7 +233,7 @@ def _strings(payload: bytes, shared: list[bytes], buckets: int) -> pa.RecordBatc
         fields = [
             np.array([b - a, len(new)], "<i8"), ids[of[new]], rows[of[new]], offset[of[new]],
             np.diff(np.append(new, b - a)).astype("<i4"),
-            (starts[f] - base[of]).astype("<i4"), count.astype("<i4"), (key[a:b] >> np.uint64(32)).astype("<u4"),
+            (starts[f] - base[of]).astype("<i4"), count.astype("<i4"), (key[a:b] >> _HALF).astype("<u4"),
         ]
         content = data[_expand(starts[f], count + WIDTH - 1)]
         out.append(pack(b"".join([*(x.tobytes() for x in fields), content.tobytes()])))
