@@ -229,6 +229,32 @@ def test_html(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_html_implied_ends(spark):
+    """End tags may be left out: chrome ends where HTML ends it, on one page as on all of a host."""
+    parts = [
+        ("<p class=notice>ad {n}<p>one {n}<p>two {n}</p>", ["one {n}", "two {n}"]),
+        ("<p class=notice>ad {n}<div>one {n}</div>two {n}", ["one {n}", "two {n}"]),
+        ("<div><p class=notice>ad {n}</div>one {n}", ["one {n}"]),
+        ("<ul><li>a {n}<li class=share>ad {n}<li>b {n}</ul><p>one {n}", ["a {n}", "b {n}", "one {n}"]),
+        ("<ul><li class=share>ad {n}<ul><li>ad</ul>ad</ul><p>one {n}", ["one {n}"]),
+        ("<dl><dt>a {n}<dd class=ad>ad {n}<dt>b {n}<dd>c {n}</dl>one {n}", ["a {n}", "b {n}", "c {n}", "one {n}"]),
+        ("<table><tr><td class=ad>ad {n}<td>a {n}<tr class=ad><td>ad<tr><td>b {n}</table>one {n}", ["a {n}", "b {n}", "one {n}"]),
+        ("<p>one {n}<p>two {n}<p>three {n}</p>four {n}</div></li><p>five {n}", ["one {n}", "two {n}", "three {n}", "four {n}", "five {n}"]),
+        ("<div class=ad>ad {n}<div>ad</div>ad</div><div>one {n}</div><div>two {n}</div>", ["one {n}", "two {n}"]),
+        ("<div><b class=ad>ad {n}</div><p>one {n}", ["one {n}"]),
+    ]
+    rows, wanted = [], []
+    for k, (part, blocks) in enumerate(parts):
+        for many in (True, False):  # on every page, or on one of a host whose other pages are plain
+            for n in range(6):
+                inner, found = (part, blocks) if many or n == 3 else ("<p>plain {n}</p>", ["plain {n}"])
+                page = f"<html><body><nav>home</nav><article><h1>T {{n}}</h1>{inner}</article><footer>x</footer></body></html>"
+                rows.append((len(rows), f"http://{k}{many}.com/{n}", page.replace("{n}", str(n))))
+                wanted.append("\n\n".join(["T {n}", *found]).replace("{n}", str(n)))
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(rows))] == wanted
+
+
 @pytest.fixture(scope="module")
 def codec():
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
