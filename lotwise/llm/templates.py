@@ -4,7 +4,8 @@ Words are lower-cased; numbers, the units after them and names become typed
 placeholders with the value kept beside. Windows of a template are hashed and
 met with those of the benchmark by an equi-join. A question that was given other
 numbers and names has the same windows; it counts if its values are put in
-consistently: one value of the item never stands for two in the document.
+consistently: where one value of the item stands for two in the document, the
+windows with the rarer one do not count, but those with the item's own values do.
 """
 
 from __future__ import annotations
@@ -167,9 +168,10 @@ def matches(
     """Rows (doc_id, row, item_id, n_windows, item_windows, coverage, n_slots, n_changed) of contaminated documents.
 
     ``row`` is a hash of the text: it tells rows with one id apart. Windows are
-    counted by the distance between their places in the document and the item,
-    and a distance counts if its values are consistent. ``n_changed`` of
-    ``n_slots`` values differ, so 0 is a verbatim copy. Null and empty texts, items of
+    counted by the distance between their places in the document and the item.
+    One counts if its values are the item's, or each is the one that most windows
+    at that distance have. ``n_changed`` of ``n_slots`` values differ somewhere, so 0
+    is a verbatim copy. Null and empty texts, items of
     fewer than eight tokens and empty tables match nothing; of repeated items each
     id is reported.
     """
@@ -189,27 +191,37 @@ def matches(
     by_shift = ["key", "row", "item_id", "shift"]
     # Read twice below: written, so that the corpus is gone through once.
     met = materialize(met.withColumn("shift", F.col("at") - F.col("item_at")), "met")
-    values = met.select(*by_shift, pair).where(F.col("pair").isNotNull()).groupBy(*by_shift, F.col("pair.item_slots").alias("given")).agg(
-        F.count_distinct("pair.slots").alias("put"), F.min("pair.slots").alias("value")
+    votes = met.select(*by_shift, pair).where(F.col("pair").isNotNull()).groupBy(
+        *by_shift, F.col("pair.item_slots").alias("given"), F.col("pair.slots").alias("put")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    # Of values that equally many windows have, the unchanged one, then the first.
+    rank = F.struct(-F.col("n"), F.col("put") != F.col("given"), F.col("put"))
+    values = votes.groupBy(*by_shift, "given").agg(
+        F.min_by("put", rank).alias("value"), F.max(F.col("put") != F.col("given")).alias("changed")
     )
+    # As many entries as the item has different values.
     consistency = values.groupBy(*by_shift).agg(
-        F.max("put").alias("put"), F.count(F.lit(1)).alias("n_slots"),
-        F.count(F.when(F.col("value") != F.col("given"), 1)).alias("n_changed"),
-    )
-    counted = met.groupBy(*by_shift).agg(
-        F.count_distinct("item_at").alias("held"), F.max("item_windows").alias("item_windows")
+        F.map_from_entries(F.collect_list(F.struct("given", "value"))).alias("stands"),
+        F.count(F.lit(1)).alias("n_slots"), F.count(F.when(F.col("changed"), 1)).alias("n_changed"),
     )
     null_safe = None
     for name in by_shift:
         equal = F.col(f"c.{name}").eqNullSafe(F.col(f"v.{name}"))
         null_safe = equal if null_safe is None else null_safe & equal
-    shifts = counted.alias("c").join(consistency.alias("v"), null_safe, "left").where(F.coalesce("v.put", F.lit(1)) == 1)
+    consistent = F.forall(F.arrays_zip("item_slots", "slots"), lambda x: F.col("v.stands")[x["item_slots"]] == x["slots"])
+    kept = met.alias("c").join(consistency.alias("v"), null_safe, "left").where(
+        (F.col("item_slots") == F.col("slots")) | F.coalesce(consistent, F.lit(True))
+    )
+    shifts = kept.groupBy(*(f"c.{name}" for name in by_shift)).agg(
+        F.count_distinct("item_at").alias("held"), F.max("item_windows").alias("item_windows"),
+        F.coalesce(F.first("v.n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.first("v.n_changed"), F.lit(0)).alias("n_changed"),
+    )
     # A passage that is in a document twice counts once: no more windows than the item has.
-    whole = shifts.groupBy("c.key", "c.row", "c.item_id").agg(
+    best = F.struct(F.col("held"), -F.col("n_changed"), F.col("n_slots"))
+    whole = shifts.groupBy("key", "row", "item_id").agg(
         F.least(F.sum("held"), F.max("item_windows")).alias("n_windows"),
         F.max("item_windows").alias("item_windows"),
-        F.coalesce(F.max_by("v.n_slots", "held"), F.lit(0)).alias("n_slots"),
-        F.coalesce(F.max_by("v.n_changed", "held"), F.lit(0)).alias("n_changed"),
+        F.max_by("n_slots", best).alias("n_slots"), F.max_by("n_changed", best).alias("n_changed"),
     )
     return whole.withColumn("coverage", F.col("n_windows") / F.col("item_windows")).where(
         F.col("coverage") >= COVERAGE

@@ -121,6 +121,24 @@ def test_templates(spark, docs, empty):
     assert templates.clean(docs, bench).count() == docs.count()
 
 
+def test_templates_with_equal_values(spark):
+    """One of two equal values changed, or both in different ways: the other windows count."""
+    asked = (
+        "Yesterday the old farmer carried 5 baskets of apples from the garden to the market near the river, and when the "
+        "rain had stopped in the evening, the children who were waiting there took 5 of them home to their mother."
+    )
+    one = asked.replace("took 5", "took 6")
+    both = one.replace("carried 5", "carried 4")
+    rows = [(1, f"Some text. {asked}"), (2, f"Some text. {one} More."), (3, f"Some text. {both} More."), (4, prose(50))]
+    bench = spark.createDataFrame([(9, asked)], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.coverage, r.n_slots, r.n_changed) for r in templates.matches(docs, bench).collect()}
+    assert set(got) == {1, 2, 3} and got[1][0] == 1 and got[1][1:] == (1, 0)
+    # 5 and 6: windows with 6 are the majority, those with 5 are the item's own. 4 and 6: only those with 6 count.
+    assert got[2] == (1, 1, 1) and 0.5 <= got[3][0] < 1 and got[3][1:] == (1, 1)
+    assert [r.doc_id for r in templates.clean(docs, bench).collect()] == [4]
+
+
 def brute_components(texts: dict[int, str | None], words: int) -> dict[int, int]:
     sets = {}
     for i, t in texts.items():
