@@ -139,6 +139,23 @@ def test_templates_with_equal_values(spark):
     assert [r.doc_id for r in templates.clean(docs, bench).collect()] == [4]
 
 
+def test_templates_of_items_without_windows(spark):
+    """Short items, lists of names or numbers and scripts without spaces are found as well."""
+    items = [
+        "Who wrote the novel Moby Dick?", "Compute 12 + 45 - 7 + 88 - 3 + 19 - 4 + 61 - 5.",
+        "Anna Berg, Carl Dorn, Eva Falk, Georg Haas, Ida Jung, Karl Lenz, Maria Nolte, Otto Pohl.",
+        "中国的首都是哪个城市，它的人口是多少？", "日本で一番高い山の名前は何ですか。", "ประเทศไทยมีกี่จังหวัด", "how many legs do 3 cats have",
+    ]
+    bench = spark.createDataFrame([*enumerate(items), (90, "+ - ="), (91, "")], "item_id long, text string")
+    around = [f"{prose(20)}. Question: {item} Answer in {prose(9)}" for item in items]
+    joined = ["我想知道中国的首都是哪个城市，它的人口是多少？谢谢你", "昨日、日本で一番高い山の名前は何ですかと聞かれた"]
+    other = ["how many legs do 5 cats have", "Compute 12 + 45 - 7 + 88 - 3 + 19 - 4 + 61 - 6.", "Who wrote the novel Emma?", "中国有很多城市。", "日本の山。", prose(60)]
+    docs = spark.createDataFrame([*enumerate(around + joined + other)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_changed) for r in templates.matches(docs, bench).collect())
+    assert got == [*((i, i, 0) for i in range(7)), (7, 3, 0), (8, 4, 0), (9, 6, 1)]
+    assert sorted(r.doc_id for r in templates.clean(docs, bench).collect()) == [10, 11, 12, 13, 14]
+
+
 def brute_components(texts: dict[int, str | None], words: int) -> dict[int, int]:
     sets = {}
     for i, t in texts.items():
