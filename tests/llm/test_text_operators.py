@@ -290,6 +290,16 @@ def test_html_implied_ends(spark):
     assert [got[i] for i in range(len(rows))] == wanted
 
 
+def test_html_template_with_broken_pages(spark):
+    """Pages that are null, empty, text only or cut off leave the template of their host as it is."""
+    page = "<html><body>{m}<article><h1>T {n}</h1><p>one {n}</p></article></body></html>"
+    teasers = ["<div><article>teaser</article></div>" * (n % 3) for n in range(30)]
+    whole = [page.replace("{n}", str(n)).replace("{m}", teasers[n]) for n in range(30)]
+    rows = [(n, f"http://a.com/{n}", w) for n, w in enumerate([*whole, None, "", "text", whole[0][:40], None, None, None])]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[n] == f"T {n}\n\none {n}" for n in range(30)) and got[30] == got[31] == "" and got[32] == "text"
+
+
 @pytest.fixture(scope="module")
 def codec():
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
