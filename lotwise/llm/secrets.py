@@ -35,8 +35,15 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+#: The key's body and END line, or what is there of the body where the key is cut off; prose after a lone label is no key.
+_KEY_HEAD = r"(?:\r?\n[A-Za-z-]+:[^\r\n]*+){0,8}+"
+_KEY_BODY = r"[A-Za-z0-9+/=\s\\]*+"
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule(
+        "private_key",
+        rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_KEY_HEAD}{_KEY_BODY}-----END [A-Z ]*PRIVATE KEY-----"
+        rf"|{_KEY_HEAD}[\s\\]*+[A-Za-z0-9+/=]{{20,}}+{_KEY_BODY})?+",
+    ),
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
