@@ -337,7 +337,7 @@ def score_text(spark, sf):
 
 @query("score_listings_boosted")
 def score_listings_boosted(spark, sf):
-    """Requests scored by boosted trees on all features."""
+    """Requests scored by boosted trees on the categories and the age, without the odometer."""
     model, requests = _scorer(spark, sf, M.gbt(LABEL))
     return S.score_listings(model, requests, SCORED).select(*KEY, "model", "car_age", "prediction")
 
