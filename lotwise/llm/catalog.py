@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.catalog.registry import Build
-from lotwise.llm import bpe, chunks, html, minhash, quality, secrets, sharding, suffix_dedup, templates, url_filter
+from lotwise.llm import bpe, chunks, html, minhash, quality, secrets, sharding, spelling, suffix_dedup, templates, url_filter, whitening
 from lotwise.llm.common import table
 
 QUERIES: dict[str, Build] = {}
@@ -107,3 +107,13 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') verdict from parts
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, url_filter.rule_table(spark)).drop("url")
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
