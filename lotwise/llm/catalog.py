@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.catalog.registry import Build
-from lotwise.llm import bpe, chunks, html, minhash, quality, secrets, sharding, spelling, suffix_dedup, templates, url_filter, whitening
+from lotwise.llm import backoff, bpe, chunks, html, minhash, quality, secrets, sharding, spelling, suffix_dedup, templates, url_filter, whitening
 from lotwise.llm.common import table
 
 QUERIES: dict[str, Build] = {}
@@ -109,6 +109,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.rule_table(spark)).drop("url")
 
 
+@query("op11_lm_scoring")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op12_spelling_variants")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
