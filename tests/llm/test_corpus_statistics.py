@@ -186,7 +186,7 @@ def spelled(spark):
     """Texts with variants of frequent words, chains of forms, ties, anagrams, accents and very long words."""
     long = "q" * 3000
     made = {
-        "lantern": 700, "lanterm": 130, "lamterm": 24, "lamterms": 5, "lantrn": 6, "lanternn": 9, "lanetrn": 8,
+        "lantern": 1800, "lanterm": 280, "lamterm": 46, "lamterms": 7, "lantrn": 6, "lanternn": 9, "lanetrn": 8,
         "harbour": 60, "harbor": 60, "harboor": 12, "éclairs": 40, "eclairs": 8, "éclair": 8, "short": 500, "fewtimes": 4,
         long: 30, long + "r": 6, long[:-1] + "r": 5, "silent": 20, "listen": 20, "enlist": 100, "ÀÉÎÕÜ÷×": 25, "ÀÉÎÕÜ÷": 5,
     }
