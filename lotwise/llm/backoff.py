@@ -47,7 +47,7 @@ FOLDS, HELD_OUT = 7, 2
 #: Words of an n-gram at most, and the weight of the shorter context in counts.
 ORDER, MASS = 2, 200.0
 #: Bytes of text in a block, and of text whose n-grams are in one bucket.
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 
 #: Hashes of the end of a text and of the state before its first word: no word has a space in it.
 _END, _START = xxhash.xxh3_128_intdigest(b"end of text"), xxhash.xxh3_128_intdigest(b"start of text")
