@@ -14,7 +14,6 @@ from lotwise.sources.workspace import materialize
 
 SPEC = X.FeatureSpec(
     numeric=("odometer", "car_age"),
-    categorical=("manufacturer", "type", "fuel", "condition"),
     label="worth",
 )
 

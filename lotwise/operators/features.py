@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.columns import hash_text
-from lotwise.operators.profile import value_tallies
+from lotwise.operators.levels import LevelIndexer, SlotAssembler, SlotEncoder
 
 NUMERIC_VECTOR = "numerical_feature_vector"
 SCALED_VECTOR = "scaled_numerical_feature_vector"
@@ -77,51 +77,30 @@ def standard_scale() -> StandardScaler:
     )
 
 
-class TallyIndexer(Estimator):
-    """Fits a ``StringIndexerModel`` for each column from tallies of all columns at once.
-
-    Counts are combined in the tasks and shuffled by value, so no task merges
-    the values of a whole table; the driver gets the levels, as the model does.
-    """
-
-    def __init__(self, names: Sequence[str], outputs: Sequence[str]):
-        super().__init__()
-        self.names, self.outputs = list(names), list(outputs)
-
-    def _fit(self, dataset: DataFrame) -> PipelineModel:
-        texts = dataset.select(*[F.col(n).cast("string") for n in self.names])
-        tallies = value_tallies(texts, self.names).where(F.col("value").isNotNull())
-        levels: dict[str, list[str]] = {n: [] for n in self.names}
-        for row in tallies.orderBy("column_name", F.desc("count"), "value").collect():
-            levels[row["column_name"]].append(row["value"])
-        return PipelineModel([
-            StringIndexerModel.from_labels(levels[n], inputCol=n, outputCol=o, handleInvalid="keep")
-            for n, o in zip(self.names, self.outputs)
-        ])
-
-
-def string_index(spec: FeatureSpec) -> TallyIndexer:
+def string_index(spec: FeatureSpec) -> LevelIndexer:
     """Index by falling frequency, equal counts by value; unseen and null last."""
-    return TallyIndexer(spec.categorical, spec.index_columns)
+    return LevelIndexer(inputCols=list(spec.categorical), outputCols=spec.index_columns)
 
 
-def one_hot(spec: FeatureSpec) -> OneHotEncoder:
+def one_hot(spec: FeatureSpec) -> SlotEncoder:
     """One slot per value seen in fitting; the unseen index is all zeros."""
-    return OneHotEncoder(inputCols=spec.index_columns, outputCols=spec.one_hot_columns, dropLast=True)
+    return SlotEncoder(inputCols=spec.index_columns, outputCols=spec.one_hot_columns)
 
 
-def assemble_features(spec: FeatureSpec) -> VectorAssembler:
-    """Scaled numbers and one-hot slots in one vector."""
-    scaled = [SCALED_VECTOR] if spec.numeric else []
-    return VectorAssembler(
-        inputCols=scaled + spec.one_hot_columns, outputCol=FEATURES, handleInvalid="keep"
-    )
+def assemble_features(spec: FeatureSpec) -> SlotAssembler:
+    """Scaled numbers and a slot for each level in one sparse vector, built from the indices."""
+    scaled = {"numbers": SCALED_VECTOR, "width": len(spec.numeric)} if spec.numeric else {}
+    return SlotAssembler(inputCols=spec.index_columns, outputCol=FEATURES, **scaled)
 
 
 def feature_stages(spec: FeatureSpec) -> list[Estimator | Transformer]:
-    """The stages in order; those for a kind of column the spec lacks are left out."""
+    """The stages in order; those for a kind of column the spec lacks are left out.
+
+    The vector is built from the indices: one-hot vectors of single columns would
+    only be joined end to end.
+    """
     numeric = [assemble_numeric(spec), standard_scale()] if spec.numeric else []
-    categorical = [string_index(spec), one_hot(spec)] if spec.categorical else []
+    categorical = [string_index(spec)] if spec.categorical else []
     return [*numeric, *categorical, assemble_features(spec)]
 
 

@@ -12,6 +12,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame
 
 from lotwise.operators.features import FEATURES
+from lotwise.operators.levels import binary_slots
 from lotwise.sources.workspace import shared_folder
 
 SEED = 23
@@ -70,7 +71,8 @@ def fit(estimator, train: DataFrame) -> Model:
     """
     shared_folder(train.sparkSession)
     columns = (estimator.getFeaturesCol(), estimator.getLabelCol())
-    return estimator.fit(train.select(*columns))
+    rows = train.select(*columns)
+    return estimator.fit(rows if isinstance(estimator, LinearRegression) else binary_slots(rows, columns[0]))
 
 
 def predict(model: Model, df: DataFrame, column: str = "prediction") -> DataFrame:

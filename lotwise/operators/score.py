@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.columns import int_price_text
 from lotwise.operators.features import FeatureSpec, feature_stages
+from lotwise.operators.models import fit
 from lotwise.operators.stages import RareGrouper
-from lotwise.sources.workspace import shared_folder
 
 # What each field of a score request may hold.
 DOMAINS = {
@@ -41,9 +41,9 @@ def fit_scorer(
     raw value in a request is grouped as it was in training.
     """
     top_k = dict(top_k or {})
-    shared_folder(train.sparkSession)
     grouping = [RareGrouper(inputCols=list(top_k), k=list(top_k.values()))] if top_k else []
-    return Pipeline(stages=[*grouping, *feature_stages(spec), estimator]).fit(train)
+    features = Pipeline(stages=[*grouping, *feature_stages(spec)]).fit(train)
+    return PipelineModel([*features.stages, fit(estimator, features.transform(train))])
 
 
 def score_listings(model: PipelineModel, requests: DataFrame, spec: FeatureSpec) -> DataFrame:
