@@ -1,26 +1,31 @@
 """Models, scores, tuning and scoring.
 
-Where a model has a closed form on some features, the query fits it there and
-its SQL is that form: least squares on two numbers, and trees on the age, which
-has few enough values for a tree to end in one leaf per value. The same models
-on all features, which have no closed form, are queries without SQL.
+Models are fitted on the whole vector. Least squares has a closed form, which its
+SQL solves. What has none is checked by what must hold of it on its training
+rows, see ``operators.certify``: the query gives the figures that the model
+implies, for instance a mean label for every level, and SQL takes the same figures from
+the table. The ``*_numbers`` and ``*_age`` queries fit on features where all
+models have a closed form.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from lotwise.catalog.data import KEY, LISTINGS_SPEC, listings
-from lotwise.catalog.features import SPLIT_SQL
+from lotwise.catalog.features import SPLIT_SQL, sides
 from lotwise.catalog.registry import query
+from lotwise.catalog.solved import solved_sql
 from lotwise.functions.columns import car_age, round_columns
+from lotwise.operators import certify as C
 from lotwise.operators import evaluate as E
 from lotwise.operators import features as X
 from lotwise.operators import models as M
 from lotwise.operators import score as S
 from lotwise.operators import tune as T
+from lotwise.operators.levels import LevelIndexerModel
 from lotwise.plans.clean import clean_listings
 from lotwise.plans.train import train_and_compare
 from lotwise.sources.models import load_model, save_model
@@ -82,18 +87,18 @@ def _line(spark, sf, estimator):
     )
 
 
-@query("fit_linear", _line_sql(0.0, 0.0))
-def fit_linear(spark, sf):
+@query("fit_linear_numbers", _line_sql(0.0, 0.0))
+def fit_linear_numbers(spark, sf):
     return _line(spark, sf, M.linear)
 
 
-@query("fit_ridge", _line_sql(0.5, 0.0))
-def fit_ridge(spark, sf):
+@query("fit_ridge_numbers", _line_sql(0.5, 0.0))
+def fit_ridge_numbers(spark, sf):
     return _line(spark, sf, M.ridge)
 
 
-@query("fit_lasso", _line_sql(0.1, 1.0))
-def fit_lasso(spark, sf):
+@query("fit_lasso_numbers", _line_sql(0.1, 1.0))
+def fit_lasso_numbers(spark, sf):
     return _line(spark, sf, M.lasso)
 
 
@@ -110,53 +115,172 @@ def _tree(spark, sf, estimator):
     return scored.agg(F.count(F.lit(1)).alias("n"), F.round(F.max("prediction"), 2).alias("prediction"))
 
 
-@query("fit_decision_tree", TREE_SQL)
-def fit_decision_tree(spark, sf):
+@query("fit_decision_tree_age", TREE_SQL)
+def fit_decision_tree_age(spark, sf):
     return _tree(spark, sf, M.decision_tree)
 
 
-@query("fit_gbt", TREE_SQL)
-def fit_gbt(spark, sf):
+@query("fit_gbt_age", TREE_SQL)
+def fit_gbt_age(spark, sf):
     return _tree(spark, sf, M.gbt)
 
 
-@query("fit_gbt_tuned", TREE_SQL)
-def fit_gbt_tuned(spark, sf):
+@query("fit_gbt_tuned_age", TREE_SQL)
+def fit_gbt_tuned_age(spark, sf):
     return _tree(spark, sf, M.gbt_tuned)
 
 
-@query("fit_random_forest")
-def fit_random_forest(spark, sf):
+@query("fit_random_forest_age")
+def fit_random_forest_age(spark, sf):
     return _tree(spark, sf, M.random_forest)
 
+def assembled(spark, sf):
+    """Train rows with their vectors, written once, and the fitted features."""
+    train, _ = sides(spark, sf)
+    fitted = X.feature_pipeline(train, ALL)
+    return materialize(fitted.transform(train), "vectors", rebalance=True), fitted
+
+
+# Added to a mean before it is rounded: means of whole numbers are often right at
+# the edge between two roundings, and figures found by another way fall on either side.
+EDGE = 0.0031
+
+
+def _mean_labels_sql(digits: int) -> str:
+    """The mean label of every level, and that of the label times each scaled number."""
+    levels = " union all ".join(
+        f"""select '{c}' column_name, "{c}" "value", count(*) "rows", avg(worth) m from train
+            where "{c}" is not null group by "{c}\""""
+        for c in ALL.categorical
+    )
+    numbers = " union all ".join(
+        f"select '{c}', null, count(*), avg(worth * ({c} - m{i}) / d{i}) from train, s" for i, c in enumerate(ALL.numeric)
+    )
+    return f"""with {SPLIT_SQL}, s as (select avg(odometer) m0, stddev_samp(odometer) d0, avg(car_age) m1,
+          stddev_samp(car_age) d1 from train)
+        select column_name, "value", "rows", round(m + {EDGE}, {digits}) mean_label from ({levels} union all {numbers})"""
+
+
+def _stationary(spark, sf, estimator, reg: float, mix: float, digits: int):
+    vectors, fitted = assembled(spark, sf)
+    indexer = next(stage for stage in fitted.stages if isinstance(stage, LevelIndexerModel))
+    model = M.fit(estimator, vectors)
+    means = C.stationary_means(model, indexer, M.predict(model, vectors), ALL, reg, mix)
+    return means.withColumn("mean_label", F.round(F.col("mean_label") + EDGE, digits))
 
-PREDICTED_SQL = f"""{MOMENTS_SQL}, {_solve_sql('fitted', 's', '0.0', 0.0)},
-predicted as (select {', '.join(KEY)}, odometer, car_age, worth,
-  my + b0 * (odometer - m0) + b1 * (car_age - m1) prediction from test, fitted)"""
+
+@query("fit_linear", _mean_labels_sql(1))
+def fit_linear(spark, sf):
+    """Residuals of least squares add up to zero in every slot, so mean predictions are mean labels."""
+    return _stationary(spark, sf, M.linear(LABEL), 0.0, 0.0, 1)
+
+
+@query("fit_ridge", _mean_labels_sql(2))
+def fit_ridge(spark, sf):
+    """Mean predictions plus the slope of a squared penalty of 0.5 are mean labels."""
+    return _stationary(spark, sf, M.ridge(LABEL), 0.5, 0.0, 2)
+
+
+@query("fit_lasso", _mean_labels_sql(1))
+def fit_lasso(spark, sf):
+    """Mean predictions plus the slope of an absolute penalty of 0.1 are mean labels, solved to the last digits."""
+    tight = M.lasso(LABEL)
+    return _stationary(spark, sf, tight.copy({tight.tol: 1e-14, tight.maxIter: 10_000}), 0.1, 1.0, 1)
+
+
+def _trees_sql(trees: int, depth: int, bagged: bool = False) -> str:
+    """What the evidence of so many trees of that depth must be."""
+    mean = "null::double" if bagged else "case when k = 0 then round(m, 2) else 0 end"
+    return f"""with {SPLIT_SQL}, t as (select count(*) n, avg(worth) m from train)
+        select cast(k as int) tree, {depth} deepest, n "rows", {mean} mean_output, 0 off_leaves, 0 off_predictions
+        from t, range({trees}) r(k)"""
+
+
+def _evidence(spark, sf, estimator, step: float = 1.0, bagged: bool = False):
+    vectors, _ = assembled(spark, sf)
+    model = M.fit(estimator, vectors)
+    found = C.tree_evidence(model, vectors, LABEL, step, bagged)
+    mean = F.lit(None).cast("double") if bagged else F.round(F.col("mean_output"), 2) + 0.0
+    deepest = found.agg(F.max("depth")).scalar()
+    return found.select(
+        "tree", deepest.alias("deepest"), "rows", mean.alias("mean_output"),
+        F.col("off_leaves").cast("int").alias("off_leaves"), F.col("off_predictions").cast("int").alias("off_predictions"),
+    )
+
+
+@query(
+    "fit_decision_tree",
+    f"{_trees_sql(1, 5).replace('0 off_predictions', '0 off_predictions, 0 beaten_splits')}",
+)
+def fit_decision_tree(spark, sf):
+    """Every leaf is the mean of its rows, and no slot would have split a node better."""
+    vectors, _ = assembled(spark, sf)
+    model = M.fit(M.decision_tree(LABEL), vectors)
+    beaten = C.beaten_splits(model, vectors, LABEL).agg(F.count(F.lit(1)).cast("int")).scalar()
+    found = C.tree_evidence(model, vectors, LABEL)
+    return found.select(
+        "tree", F.col("depth").alias("deepest"), "rows", F.round("mean_output", 2).alias("mean_output"),
+        F.col("off_leaves").cast("int").alias("off_leaves"), F.col("off_predictions").cast("int").alias("off_predictions"),
+        beaten.alias("beaten_splits"),
+    )
+
+
+@query("fit_random_forest", _trees_sql(20, 5, bagged=True))
+def fit_random_forest(spark, sf):
+    """Twenty trees whose mean is the prediction, each leaf the mean of a sample of its rows."""
+    return _evidence(spark, sf, M.random_forest(LABEL), bagged=True)
+
+
+@query("fit_gbt", _trees_sql(20, 5))
+def fit_gbt(spark, sf):
+    """Twenty trees, each leaf the mean of what a tenth of the trees before left over."""
+    return _evidence(spark, sf, M.gbt(LABEL), 0.1)
+
+
+@query("fit_gbt_tuned", _trees_sql(75, 9))
+def fit_gbt_tuned(spark, sf):
+    """Seventy-five trees nine deep, with a step of 0.06."""
+    return _evidence(spark, sf, M.gbt_tuned(LABEL), 0.06)
+
+
+PENALTY = 0.5
+PREDICTED_SQL = f"""{solved_sql(PENALTY)},
+predicted as (select {', '.join(KEY)}, odometer, car_age, numbered.worth, prediction
+  from fitted join numbered using (rid) where not fitted.in_train)"""
+
+
+def _scorer_of_ridge(spark, sf):
+    """Features and a ridge model on the whole vector, and the test side as raw rows."""
+    train, test = sides(spark, sf)
+    features = X.feature_pipeline(train, ALL)
+    model = M.fit(M.ridge(LABEL), features.transform(train))
+    return features, model, test
 
 
 def _predicted(spark, sf):
-    train, test = vectors(spark, sf, NUMBERS)
-    return M.predict(M.fit(M.linear(LABEL, X.NUMERIC_VECTOR), train), test)
+    features, model, test = _scorer_of_ridge(spark, sf)
+    return M.predict(model, features.transform(test))
 
 
-@query("predict", f"with {PREDICTED_SQL} select {', '.join(KEY)}, worth, round(prediction, 3) prediction from predicted")
+@query(
+    "predict",
+    f"with recursive {PREDICTED_SQL} select {', '.join(KEY)}, worth, round(prediction, 0) prediction from predicted",
+)
 def predict(spark, sf):
-    return round_columns(_predicted(spark, sf).select(*KEY, LABEL, "prediction"), {"prediction": 3})
+    return round_columns(_predicted(spark, sf).select(*KEY, LABEL, "prediction"), {"prediction": 0})
 
 
 @query(
     "prediction_sample",
-    f"""with {PREDICTED_SQL} select cast(odometer as double) x0, cast(car_age as double) x1, worth,
-        round(prediction, 3) prediction from predicted order by {', '.join(KEY)} limit 20""",
+    f"""with recursive {PREDICTED_SQL} select round((odometer - m0) / d0, 6) z0, round((car_age - m1) / d1, 6) z1, worth,
+        round(prediction, 0) prediction from predicted, moments order by {', '.join(KEY)} limit 20""",
 )
 def prediction_sample(spark, sf):
-    shown = M.prediction_sample(
-        _predicted(spark, sf), 20, order_by=KEY, features=X.NUMERIC_VECTOR, label=LABEL
-    )
-    values = vector_to_array(X.NUMERIC_VECTOR)
+    shown = M.prediction_sample(_predicted(spark, sf), 20, order_by=KEY, label=LABEL)
+    values = vector_to_array(X.FEATURES)
     return shown.select(
-        values[0].alias("x0"), values[1].alias("x1"), LABEL, F.round("prediction", 3).alias("prediction")
+        F.round(values[0], 6).alias("z0"), F.round(values[1], 6).alias("z1"), LABEL,
+        F.round("prediction", 0).alias("prediction"),
     )
 
 
@@ -165,7 +289,7 @@ def _metric_query(name: str, measure, digits: int):
 
     @query(
         name,
-        f"""with {PREDICTED_SQL}, scores as (select {SCORES_SQL} from (select worth y, prediction p from predicted))
+        f"""with recursive {PREDICTED_SQL}, scores as (select {SCORES_SQL} from (select worth y, prediction p from predicted))
             select round({short}, {digits}) {short} from scores""",
     )
     def build(spark, sf):
@@ -222,18 +346,22 @@ def train_listings(spark, sf):
 
 # Penalties of the size of the label's spread, so that scores differ.
 GRID = {"regParam": (0.0, 500.0, 2000.0, 8000.0), "elasticNetParam": (0.0,)}
-GRID_SQL = f"""{MOMENTS_SQL}, grid as (select * from (values {', '.join(f'({v}::double)' for v in GRID['regParam'])}) g("regParam")),
-{_solve_sql('fitted', 's, grid', '"regParam"', 0.0)},
-scored as (select "regParam", in_train, worth y, my + b0 * (odometer - m0) + b1 * (car_age - m1) p
-  from aged, fitted),
-scores as (select "regParam", in_train, {SCORES_SQL} from scored group by "regParam", in_train),
-result as (select "regParam", 0.0::double "elasticNetParam", max(case when in_train then r2 end) train_r2,
-  max(case when not in_train then r2 end) test_r2 from scores group by "regParam")"""
+GRID_SQL = f"""{solved_sql(*GRID['regParam'])},
+scores as (select reg, in_train, {SCORES_SQL} from (select reg, in_train, worth y, prediction p from fitted) group by reg, in_train),
+result as (select reg "regParam", 0.0::double "elasticNetParam", max(case when in_train then r2 end) train_r2,
+  max(case when not in_train then r2 end) test_r2 from scores group by reg)"""
 
 
 def _grid(spark, sf):
-    train, test = vectors(spark, sf, NUMBERS)
-    return T.grid_search(M.linear(LABEL, X.NUMERIC_VECTOR), GRID, train, test)
+    train, test = sides(spark, sf)
+    fitted = X.feature_pipeline(train, ALL)
+    columns = (X.FEATURES, LABEL)
+    return T.grid_search(
+        M.linear(LABEL),
+        GRID,
+        materialize(fitted.transform(train).select(*columns), "train", rebalance=True),
+        materialize(fitted.transform(test).select(*columns), "test", rebalance=True),
+    )
 
 
 POINT_SQL = '"regParam", "elasticNetParam"'
@@ -242,20 +370,20 @@ SCORE_DIGITS = {"train_r2": 6, "test_r2": 6, "gap": 6, "value": 6}
 
 @query(
     "grid_search",
-    f"with {GRID_SQL} select {POINT_SQL}, round(train_r2, 6) train_r2, round(test_r2, 6) test_r2 from result",
+    f"with recursive {GRID_SQL} select {POINT_SQL}, round(train_r2, 6) train_r2, round(test_r2, 6) test_r2 from result",
 )
 def grid_search(spark, sf):
     return round_columns(_grid(spark, sf), SCORE_DIGITS)
 
 
-@query("grid_search_train", f"with {GRID_SQL} select {POINT_SQL}, round(train_r2, 6) train_r2 from result")
+@query("grid_search_train", f"with recursive {GRID_SQL} select {POINT_SQL}, round(train_r2, 6) train_r2 from result")
 def grid_search_train(spark, sf):
     return round_columns(T.grid_search_train(_grid(spark, sf)), SCORE_DIGITS)
 
 
 @query(
     "overfit_gap",
-    f"""with {GRID_SQL} select {POINT_SQL}, round(train_r2, 6) train_r2, round(test_r2, 6) test_r2,
+    f"""with recursive {GRID_SQL} select {POINT_SQL}, round(train_r2, 6) train_r2, round(test_r2, 6) test_r2,
         round(train_r2 - test_r2, 6) gap from result""",
 )
 def overfit_gap(spark, sf):
@@ -264,7 +392,7 @@ def overfit_gap(spark, sf):
 
 @query(
     "best_params",
-    f"""with {GRID_SQL} select {POINT_SQL}, round(train_r2, 6) train_r2, round(test_r2, 6) test_r2,
+    f"""with recursive {GRID_SQL} select {POINT_SQL}, round(train_r2, 6) train_r2, round(test_r2, 6) test_r2,
         round(train_r2 - test_r2, 6) gap from result order by test_r2 desc, {POINT_SQL} limit 1""",
 )
 def best_params(spark, sf):
@@ -273,7 +401,7 @@ def best_params(spark, sf):
 
 @query(
     "metric_series",
-    f"""with {GRID_SQL} select cast(row_number() over (order by {POINT_SQL}) as int) pos,
+    f"""with recursive {GRID_SQL} select cast(row_number() over (order by {POINT_SQL}) as int) pos,
         concat_ws('.', "regParam", "elasticNetParam") point, round(test_r2, 6) "value" from result""",
 )
 def metric_series(spark, sf):
@@ -343,34 +471,27 @@ def score_listings_boosted(spark, sf):
 
 
 def _saved(spark, sf):
-    train, test = vectors(spark, sf, NUMBERS)
-    fitted = Pipeline(stages=[M.linear(LABEL, X.NUMERIC_VECTOR)]).fit(train)
-    return save_model(fitted, new_path(spark, "model")), test
-
-
-SAVED_SQL = f"with {PREDICTED_SQL} select {', '.join(KEY)}, round(prediction, 3) prediction from predicted"
+    features, model, test = _scorer_of_ridge(spark, sf)
+    return save_model(PipelineModel([*features.stages, model]), new_path(spark, "model")), test
 
 
 @query(
     "save_model",
-    f"""with {MOMENTS_SQL}, {_solve_sql('fitted', 's', '0.0', 0.0)}
-        select round(b0, 4) b_odometer, round(b1, 1) b_car_age, round(my - b0 * m0 - b1 * m1, 0) intercept
-        from fitted""",
+    f"""with recursive {solved_sql(PENALTY)}
+        select cast(k - 1 as int) slot, round(b, 1) coefficient from beta""",
 )
 def save(spark, sf):
-    """The saved file itself, read as a table."""
+    """The saved coefficients, read as a table; the intercept has slot -1."""
     path, _ = _saved(spark, sf)
-    stage = spark.read.parquet(f"{path}/stages/*/data")
-    values = vector_to_array("coefficients")
-    return stage.select(
-        F.round(values[0], 4).alias("b_odometer"),
-        F.round(values[1], 1).alias("b_car_age"),
-        F.round("intercept", 0).alias("intercept"),
-    )
+    model = spark.read.parquet(f"{path}/stages/*LinearRegression*/data")
+    slots = model.select(F.posexplode(F.concat(F.array("intercept"), vector_to_array("coefficients"))).alias("k", "b"))
+    return slots.select((F.col("k") - 1).alias("slot"), F.round("b", 1).alias("coefficient"))
 
 
-@query("load_model", SAVED_SQL)
+@query(
+    "load_model",
+    f"with recursive {PREDICTED_SQL} select {', '.join(KEY)}, round(prediction, 0) prediction from predicted",
+)
 def load(spark, sf):
     path, test = _saved(spark, sf)
-    scored = load_model(path).transform(test)
-    return round_columns(scored.select(*KEY, "prediction"), {"prediction": 3})
+    return round_columns(load_model(path).transform(test).select(*KEY, "prediction"), {"prediction": 0})

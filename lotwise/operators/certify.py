@@ -51,7 +51,7 @@ def stationary_means(
     """
     spark = rows.sparkSession
     label, weights = spec.label, model.coefficients.toArray()
-    n, spread = rows.agg(F.count(F.lit(1)), F.stddev_samp(label)).first()
+    n, spread = rows.agg(F.count(F.lit(1)), F.stddev_pop(label)).first()
     width = len(spec.numeric)
     residual = F.col(label) - F.col("prediction")
     # (1/n) * sum of residual * slot = the penalty's slope, of which ``deviation`` is the slot's.
@@ -66,7 +66,7 @@ def stationary_means(
             F.struct(
                 F.lit(name).alias("column_name"), F.lit(None).cast("string").alias("value"), F.lit(i).cast("long").alias("slot"),
                 F.avg(scaled[i] * F.col("prediction")).alias("mean"), F.avg(scaled[i] * residual).alias("balance"),
-                F.count(F.lit(1)).alias("rows"), F.stddev_samp(scaled[i]).alias("deviation"),
+                F.count(F.lit(1)).alias("rows"), F.stddev_pop(scaled[i]).alias("deviation"),
             )
             for i, name in enumerate(spec.numeric)
         ]
@@ -78,7 +78,7 @@ def stationary_means(
             F.avg("prediction").alias("mean"), (F.sum("residual") / F.lit(n)).alias("balance"), F.count(F.lit(1)).alias("rows")
         )
         share = F.col("rows") / F.lit(n)
-        sums = sums.withColumn("share", share).withColumn("deviation", F.sqrt(share * (1 - share) * F.lit(n / max(n - 1, 1))))
+        sums = sums.withColumn("share", share).withColumn("deviation", F.sqrt(share * (1 - share)))
         tables.append(sums.join(_slots(indexer, spec, width), ["column_name", "value"]))
     coefficients = spark.createDataFrame([(i, float(w)) for i, w in enumerate(weights)], "slot long, weight double")
     found = None
