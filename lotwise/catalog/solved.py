@@ -20,14 +20,14 @@ _LEVEL_TERMS = " union all ".join(
 )
 
 
-def solved_sql(*penalties: float) -> str:
-    """CTEs for ``with recursive``: ``beta(reg, k, b)`` and ``fitted(reg, rid, in_train, worth, prediction)``.
+def solved_sql(*penalties: float, split: str = SPLIT_SQL) -> str:
+    """CTEs for ``with recursive`` over the sides that ``split`` makes: ``beta(reg, k, b)`` and ``fitted(reg, rid, in_train, worth, prediction)``.
 
     Penalties are as the linear regression takes them, on features of unit
     variance. Without a penalty the first level of a category without nulls is left
     out, as its slots add up to the intercept; that changes no prediction.
     """
-    return f"""{SPLIT_SQL}, {INDEX_SQL},
+    return f"""{split}, {INDEX_SQL},
 numbered as (select *, row_number() over (order by {_KEYS}) rid from aged),
 moments as (select count(*) n, avg(odometer) m0, stddev_samp(odometer) d0, avg(car_age) m1, stddev_samp(car_age) d1,
   stddev_pop(worth) dy from train),
