@@ -429,19 +429,61 @@ def metric_series(spark, sf):
     return round_columns(series, SCORE_DIGITS)
 
 
+BOOSTED_GRID = {"maxIter": (5, 10), "maxDepth": (3, 5), "stepSize": (0.1, 0.3)}
+
+
+def _boosted_sides(spark, sf):
+    train, test = X.split_train_test(clean_listings(listings(spark, sf), LISTINGS_SPEC))
+    features = X.feature_pipeline(train, ALL)
+    columns = (X.FEATURES, LABEL)
+    return [
+        materialize(features.transform(side).select(*columns), name, rebalance=True)
+        for name, side in (("train", train), ("test", test))
+    ]
+
+
 @query("grid_search_boosted")
 def grid_search_boosted(spark, sf):
     """Boosted trees on all features of every cleaned listing, a small grid."""
-    train, test = X.split_train_test(clean_listings(listings(spark, sf), LISTINGS_SPEC))
-    fitted = X.feature_pipeline(train, ALL)
-    columns = (X.FEATURES, LABEL)
-    grid = {"maxIter": (5, 10), "maxDepth": (3, 5), "stepSize": (0.1, 0.3)}
-    return T.grid_search(
-        M.gbt(LABEL),
-        grid,
-        materialize(fitted.transform(train).select(*columns), "train", rebalance=True),
-        materialize(fitted.transform(test).select(*columns), "test", rebalance=True),
+    return T.grid_search(M.gbt(LABEL), BOOSTED_GRID, *_boosted_sides(spark, sf))
+
+
+@query(
+    "grid_search_evidence",
+    f"""with {CLEANED_SQL}, marked as (select *, substr(md5(concat_ws('|', '23', {CLEANED_COLUMNS})), 1, 8) < 'cccccccd' in_train from cleaned),
+    t as (select count(*) n, avg(worth) m from marked where in_train)
+    select d "maxDepth", s "stepSize", cast(count(*) as int) trees, d deepest, n "rows", round(m, 2) mean_output, 0 off_leaves,
+      0 off_predictions, true scores_agree
+    from t, range({max(BOOSTED_GRID['maxIter'])}) r(k), (select unnest([{', '.join(map(str, BOOSTED_GRID['maxDepth']))}]) d) a,
+      (select unnest([{', '.join(f'{v}::double' for v in BOOSTED_GRID['stepSize'])}]) s) b group by d, s, n, m""",
+)
+def grid_search_evidence(spark, sf):
+    """What the model of each setting of the boosted grid is on its training rows.
+
+    The longest model of a setting stands for all its points, as theirs are the
+    starts of it. ``scores_agree`` compares the grid's score with the model's own.
+    """
+    train, test = _boosted_sides(spark, sf)
+    models = {}
+    result = T.grid_search(
+        M.gbt(LABEL), BOOSTED_GRID, train, test,
+        fitted=lambda point, model: models.update({(point["maxDepth"], point["stepSize"]): (point["maxIter"], model)}),
     )
+    scores = {(r["maxIter"], r["maxDepth"], r["stepSize"]): r["train_r2"] for r in result.collect()}
+    found = None
+    for (depth, step), (trees, model) in sorted(models.items()):
+        r2 = E.leaderboard({"m": model}, train, LABEL, digits=None).first()["R2"]
+        told = C.tree_evidence(model, train, LABEL, step).agg(
+            F.count(F.lit(1)).cast("int").alias("trees"), F.max("depth").alias("deepest"), F.max("rows").alias("rows"),
+            # Trees after the first add nothing to the mean.
+            F.round(F.sum("mean_output"), 2).alias("mean_output"), F.sum("off_leaves").cast("int").alias("off_leaves"),
+            F.max("off_predictions").cast("int").alias("off_predictions"),
+        ).select(
+            F.lit(depth).alias("maxDepth"), F.lit(step).alias("stepSize"), "*",
+            F.lit(abs(scores[(trees, depth, step)] - r2) < 1e-9).alias("scores_agree"),
+        )
+        found = told if found is None else found.unionAll(told)
+    return found
 
 
 REQUEST = (*KEY, "odometer", "year", *ALL.categorical)

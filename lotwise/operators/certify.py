@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel, LinearRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.operators.features import SCALED_VECTOR, FeatureSpec
@@ -122,7 +122,7 @@ class Tree:
 
 def tree_nodes(model) -> DataFrame:
     """Nodes of a saved tree or ensemble: tree, id, value, sums, gain, children and split."""
-    spark = model._java_obj and _session(model)
+    spark = SparkSession.active()
     path = new_path(spark, "nodes")
     model.write().save(path)
     data = spark.read.parquet(f"{path}/data")
@@ -137,15 +137,9 @@ def tree_nodes(model) -> DataFrame:
     )
 
 
-def _session(model):
-    from pyspark.sql import SparkSession
-
-    return SparkSession.active()
-
-
 def read_trees(model) -> tuple[list[Tree], np.ndarray]:
     """All trees of a model and the features that they split on; ``column`` counts among these."""
-    with scope(_session(model)):
+    with scope(SparkSession.active()):
         rows = sorted(tree_nodes(model).collect(), key=lambda r: (r["tree"], r["id"]))
     used = np.array(sorted({r["feature"] for r in rows if r["left"] >= 0}), np.int64)
     trees = []
@@ -269,7 +263,8 @@ def beaten_splits(model, rows: DataFrame, label: str) -> DataFrame:
     """Nodes of a single tree for which a split on some 0/1 slot would have gained more than the chosen one.
 
     Every row says of every node on its way which slots it has; sums of that give
-    each slot's gain. Columns: node, feature, gain, chosen.
+    each slot's gain. Columns: node, feature, gain, chosen. Vectors must be assembled ones,
+    which are sparse.
     """
     (tree,), used = read_trees(model)
     features = model.getFeaturesCol()
@@ -308,7 +303,7 @@ def beaten_splits(model, rows: DataFrame, label: str) -> DataFrame:
     )
     whole = split.where(F.col("feature") == size).select("node", F.col("rows").alias("n"), F.col("target").alias("t"))
     both = split.where(F.col("feature") < size).join(whole, "node").where("rows < n")
-    square = lambda t, n: t * t / n
+    square = lambda t, n: F.try_divide(t * t, n)
     rest = square(F.col("t") - F.col("target"), F.col("n") - F.col("rows"))
     gain = (square(F.col("target"), F.col("rows")) + rest - square(F.col("t"), F.col("n"))) / F.col("n")
     chosen = rows.sparkSession.createDataFrame(

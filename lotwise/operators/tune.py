@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from hashlib import sha256
 from itertools import product
 
 from pyspark import inheritable_thread_target
+from pyspark.ml import Model
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ def _r2_by_iteration(model, df: DataFrame, label: str) -> list[float]:
     return [1 - mse / spread for mse in model.evaluateEachIteration(df, "squared")]
 
 
-def _boosted_group(estimator: GBTRegressor, iterations, fixed: dict, train, test) -> list[dict]:
+def _boosted_group(estimator: GBTRegressor, iterations, fixed: dict, train, test, fitted) -> list[dict]:
     """All ``maxIter`` values of one setting from its longest fit.
 
     Boosting adds trees one after another, so the model with fewer iterations
@@ -46,6 +48,7 @@ def _boosted_group(estimator: GBTRegressor, iterations, fixed: dict, train, test
     label = estimator.getLabelCol()
     longest = {**fixed, "maxIter": max(iterations)}
     model = fit(estimator.copy({getattr(estimator, p): v for p, v in longest.items()}), train)
+    fitted(longest, model)
     on_train, on_test = _r2_by_iteration(model, train, label), _r2_by_iteration(model, test, label)
     return [
         {"maxIter": i, **fixed, "train_r2": on_train[i - 1], "test_r2": on_test[i - 1]}
@@ -53,48 +56,106 @@ def _boosted_group(estimator: GBTRegressor, iterations, fixed: dict, train, test
     ]
 
 
-def _single_point(estimator, point: dict, train, test) -> list[dict]:
+def _single_point(estimator, point: dict, train, test, fitted) -> list[dict]:
     label = estimator.getLabelCol()
     model = fit(estimator.copy({getattr(estimator, p): v for p, v in point.items()}), train)
+    fitted(point, model)
     r2 = [leaderboard({"m": model}, side, label, digits=None).first()["R2"] for side in (train, test)]
     return [{**point, "train_r2": r2[0], "test_r2": r2[1]}]
 
 
+def _fingerprint(estimator, grid: Mapping[str, Sequence], train: DataFrame, test: DataFrame) -> str:
+    """A digest of everything but the point that a score depends on: settings, label and rows of both sides."""
+    settings = sorted((p.name, str(v)) for p, v in estimator.extractParamMap().items() if p.name not in grid)
+    label = F.col(estimator.getLabelCol()).cast("double")
+    facts = [F.count(F.lit(1)), F.sum(label), F.sum(label * label), F.min(label), F.max(label)]
+    # Sums of doubles differ in the last digits from run to run.
+    sides = [[f"{v:.9g}" if v is not None else "" for v in side.agg(*facts).first()] for side in (train, test)]
+    return sha256(repr((type(estimator).__name__, settings, sides)).encode()).hexdigest()[:16]
+
+
+class _Finished:
+    """Scores of finished settings as small written tables, one folder for each, under ``path``.
+
+    A setting's folder has its rows only once they are all written, so a run
+    that was killed leaves whole settings or nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None, schema: str, print_of: str):
+        self.spark, self.schema, self.rows = spark, schema, []
+        self.path = path and f"{path.rstrip('/')}/{print_of}"
+        if self.path and self._exists():
+            self.rows = [r.asDict() for r in spark.read.schema(schema).parquet(f"{self.path}/*").collect()]
+
+    def _exists(self) -> bool:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/*/_SUCCESS")
+        found = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(folder)
+        return found is not None and len(found) > 0
+
+    def has(self, points: Sequence[dict]) -> list[dict] | None:
+        """The rows of the points, if all are there."""
+        found = [next((r for r in self.rows if all(r[n] == v for n, v in p.items())), None) for p in points]
+        return None if None in found else found
+
+    def add(self, rows: list[tuple], name: str) -> None:
+        if self.path:
+            frame = self.spark.createDataFrame(rows, self.schema).coalesce(1)  # a few rows
+            frame.write.mode("overwrite").parquet(f"{self.path}/{sha256(name.encode()).hexdigest()[:16]}")
+
+
 def grid_search(
     estimator,
     grid: Mapping[str, Sequence],
     train: DataFrame,
     test: DataFrame,
     parallelism: int = 4,
+    path: str | None = None,
+    fitted: Callable[[dict, Model], None] = lambda point, model: None,
 ) -> DataFrame:
     """Train and test R² of every grid point; each model is fitted once.
 
     A boosted estimator is fitted once per setting of the other parameters, not
     once per ``maxIter``. Every fit passes over both sides: give written tables
     or held frames.
+
+    With ``path``, in a store that outlives the session, the scores of each
+    setting are written there as it is finished, and a run that finds them
+    fits only what is absent. Scores count for the same estimator, settings and
+    rows; others under the same path are left alone. ``fitted`` is called with each model
+    that is fitted, from several threads.
     """
-    names = list(grid)
+    names, spark = list(grid), train.sparkSession
     columns = (estimator.getFeaturesCol(), estimator.getLabelCol())
     boosted = isinstance(estimator, GBTRegressor) and "maxIter" in grid
     train, test = train.select(*columns), test.select(*columns)
-    if boosted:
-        others = grid_points({n: v for n, v in grid.items() if n != "maxIter"})
-        jobs = [(_boosted_group, estimator, list(grid["maxIter"]), o, train, test) for o in others]
-    else:
-        jobs = [(_single_point, estimator, p, train, test) for p in grid_points(grid)]
-    with ThreadPoolExecutor(max(parallelism, 1)) as pool:
-        run = inheritable_thread_target(train.sparkSession)(lambda work, *args: work(*args))
-        found = [row for rows in pool.map(lambda job: run(*job), jobs) for row in rows]
-    order = {tuple(p[n] for n in names): i for i, p in enumerate(grid_points(grid))}
-    found.sort(key=lambda row: order[tuple(row[n] for n in names)])
     kinds = {n: "int" if all(isinstance(v, int) for v in grid[n]) else "double" for n in names}
     schema = ", ".join([f"{n} {kinds[n]}" for n in names] + ["train_r2 double", "test_r2 double"])
-    rows = [
-        tuple(int(row[n]) if kinds[n] == "int" else float(row[n]) for n in names)
-        + tuple(None if row[side] is None else float(row[side]) for side in ("train_r2", "test_r2"))
-        for row in found
-    ]
-    return train.sparkSession.createDataFrame(rows, schema)
+    finished = _Finished(spark, path, schema, _fingerprint(estimator, grid, train, test) if path else "")
+
+    def typed(row: dict) -> tuple:
+        point = tuple(int(row[n]) if kinds[n] == "int" else float(row[n]) for n in names)
+        return point + tuple(None if row[side] is None else float(row[side]) for side in ("train_r2", "test_r2"))
+
+    def work(point: dict) -> list[tuple]:
+        points = [{**point, "maxIter": i} for i in grid["maxIter"]] if boosted else [point]
+        known = finished.has(points)
+        if known is not None:
+            return [typed(r) for r in known]
+        if boosted:
+            found = _boosted_group(estimator, list(grid["maxIter"]), point, train, test, fitted)
+        else:
+            found = _single_point(estimator, point, train, test, fitted)
+        rows = [typed(r) for r in found]
+        finished.add(rows, repr(sorted(point.items())) + repr(sorted(grid["maxIter"]) if boosted else ""))
+        return rows
+
+    settings = grid_points({n: v for n, v in grid.items() if not (boosted and n == "maxIter")})
+    with ThreadPoolExecutor(max(parallelism, 1)) as pool:
+        run = inheritable_thread_target(spark)(work)
+        found = [row for rows in pool.map(run, settings) for row in rows]
+    order = {tuple(p[n] for n in names): i for i, p in enumerate(grid_points(grid))}
+    found.sort(key=lambda row: order[row[: len(names)]])
+    return spark.createDataFrame(found, schema)
 
 
 def grid_search_train(result: DataFrame) -> DataFrame:

@@ -144,3 +144,32 @@ def test_train_and_compare(spark, sides):
     scorer = job.scorer("DecisionTree")
     _, test = split_train_test(rows, key=("id",))
     assert E.regression_metrics(scorer.transform(test)).first().R2 == pytest.approx(board["DecisionTree"])
+
+
+def test_grid_goes_on_where_a_run_was_killed(sides, tmp_path):
+    """Finished settings are kept, absent ones fitted, and the rows are those of an unbroken run."""
+    train, test = sides
+    grid = {"maxIter": (2, 4), "maxDepth": (2, 3), "stepSize": (0.1, 0.3)}
+    path, whole = str(tmp_path / "grid"), T.grid_search(M.gbt("price", "features"), grid, train, test).collect()
+    fits = []
+
+    def dies(point, model):
+        fits.append(point)
+        if len(fits) >= 3:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        T.grid_search(M.gbt("price", "features"), grid, train, test, parallelism=1, path=path, fitted=dies)
+    assert len(fits) in (3, 4)  # the next one may have been begun
+    again = []
+    resumed = T.grid_search(M.gbt("price", "features"), grid, train, test, path=path, fitted=lambda p, m: again.append(p)).collect()
+    assert len(again) == 2
+    assert resumed == whole
+    third = []
+    assert T.grid_search(M.gbt("price", "features"), grid, train, test, path=path, fitted=lambda p, m: third.append(p)).collect() == whole
+    assert third == []
+    # Other rows or settings do not take these scores.
+    T.grid_search(M.gbt("price", "features", seed=5), grid, train, test, path=path, fitted=lambda p, m: third.append(p))
+    assert len(third) == 4
+    T.grid_search(M.gbt("price", "features"), grid, test, train, path=path, fitted=lambda p, m: third.append(p))
+    assert len(third) == 8
