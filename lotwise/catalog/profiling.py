@@ -101,9 +101,7 @@ QUANTILES = {"l_extendedprice": (0.15, 0.75), "l_quantity": (0.05, 0.25, 0.75)}
     ),
 )
 def quantiles_exact(spark, sf):
-    df = table(spark, sf, "lineitem")
-    parts = [approx_quantiles(df, [c], ps, rel_err=0.0) for c, ps in QUANTILES.items()]
-    return parts[0].unionAll(parts[1])
+    return approx_quantiles(table(spark, sf, "lineitem"), QUANTILES, rel_err=0.0)
 
 
 @query(
