@@ -13,7 +13,7 @@ from lotwise.operators.clean import group_rare_fixed, keep_listed, quantile_fenc
 from lotwise.operators.profile import top_k_values, top_values
 from lotwise.operators.stages import RareGrouperModel
 from lotwise.operators.rows import drop_duplicates, drop_null_rows, fill_unknown
-from lotwise.sources.workspace import materialize
+from lotwise.sources.workspace import Owner, materialize, scope
 
 
 @dataclass(frozen=True)
@@ -89,11 +89,25 @@ def learn(base: DataFrame, spec: CleanSpec) -> Learned:
 
 @dataclass(frozen=True)
 class Cleaned:
-    """The cleaned rows, and the table that the lists of kept values were learned from."""
+    """The cleaned rows, and the table that the lists of kept values were learned from.
+
+    Both read one written table, which goes when the result is closed, at the end of
+    a ``with`` block or by ``close``, and with the session otherwise.
+    """
 
     rows: DataFrame
     base: DataFrame
     spec: CleanSpec
+    owner: Owner
+
+    def close(self) -> None:
+        self.owner.release()
+
+    def __enter__(self) -> "Cleaned":
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
 
     def grouper(self) -> RareGrouperModel:
         """The lists as a fitted stage: it turns raw values into those the rows hold."""
@@ -115,46 +129,48 @@ def clean_and_learn(df: DataFrame, spec: CleanSpec = CleanSpec()) -> Cleaned:
     result is one scan of it that the fences are pushed down to, joined with the lists. Casting ahead
     of the rare-value and list rules changes nothing: they read other columns.
     """
-    distinct = drop_duplicates(drop_columns(df, *spec.drop))
-    filled = fill_unknown(drop_null_rows(distinct, spec.required))
-    base = materialize(cast_int(filled, *INT_COLUMNS), "listings")
-    learned = learn(base, spec)
-    rows = group_rare_fixed(base, "manufacturer", spec.makes)
-    for name, k in spec.top_k.items():
-        rows = keep_listed(rows, name, top_k_values(base, name, k))
-    for _, keep in learned.filters:
-        rows = rows.where(keep)
-    if spec.keep_year:
-        rows = rows.withColumn("_year", F.col("year"))
-    return Cleaned(car_age(rows, spec.reference_year).withColumnRenamed("_year", "year"), base, spec)
+    with scope(df.sparkSession) as owner:
+        distinct = drop_duplicates(drop_columns(df, *spec.drop))
+        filled = fill_unknown(drop_null_rows(distinct, spec.required))
+        base = materialize(cast_int(filled, *INT_COLUMNS), "listings")
+        learned = learn(base, spec)
+        rows = group_rare_fixed(base, "manufacturer", spec.makes)
+        for name, k in spec.top_k.items():
+            rows = keep_listed(rows, name, top_k_values(base, name, k))
+        for _, keep in learned.filters:
+            rows = rows.where(keep)
+        if spec.keep_year:
+            rows = rows.withColumn("_year", F.col("year"))
+        aged = car_age(rows, spec.reference_year).withColumnRenamed("_year", "year")
+        return Cleaned(aged, base, spec, owner.retain())
 
 
 def step_counts(df: DataFrame, spec: CleanSpec = CleanSpec()) -> DataFrame:
     """Rows left after each cleaning step, counted in one pass.
 
     Deduplication keeps the number of copies, so the raw count needs no scan of
-    its own, and every later step is a filter over the distinct rows.
+    its own, and every later step is a filter over the distinct rows. The counts are
+    taken at once, so that the written table can go.
     """
+    spark = df.sparkSession
     narrow = drop_columns(df, *spec.drop)
     counted = narrow.groupBy(*narrow.columns).agg(F.count(F.lit(1)).alias("_copies"))
     present = F.lit(True)
     for name in spec.required:
         present = present & F.col(name).isNotNull()
     filled = fill_unknown(counted.withColumn("_present", present))
-    rows = materialize(cast_int(filled, *INT_COLUMNS), "steps")
-    learned = learn(rows.where("_present"), spec)
-    steps = [
-        ("read", F.coalesce(F.sum("_copies"), F.lit(0))),
-        ("distinct", F.count(F.lit(1))),
-        ("required present", F.count_if("_present")),
-    ]
-    keep = F.col("_present")
-    for name, condition in learned.filters:
-        keep = keep & condition
-        steps.append((name, F.count_if(keep)))
-    measured = rows.agg(*[count.cast("bigint").alias(f"_{i}") for i, (_, count) in enumerate(steps)])
-    cells = [
-        F.struct(F.lit(i).alias("pos"), F.lit(name).alias("step"), F.col(f"_{i}").alias("rows"))
-        for i, (name, _) in enumerate(steps)
-    ]
-    return measured.select(F.inline(F.array(*cells)))
+    with scope(spark):
+        rows = materialize(cast_int(filled, *INT_COLUMNS), "steps")
+        learned = learn(rows.where("_present"), spec)
+        steps = [
+            ("read", F.coalesce(F.sum("_copies"), F.lit(0))),
+            ("distinct", F.count(F.lit(1))),
+            ("required present", F.count_if("_present")),
+        ]
+        keep = F.col("_present")
+        for name, condition in learned.filters:
+            keep = keep & condition
+            steps.append((name, F.count_if(keep)))
+        measured = rows.agg(*[count.cast("bigint").alias(f"_{i}") for i, (_, count) in enumerate(steps)]).first()
+    cells = [(i, name, measured[i]) for i, (name, _) in enumerate(steps)]
+    return spark.createDataFrame(cells, "pos int, step string, rows bigint")

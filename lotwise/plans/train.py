@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from lotwise.operators.evaluate import LEADERBOARD_DIGITS, fit_all, leaderboard
 from lotwise.operators.features import FEATURES, FeatureSpec, feature_pipeline, split_train_test
 from lotwise.operators.models import REGRESSORS
-from lotwise.sources.workspace import materialize
+from lotwise.sources.workspace import materialize, scope
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,8 @@ def train_and_compare(
     train, test = split_train_test(df, share, seed, key)
     features = feature_pipeline(train, spec)
     vectors = features.transform(train).select(FEATURES, spec.label)
-    train_vectors = materialize(vectors, "train", rebalance=True)
+    with scope(df.sparkSession):  # the vectors go when all models are fitted, or one of them fails
+        train_vectors = materialize(vectors, "train", rebalance=True)
+        models = fit_all({n: REGRESSORS[n](spec.label) for n in names}, train_vectors, parallelism)
     test_vectors = features.transform(test).select(FEATURES, spec.label)
-    models = fit_all({n: REGRESSORS[n](spec.label) for n in names}, train_vectors, parallelism)
     return Training(features, models, leaderboard(models, test_vectors, spec.label, digits), tuple(before))

@@ -98,6 +98,7 @@ def clear(spark: SparkSession) -> None:
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[Owner]:
     """Own all tables that the block writes; on an error they go whoever retains them."""
+    _session_owner(spark)  # what a result retains and never releases goes with the session
     owner = Owner(spark)
     outer = _SCOPE.set(owner)
     try:

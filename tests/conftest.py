@@ -10,6 +10,7 @@ for folder in (Path(__file__).resolve().parents[1], Path(__file__).resolve().par
     sys.path.insert(0, str(folder))
 
 from lotwise.session import get_session  # noqa: E402
+from lotwise.sources.workspace import clear  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -17,6 +18,7 @@ def spark():
     session = get_session("tests", cpus=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear(session)
     session.stop()
 
 
