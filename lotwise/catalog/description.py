@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotwise.catalog.data import LISTINGS_SQL, listings, table
+from lotwise.catalog.data import KEY, LISTINGS_SQL, listings, table
 from lotwise.catalog.registry import query
 from lotwise.functions.columns import car_age, round_columns
 from lotwise.operators import describe
@@ -86,6 +86,25 @@ def group_mean_ci(spark, sf):
     return round_columns(describe.group_mean_ci(listings(spark, sf, "price", "year"), "year"), ROUNDED)
 
 
+DRAWS = 96
+_TIMES = " + ".join(f"(u >= {t})::int" for t in describe.POISSON if t < 65536)
+
+
+@query(
+    "group_mean_bootstrap",
+    f"""with {LISTINGS_SQL},
+      drawn as (select fuel, price, b, ('0x' || substr(md5(concat_ws('|', '23', b // 8, {', '.join(KEY)})), 4 * (b % 8) + 1, 4))::int u
+        from listings, range({DRAWS}) r(b)),
+      means as (select fuel, b, sum(price * ({_TIMES})) / sum({_TIMES}) m from drawn group by fuel, b),
+      bounds as (select fuel, quantile_cont(m, 0.025) lo, quantile_cont(m, 0.975) hi from means group by fuel)
+      select fuel, count(*) n, round(avg(price), 4) mean, round(any_value(lo), 4) ci_low, round(any_value(hi), 4) ci_high
+      from listings join bounds using (fuel) group by fuel""",
+)
+def group_mean_bootstrap(spark, sf):
+    df = listings(spark, sf, *KEY, "price", "fuel")
+    return round_columns(describe.group_mean_bootstrap(df, "fuel", KEY, draws=DRAWS), ROUNDED)
+
+
 @query("group_mean_2d", f"with {LISTINGS_SQL} {_means_sql('fuel', 'condition')}")
 def group_mean_2d(spark, sf):
     df = listings(spark, sf, "price", "fuel", "condition")

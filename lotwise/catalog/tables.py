@@ -10,7 +10,7 @@ from lotwise.functions.columns import car_age, round_columns
 from lotwise.operators.evaluate import regression_metrics
 from lotwise.operators.profile import value_tallies
 from lotwise.sources import frames
-from lotwise.sources.csv import read_csv, write_csv
+from lotwise.sources.csv import read_csv, read_csv_checked, write_csv
 from lotwise.sources.workspace import new_path
 
 ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
@@ -19,14 +19,37 @@ ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_
 @query(
     "read_csv",
     """select cast(o_orderkey as int) o_orderkey, cast(o_custkey as int) o_custkey, o_orderstatus,
-       o_totalprice, o_orderpriority from orders""",
+       o_totalprice, o_orderdate, o_orderpriority from orders""",
 )
 def read_with_inferred_types(spark, sf):
+    """Numbers, texts and dates get their types back from text."""
     path = new_path(spark, "orders-csv")
-    write_csv(table(spark, sf, "orders").select(*ORDER_COLUMNS), path)
+    write_csv(table(spark, sf, "orders"), path)
     return read_csv(spark, path)
 
 
+@query(
+    "read_csv_checked",
+    """select o_orderpriority, count(*) "rows", count_if(o_orderkey % 10 <> 3 and o_orderkey % 10 <> 7) good,
+       count_if(o_orderkey % 10 = 3 or o_orderkey % 10 = 7) corrupt from orders group by o_orderpriority""",
+)
+def read_with_corrupt_lines(spark, sf):
+    """Lines with a broken quote or a cell too many are kept aside, and no line is lost."""
+    orders = table(spark, sf, "orders")
+    cells = [F.col(c).cast("string") for c in orders.columns]
+    line = F.concat_ws(",", *cells)
+    key = F.col("o_orderkey") % 10
+    broken = F.when(key == 3, F.concat(F.lit('"'), line)).when(key == 7, F.concat(line, F.lit(",more"))).otherwise(line)
+    path = new_path(spark, "orders-lines")
+    orders.select(broken.alias("value")).write.text(path)
+    good, corrupt = read_csv_checked(spark, path, orders.schema)
+    priority = F.regexp_extract("_corrupt", "([0-9]-[A-Z ]+)", 1)
+    both = good.select("o_orderpriority", F.lit(1).alias("good")).unionAll(corrupt.select(priority, F.lit(0)))
+    return both.groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("good").alias("good"), F.count_if(F.col("good") == 0).alias("corrupt")
+    )
+
+
 @query("write_csv", "select doc_id, text, lang, source, n_chars from documents")
 def write_and_read_free_text(spark, sf):
     """Texts with quotes, commas and line breaks come back as they were."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -65,12 +66,78 @@ def _mean_and_interval(value: str, z: float) -> list[Column]:
 def group_mean_ci(df: DataFrame, by: str, value: str = "price", z: float = 1.96) -> DataFrame:
     """Mean per group with the normal interval ``mean ± z * s / sqrt(n)``.
 
-    The interval is an approximation to a bootstrap of the mean; it is null for
-    a group of one row.
+    The interval is an approximation to a bootstrap of the mean, which
+    ``group_mean_bootstrap`` draws; it is null for a group of one row.
     """
     return df.groupBy(by).agg(*_mean_and_interval(value, z))
 
 
+#: A Poisson weight of mean 1 is the number of these that a 16-bit number reaches.
+POISSON = tuple(
+    math.floor(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) + 0.5) for k in range(8)
+)
+#: Weights that one hash of a row gives, four hex digits each.
+WEIGHTS_PER_HASH = 8
+
+
+def bootstrap_weights(draws: int, seed: int, key: Sequence[str]) -> list[Column]:
+    """How often a row is in each of ``draws`` samples, decided by a hash of its key."""
+    hashes = [
+        F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(i)), *[F.col(k).cast("string") for k in key]))
+        for i in range(math.ceil(draws / WEIGHTS_PER_HASH))
+    ]
+
+    def weight(draw: int) -> Column:
+        digits = F.substring(hashes[draw // WEIGHTS_PER_HASH], draw % WEIGHTS_PER_HASH * 4 + 1, 4)
+        times = F.lit(0)
+        # Hex digits of equal length are in the order of the numbers.
+        for k, least in enumerate(t for t in POISSON if t < 65536):
+            times = F.when(digits >= F.lit(format(least, "04x")), k + 1).otherwise(times)
+        return times
+
+    return [weight(draw) for draw in range(draws)]
+
+
+def group_mean_bootstrap(
+    df: DataFrame,
+    by: str,
+    key: Sequence[str],
+    value: str = "price",
+    draws: int = 96,
+    level: float = 0.95,
+    seed: int = 23,
+) -> DataFrame:
+    """Mean per group with a bootstrap interval: quantiles of the means of ``draws`` samples.
+
+    A sample takes every row a Poisson number of times, so all samples are
+    weighted sums of one aggregation, which combine in the tasks: no row is copied,
+    and a group that holds a third of the rows is one row of sums per task. Weights
+    depend on ``seed`` and ``key`` only, so neither partitions nor a re-run task change the
+    result; rows with equal keys are sampled together. Rows without a value do not count; a sample
+    in which a group has no row is left out of its quantiles.
+    """
+    weights = [f"_w{i}" for i in range(draws)]
+    drawn = df.where(F.col(value).isNotNull()).select(by, value, *[w.alias(n) for n, w in zip(weights, bootstrap_weights(draws, seed, key))])
+    sums = drawn.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(value).alias("mean"),
+        F.array(*[F.try_divide(F.sum(F.col(value) * F.col(w)).cast("double"), F.sum(w)) for w in weights]).alias("_means"),
+    )
+    ordered = F.sort_array(F.array_compact("_means"))
+    place = lambda share: (F.size("_means") - 1) * F.lit(share)
+
+    def quantile(share: float) -> Column:
+        at = F.floor(place(share)).cast("int")
+        low = F.get("_means", at)
+        high = F.get("_means", F.least(at + 1, F.size("_means") - 1))
+        return low + (high - low) * (place(share) - at)
+
+    tail = (1 - level) / 2
+    return sums.withColumn("_means", ordered).select(
+        by, "n", "mean", quantile(tail).alias("ci_low"), quantile(1 - tail).alias("ci_high")
+    )
+
+
 def group_mean_2d(
     df: DataFrame,
     by: str,
