@@ -32,33 +32,17 @@ from pyspark.ml.util import (
     MLWriter,
 )
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lotwise.operators.profile import value_tallies
-from lotwise.sources.workspace import materialize, new_path, scope
+from lotwise.operators.ranks import rank_levels
+from lotwise.sources.workspace import new_path, scope
 
 TABLE = "value string, level long"
 #: Key of a column's metadata under which an assembled vector says what its slots are.
 SLOTS = "slots"
 
 
-def rank_levels(tallies: DataFrame) -> DataFrame:
-    """Add ``level`` to rows of ``at``, ``value`` and ``count``: the rank within ``at``, from 0.
-
-    Gives a written table; open a ``scope`` to have it deleted.
-    """
-    # Ranges are sampled from the tallies first, so they are read twice.
-    ordered = materialize(tallies, "tallies").orderBy("at", F.desc("count"), "value")
-    placed = materialize(ordered.withColumn("place", F.monotonically_increasing_id()), "levels")
-    task = F.shiftright("place", 33)
-    parts = placed.groupBy("at", task.alias("task")).agg(F.count(F.lit(1)).alias("rows"), F.min("place").alias("first"))
-    before = W.partitionBy("at").orderBy("task").rowsBetween(W.unboundedPreceding, -1)  # one row for each task
-    starts = parts.select("at", "task", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).alias("start"))
-    joined = placed.withColumn("task", task).join(starts, ["at", "task"])
-    return joined.select("at", "value", "count", (F.col("place") + F.col("start")).alias("level"))
-
-
 class LevelIndexer(Estimator, HasInputCols, HasOutputCols):
     """Learns the levels of all its columns from one pass over the rows.
 

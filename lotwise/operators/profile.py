@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.functions.columns import percent_of_total
+from lotwise.operators.ranks import most_frequent
 from lotwise.operators.rows import limit_n, sort_desc
 
 
@@ -94,9 +95,18 @@ def value_counts(df: DataFrame, name: str) -> DataFrame:
     return df.groupBy(name).agg(F.count(F.lit(1)).alias("count"))
 
 
+#: Values of a list up to which Spark's top-k, which ends in one task, makes it.
+SHORT_LIST = 10_000
+
+
 def top_k_values(df: DataFrame, name: str, k: int) -> DataFrame:
-    """The ``k`` most frequent values; equal counts are taken in value order."""
-    return limit_n(sort_desc(value_counts(df, name), "count", name), k)
+    """The ``k`` most frequent values; equal counts are taken in value order, null first.
+
+    A longer list than ``SHORT_LIST`` is found by a threshold and not sorted; it is a
+    written table, which goes with the scope or the session.
+    """
+    counts = value_counts(df, name)
+    return limit_n(sort_desc(counts, "count", name), k) if k <= SHORT_LIST else most_frequent(counts, name, k)
 
 
 def top_values(df: DataFrame, limits: dict[str, int]) -> dict[str, list]:

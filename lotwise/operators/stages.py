@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasInputCols
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lotwise.functions.predicates import filter_open_range
-from lotwise.operators.clean import OTHERS, group_rare_fixed, quantile_fence
-from lotwise.operators.profile import top_values
+from lotwise.operators.clean import OTHERS, keep_listed, quantile_fence
+from lotwise.operators.profile import top_k_values
+from lotwise.sources.workspace import materialize
 
 
 class _RareParams(HasInputCols):
@@ -20,7 +33,7 @@ class _RareParams(HasInputCols):
 
 
 class RareGrouper(Estimator, _RareParams, DefaultParamsReadable, DefaultParamsWritable):
-    """Learns the ``k`` most frequent values of each column in one job."""
+    """Learns the ``k`` most frequent values of each column; lists of any length stay in Spark."""
 
     @keyword_only
     def __init__(self, *, inputCols=None, k=None, other=OTHERS):
@@ -30,29 +43,80 @@ class RareGrouper(Estimator, _RareParams, DefaultParamsReadable, DefaultParamsWr
 
     def _fit(self, dataset: DataFrame) -> "RareGrouperModel":
         names = self.getInputCols()
-        limits = dict(zip(names, self.getOrDefault(self.k)))
-        kept = {n: [v for v in vs if v is not None] for n, vs in top_values(dataset, limits).items()}
-        return RareGrouperModel(inputCols=names, kept=kept, other=self.getOrDefault(self.other))
+        lists = [top_k_values(dataset, n, k).select(n) for n, k in zip(names, self.getOrDefault(self.k))]
+        model = RareGrouperModel(inputCols=names, other=self.getOrDefault(self.other))
+        return model.keeping([materialize(_values(listed), "kept") for listed in lists])
+
+
+def _values(listed: DataFrame) -> DataFrame:
+    """The only column of a list as text, without null."""
+    value = F.col(listed.columns[0]).cast("string").alias("value")
+    return listed.select(value).where(F.col("value").isNotNull())
+
 
+class RareGrouperModel(Model, HasInputCols, MLWritable, MLReadable):
+    """Replaces every value outside the learned lists, null included.
 
-class RareGrouperModel(Model, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
-    """Replaces every value outside the learned lists, null included."""
+    The lists are tables of one column, joined to the rows and saved with the model.
+    """
 
-    kept = Param(Params._dummy(), "kept", "kept values by column", TypeConverters.identity)
     other = Param(Params._dummy(), "other", "text for the rest", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, inputCols=None, kept=None, other=OTHERS):
+    def __init__(self, *, inputCols=None, other=OTHERS):
         super().__init__()
         self._setDefault(other=OTHERS)
         self._set(**self._input_kwargs)
+        self._lists: list[DataFrame] = []
+
+    def keeping(self, lists: Sequence[DataFrame]) -> "RareGrouperModel":
+        """Use one list of values for each column, each value there once."""
+        self._lists = list(lists)
+        return self
+
+    def kept(self, name: str) -> DataFrame:
+        """The list of a column, as ``value``."""
+        return self._lists[self.getInputCols().index(name)]
+
+    def copy(self, extra=None) -> "RareGrouperModel":
+        return super().copy(extra).keeping(self._lists)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        kept = self.getOrDefault(self.kept)
-        for name in self.getInputCols():
-            dataset = group_rare_fixed(dataset, name, kept[name], self.getOrDefault(self.other))
+        for name, listed in zip(self.getInputCols(), self._lists):
+            dataset = keep_listed(dataset, name, listed.withColumnRenamed("value", name), self.getOrDefault(self.other))
         return dataset
 
+    def write(self) -> "_RareWriter":
+        return _RareWriter(self)
+
+    @classmethod
+    def read(cls) -> "_RareReader":
+        return _RareReader(cls)
+
+
+class _RareWriter(MLWriter):
+    def __init__(self, instance: RareGrouperModel):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
+        for i, listed in enumerate(self.instance._lists):
+            listed.write.parquet(f"{path}/kept/{i}")
+
+
+class _RareReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str) -> RareGrouperModel:
+        model, metadata = self.cls(), DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        model._resetUid(metadata["uid"])
+        reader = self.sparkSession.read.schema("value string")
+        return model.keeping([reader.parquet(f"{path}/kept/{i}") for i in range(len(model.getInputCols()))])
+
 
 class _FenceParams(HasInputCol):
     lower = Param(Params._dummy(), "lower", "quantile of the lower fence", TypeConverters.toFloat)

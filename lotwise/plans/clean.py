@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.columns import car_age, cast_int, drop_columns
 from lotwise.operators.clean import group_rare_fixed, keep_listed, quantile_fence
-from lotwise.operators.profile import top_k_values, top_values
-from lotwise.operators.stages import RareGrouperModel
+from lotwise.operators.profile import top_k_values
+from lotwise.operators.stages import RareGrouper, RareGrouperModel
 from lotwise.operators.rows import drop_duplicates, drop_null_rows, fill_unknown
 from lotwise.sources.workspace import Owner, materialize, scope
 
@@ -111,9 +111,10 @@ class Cleaned:
 
     def grouper(self) -> RareGrouperModel:
         """The lists as a fitted stage: it turns raw values into those the rows hold."""
-        kept = {n: [v for v in vs if v is not None] for n, vs in top_values(self.base, dict(self.spec.top_k)).items()}
-        kept["manufacturer"] = list(self.spec.makes)
-        return RareGrouperModel(inputCols=list(kept), kept=kept)
+        learned = RareGrouper(inputCols=list(self.spec.top_k), k=list(self.spec.top_k.values())).fit(self.base)
+        makes = self.base.sparkSession.createDataFrame([(m,) for m in self.spec.makes], "value string")
+        names = [*self.spec.top_k, "manufacturer"]
+        return RareGrouperModel(inputCols=names).keeping([*[learned.kept(n) for n in self.spec.top_k], makes])
 
 
 def clean_listings(df: DataFrame, spec: CleanSpec = CleanSpec()) -> DataFrame:
