@@ -7,7 +7,10 @@ from check_oracles import compare, connect
 
 SMALL = "/root/testdata/sf0.001"
 # Fitted several times over in the tests of models already.
-LONG = {"train_listings", "grid_search_boosted", "score_listings_boosted", "fit_gbt_tuned", "leaderboard"}
+LONG = {
+    "train_listings", "grid_search_boosted", "grid_search_evidence", "score_listings_boosted", "fit_gbt_tuned",
+    "fit_gbt_tuned_age", "leaderboard",
+}
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +41,6 @@ def test_boosted_scores_follow_the_age(spark):
 
 
 def test_random_forest_follows_the_age(spark):
-    rows = contract.queries()["fit_random_forest"](spark, SMALL).orderBy("car_age").collect()
+    rows = contract.queries()["fit_random_forest_age"](spark, SMALL).orderBy("car_age").collect()
     prices = [r.prediction for r in rows]
     assert len(prices) == 7 and prices[0] > prices[-1]
