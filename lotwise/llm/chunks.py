@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import mix64, pieces
+from lotwise.llm.common import mix64, passengers, pieces
 from lotwise.sources.workspace import materialize
 
 #: Bytes of a chunk: least, and most where no cut is found. Cuts come every 64 bytes or so.
@@ -146,8 +146,9 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return grouped.withColumn("removed", F.array_join(spans, ",")).drop("_spans")
 
 
+@passengers()
 def strip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the copies cut out of their texts, whole characters only."""
+    """``docs`` with the copies cut out of their texts, whole characters only; other columns may have any name."""
     spans = report(docs, key, text).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("removed").alias("_removed"))
     rows = docs.withColumn("_row", F.xxhash64(text)).alias("d").join(
         spans.alias("s"), F.col(f"d.{key}").eqNullSafe(F.col("s._id")) & (F.col("d._row") == F.col("s._row")), "left"

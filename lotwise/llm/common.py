@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import inspect
 import string
+from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -75,3 +78,34 @@ def pieces(batches, limit: int):
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def passengers(*read: str) -> Callable:
+    """For operators that keep the columns of their first table: whatever those are called, they come back.
+
+    Columns that the operator does not read, by its arguments ``key``, ``text``,
+    ``html`` and ``url`` or ``read``, travel under numbers, so none can be taken for one of
+    its own. Where a result has the name of such a column, the result stays.
+    """
+
+    def wrap(operator: Callable) -> Callable:
+        signature = inspect.signature(operator)
+
+        @wraps(operator)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            bound = signature.bind(docs, *args, **kwargs)
+            bound.apply_defaults()
+            used = {*read, *(bound.arguments[n] for n in ("key", "text", "html", "url") if n in bound.arguments)}
+            away = {c: f"passenger_{i}" for i, c in enumerate(docs.columns) if c not in used}
+            back = {v: k for k, v in away.items()}
+
+            def renamed(df: DataFrame, names: dict[str, str], columns: list[str]) -> DataFrame:
+                return df.select(*[F.col("`" + c.replace("`", "``") + "`").alias(names.get(c, c)) for c in columns])
+
+            out = operator(renamed(docs, away, docs.columns), *args, **kwargs)
+            made = {c for c in out.columns if c not in back}
+            return renamed(out, back, [c for c in out.columns if back.get(c) not in made])
+
+        return run
+
+    return wrap

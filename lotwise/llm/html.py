@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import mix64, pieces
+from lotwise.llm.common import mix64, passengers, pieces
 from lotwise.sources.workspace import materialize
 
 #: Hosts with fewer pages share one template with all such hosts: a page alone is all template.
@@ -286,12 +286,13 @@ def main_text(html: str | None, template: frozenset[str]) -> str:
     return "\n\n".join(inside)
 
 
+@passengers()
 def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Every row of ``pages`` without the html but with ``text`` and ``n_chars``.
 
     Null html counts as empty and gives an empty text; a null URL puts the page
     among those of small hosts. Repeated rows are pages like any other. A column
-    ``text`` or ``n_chars`` of the input is replaced.
+    ``text`` or ``n_chars`` of the input is replaced; any other may have any name.
     """
     host = F.lower(F.coalesce(F.regexp_extract(url, r"://([^/?#]*)", 1), F.lit(EVERYWHERE)))
     others = [c for c in pages.columns if c not in (html, "text", "n_chars")]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import LOWER, hashed_words, mix64, pieces
+from lotwise.llm.common import LOWER, hashed_words, mix64, passengers, pieces
 from lotwise.llm.components import components
 from lotwise.sources.workspace import materialize
 
@@ -300,8 +300,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, key: str = "doc_id", text:
     )
 
 
+@passengers()
 def dedup(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, with the columns it came with; of rows equal in id and text, one."""
+    """One document of each group, with the columns it came with, of any name; of rows equal in id and text, one."""
     gone = near_duplicates(docs, words, key, text).where(~F.col("kept")).select(
         F.col("doc_id").alias("_id"), F.col("row").alias("_gone")
     ).distinct()

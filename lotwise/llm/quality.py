@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import pieces
+from lotwise.llm.common import passengers, pieces
 from lotwise.llm.crf import Weights, fit, viterbi
 
 #: Plain rules: fewer words, or a greater percentage of words in repeated windows, fails.
@@ -230,8 +230,8 @@ def judge(docs: DataFrame, weights: Weights, text: str = "text", keep_text: bool
     return docs.select(*[f"`{c}`" for c in read]).mapInArrow(work, schema)
 
 
+@passengers()
 def keep(docs: DataFrame, weights: Weights, text: str = "text") -> DataFrame:
-    """The rows that are kept, with the columns they came with."""
-    clash = {n: f"_{n}" for n, *_ in COLUMNS if n in docs.columns}
-    judged = judge(docs.withColumnsRenamed(clash), weights, text, keep_text=True).where("kept")
-    return judged.drop(*(n for n, *_ in COLUMNS)).withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
+    """The rows that are kept, with the columns they came with, of any name."""
+    judged = judge(docs, weights, text, keep_text=True).where("kept")
+    return judged.drop(*(n for n, *_ in COLUMNS)).select(*docs.columns)

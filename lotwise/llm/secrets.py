@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.llm.common import passengers
 from lotwise.llm.trigrams import ANY, derive
 
 
@@ -126,12 +127,13 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES, key: str =
     return whole.where(F.col("held") == F.col("needed")).groupBy(key).agg(F.collect_set("kind").alias("_kinds"))
 
 
+@passengers()
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``secret_spans``: (start, rank of the rule, stop), in order.
 
     A null text is scanned as empty. Candidates are found by id and verified by
     row, so null and repeated ids are safe: each row gets the spans of its own
-    text. Rows and columns stay, but for an input column ``secret_spans``.
+    text. Rows and columns stay, of any name, but for an input column ``secret_spans``.
     """
     found = candidates(index(docs, rules, key, text), rules, key).withColumnRenamed(key, "_key")
     rows = docs.drop("secret_spans", "_kinds").join(found, F.col(key).eqNullSafe(F.col("_key")), "left")
@@ -153,8 +155,9 @@ def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     )
 
 
+@passengers("doc_id")
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]", text: str = "text") -> DataFrame:
-    """``docs`` with every secret replaced by ``mask``; overlapping spans share one."""
+    """``docs`` with every secret replaced by ``mask``; overlapping spans share one. Other columns may have any name."""
     scanned = scan(docs, rules, text=text)
     whole = F.coalesce(F.col(text), F.lit(""))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import mix64, pieces
+from lotwise.llm.common import mix64, passengers, pieces
 from lotwise.sources.workspace import materialize
 
 #: Tokens of a window, and how many of them must be plain words for it to ask for anything.
@@ -298,8 +298,9 @@ def matches(
     ).withColumnRenamed("key", "doc_id")
 
 
+@passengers()
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item."""
+    """``docs`` without the rows that hold a benchmark item; other columns may have any name."""
     hit = matches(docs, benchmark, key, text).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
     same = F.col(f"`{key}`").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_row"))
     return docs.join(hit, same, "left_anti")

@@ -14,7 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import ascii_lower
+from lotwise.llm.common import ascii_lower, passengers
 
 #: (verdict, host, path) of the standing list.
 RULES = (
@@ -65,13 +65,14 @@ def expressions(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Co
     return F.array_distinct(F.array_compact(F.array(*found))) if found else F.array().cast("array<string>")
 
 
+@passengers()
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str = "allow") -> DataFrame:
     """Every row of ``pages`` with host, path, rule (null where none fits) and verdict.
 
     A rule fits its host and all subdomains if the path starts with its path; the
     longest fitting rule wins (ties: the first by value). A null URL or one
     without ``://`` has an empty host and path, fits nothing and gets
-    ``otherwise``. Columns of the input with one of the four names are replaced;
+    ``otherwise``. Columns of the input with one of the four names are replaced, others may have any name;
     an empty table or an empty rule list gives the rows without rules. Equal URLs
     are looked up once.
     """
