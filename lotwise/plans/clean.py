@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lotwise.functions.columns import car_age, cast_int, drop_columns
 from lotwise.operators.clean import group_rare_fixed, keep_listed, quantile_fence
 from lotwise.operators.profile import top_k_values
-from lotwise.operators.stages import RareGrouper, RareGrouperModel
+from lotwise.operators.stages import QuantileTrimmerModel, RareGrouper, RareGrouperModel
 from lotwise.operators.rows import drop_duplicates, drop_null_rows, fill_unknown
 from lotwise.sources.workspace import Owner, materialize, scope
 
@@ -63,6 +63,7 @@ class Learned:
     """What cleaning takes from the data besides the lists of kept values."""
 
     filters: tuple[tuple[str, Column], ...]
+    fences: Mapping[str, tuple[float, float] | None]
 
 
 def _inside(name: str, fence: tuple[float, float] | None) -> Column:
@@ -74,17 +75,18 @@ def _inside(name: str, fence: tuple[float, float] | None) -> Column:
 def learn(base: DataFrame, spec: CleanSpec) -> Learned:
     """Each fence from the deduplicated, cast rows that the steps before it leave."""
     filters = [("transmission in list", F.col("transmission").isin(list(spec.transmissions)))]
-    rows = base.where(filters[0][1])
+    rows, fences = base.where(filters[0][1]), {}
     for name in ("price", "odometer"):
         f: Fence = getattr(spec, name)
         fence = quantile_fence(rows, name, f.lower, f.lo, f.hi, f.factor, spec.rel_err)
+        fences[name] = fence
         filters.append((f"{name} in fence", _inside(name, fence)))
         rows = rows.where(filters[-1][1])
     filters += [
         ("year after minimum", F.col("year") > spec.year_after),
         ("year not excluded", F.col("year") != spec.year_excluded),
     ]
-    return Learned(tuple(filters))
+    return Learned(tuple(filters), fences)
 
 
 @dataclass(frozen=True)
@@ -98,6 +100,7 @@ class Cleaned:
     rows: DataFrame
     base: DataFrame
     spec: CleanSpec
+    fences: Mapping[str, tuple[float, float] | None]
     owner: Owner
 
     def close(self) -> None:
@@ -109,6 +112,13 @@ class Cleaned:
     def __exit__(self, *error) -> None:
         self.close()
 
+    def trimmers(self) -> list[QuantileTrimmerModel]:
+        """The fences as fitted stages, to trim other rows by what these rows taught; they can be saved.
+
+        A column without values has no fence and no stage. Requests to be scored are grouped but not trimmed.
+        """
+        return [QuantileTrimmerModel(inputCol=n, fence=list(f)) for n, f in self.fences.items() if f is not None]
+
     def grouper(self) -> RareGrouperModel:
         """The lists as a fitted stage: it turns raw values into those the rows hold."""
         learned = RareGrouper(inputCols=list(self.spec.top_k), k=list(self.spec.top_k.values())).fit(self.base)
@@ -143,7 +153,7 @@ def clean_and_learn(df: DataFrame, spec: CleanSpec = CleanSpec()) -> Cleaned:
         if spec.keep_year:
             rows = rows.withColumn("_year", F.col("year"))
         aged = car_age(rows, spec.reference_year).withColumnRenamed("_year", "year")
-        return Cleaned(aged, base, spec, owner.retain())
+        return Cleaned(aged, base, spec, learned.fences, owner.retain())
 
 
 def step_counts(df: DataFrame, spec: CleanSpec = CleanSpec()) -> DataFrame:

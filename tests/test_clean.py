@@ -5,13 +5,16 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from lotwise.operators import clean as C
 from lotwise.operators.quantiles import quantiles
 from lotwise.operators import profile
 from lotwise.operators.profile import null_counts
+from lotwise.plans import clean as job
 from lotwise.plans.clean import CleanSpec, clean_listings, step_counts
+from lotwise.sources.models import load_model, save_model
 
 EXACT = CleanSpec(rel_err=0.0)
 
@@ -169,3 +172,16 @@ def test_year_rules(spark):
 def test_group_rare_fixed(spark, keep):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "v string")
     assert [r.v for r in C.group_rare_fixed(df, "v", keep).collect()] == [keep[0] if keep else "others", "others", "others"]
+
+
+def test_fences_are_stages_that_trim_other_rows(spark, vehicles, tmp_path):
+    """Saved and loaded, they keep what the cleaning keeps of its own rows, and judge new ones alike."""
+    spec = job.CleanSpec()
+    with job.clean_and_learn(vehicles, spec) as cleaned:
+        path = save_model(PipelineModel(cleaned.trimmers()), str(tmp_path / "fences"))
+        allowed = cleaned.base.where(F.col("transmission").isin(list(spec.transmissions)))
+        years = (F.col("year") > spec.year_after) & (F.col("year") != spec.year_excluded)
+        assert load_model(path).transform(allowed).where(years).count() == cleaned.rows.count() > 0
+        low, high = cleaned.fences["price"]
+        fresh = spark.createDataFrame([(low, 50_000.0), (high, 50_000.0), ((low + high) / 2, 50_000.0)], "price double, odometer double")
+        assert [r.price for r in load_model(path).transform(fresh).collect()] == [(low + high) / 2]
