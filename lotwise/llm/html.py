@@ -1,25 +1,34 @@
 """HTML extraction by template deduction from the pages of a host.
 
-Markup tokens (a tag under its path) are counted on every page of a host. Tokens
-with equal occurrence vectors over the pages are an equivalence class. Vectors
-are never gathered: each is a sum of hashes of (page, count), so tasks add up
-their share and a host may have any number of pages. The classes of tokens that
-nearly every page has, and none twice, can be nested in the same way everywhere;
-they form the template. What lies between its tokens are the slots, and the text
-of those in an article is the main text.
-Not built: classes of repeated or optional tokens and of text, and a choice of
-slots by what they hold. What is chrome is told by fixed lists of tags and words.
+Block tags under their path and whole texts of blocks are tokens, counted on
+every page of a host. Tokens with equal occurrence vectors are an equivalence
+class. Vectors are never gathered: each is a sum of hashes of (page, count), so
+tasks add up their share and a host may have any number of pages. A class that
+nearly every page has once is of the root; one that pages repeat is nested in it.
+A second pass validates them: a token of the root needs the same token of the
+root before it on nearly every page, a nested one the same slot of the root.
+What lies between tokens of the template are slots, and the pass adds up what
+they hold over the host: text in links, text that all pages share and text that
+varies. The article is the deepest element of the root with most of the text that
+varies and its heading; where the root has elements that HTML calls article or
+main, the one of these with most of it. A slot mostly of links is a menu, and a
+text that nearly all pages have is the template's: both are left out, but for pages
+that they make up at least half of, which are copies and show no template.
+Regions that HTML calls no content are left out, and those named as such in a class,
+id or role, unless the article is in them.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm.common import mix64, passengers, pieces
@@ -29,6 +38,12 @@ from lotwise.sources.workspace import materialize
 LEAST_PAGES = 4
 #: Least share of a host's pages with markup that have a token of the template.
 SUPPORT = 0.9
+#: Share of the text that varies that the article has at least, where no tag says which element it is.
+MOST = 0.8
+#: Least share of a slot's text in links that makes it a menu, and of all text that is not named as
+#: chrome; below that, names are not believed when the article is chosen.
+LINKED = 0.5
+BELIEVED = 0.2
 PIECE = 4 << 20
 EVERYWHERE = ""
 
@@ -49,7 +64,11 @@ CHROME_WORDS = frozenset(
     "newsletter subscribe subscription signup login form search share sharing social comment comments reply replies "
     "respond discussion disqus".split()
 )
+#: Those of the words that say so only as a whole name: a section-header is none of a page.
+WHOLE = frozenset("header side search".split())
 MAIN = frozenset(["article", "main"])
+#: Elements that no name makes chrome, and those that only a whole name does.
+TRUSTED = frozenset("html body main".split())
 
 #: Implied end tags of HTML. Elements that inline markup does not reach across, and
 #: those that hide what is open around them from an end tag.
@@ -83,6 +102,8 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[^a-z]+")
+#: Kinds of chrome: by a name that the page's author gave, by the tag.
+NAMED, TAGGED = 1, 2
 
 
 class Token:
@@ -90,10 +111,23 @@ class Token:
 
     __slots__ = ("name", "tag", "closing", "chrome", "main")
 
-    def __init__(self, name: str, tag: str, closing: bool, chrome: bool, main: bool):
+    def __init__(self, name: str, tag: str, closing: bool, chrome: int, main: bool):
         self.name, self.tag, self.closing, self.chrome, self.main = name, tag, closing, chrome, main
 
 
+def _chrome(tag: str, names: list[str]) -> int:
+    """Whether an element is chrome: 0, ``NAMED`` or ``TAGGED``."""
+    if tag in CHROME:
+        return TAGGED
+    if not names or tag in TRUSTED:
+        return 0
+    if any(n in CHROME_WORDS for n in names):
+        return NAMED
+    if tag in HEADS or tag in MAIN:
+        return 0
+    return NAMED if any(w in CHROME_WORDS and w not in WHOLE for n in names for w in _WORDS.split(n)) else 0
+
+
 def parse(html: str) -> list[Token | str]:
     """Tokens and texts of a page, in order.
 
@@ -128,23 +162,59 @@ def parse(html: str) -> list[Token | str]:
             if tag in path:
                 while path.pop() != tag:
                     pass
-            out.append(Token("/".join([*path, "", tag]), tag, True, False, False))
+            out.append(Token("/".join([*path, "", tag]), tag, True, 0, False))
             continue
-        words = {w for found in _NAMES.findall(attributes) for w in _WORDS.split("".join(found).lower()) if w} if attributes else ()
+        names = [n for found in _NAMES.findall(attributes) for n in "".join(found).lower().split()] if attributes else []
+        words = {w for n in names for w in _WORDS.split(n) if w}
         label = tag + "".join(sorted(f".{w}" for w in words))
-        out.append(Token("/".join([*path, label]), tag, False, tag in CHROME or bool(CHROME_WORDS & set(words)), tag in MAIN))
+        out.append(Token("/".join([*path, label]), tag, False, _chrome(tag, names), tag in MAIN))
         if tag in _RAW_END and not attributes.rstrip().endswith("/"):
             end = _RAW_END[tag].search(html, at)
             if not end:
                 break
             at = end.end()
-            out.append(Token("/".join([*path, "", tag]), tag, True, False, False))
+            out.append(Token("/".join([*path, "", tag]), tag, True, 0, False))
         elif tag not in VOID and tag in BLOCKS and tag not in ("p", "li", "option", "dd", "dt", "tr", "td", "th"):
             path.append(tag)
     return out
 
 
 
+def folded(pieces_of_text: list[str]) -> str:
+    """A block's text: references decoded, runs of white space as one space, trimmed."""
+    return _SPACE.sub(" ", unescape("".join(pieces_of_text))).strip()
+
+
+def digest(value: str) -> int:
+    """A signed 64-bit hash of a block's text."""
+    return xxhash.xxh3_64_intdigest(value.encode("utf-8", "replace")) - (1 << 63)
+
+
+def occurrences(tokens: list[Token | str]) -> dict[str, int]:
+    """How often a page has each block tag, by name, and each whole text of a block, by ``#`` and its digest."""
+    counts: dict[str, int] = {}
+    text: list[str] = []
+
+    def block() -> None:
+        value = folded(text)
+        if value:
+            name = f"#{digest(value)}"
+            counts[name] = counts.get(name, 0) + 1
+        text.clear()
+
+    for token in tokens:
+        if isinstance(token, str):
+            text.append(token)
+        elif token.tag in SOLID or token.chrome:
+            block()
+            if token.tag in SOLID:
+                counts[token.name] = counts.get(token.name, 0) + 1
+        elif token.tag == "br":
+            text.append(" ")
+    block()
+    return counts
+
+
 def vectors(pages: DataFrame) -> DataFrame:
     """Rows (host, token, pages, vector, once): each token's occurrence vector as a sum of hashes.
 
@@ -159,11 +229,8 @@ def vectors(pages: DataFrame) -> DataFrame:
             sums: dict[tuple[str, str], list[int]] = {}
             hosts, numbers = batch.column("host").to_pylist(), batch.column("page").to_pylist()
             for host, number, value in zip(hosts, numbers, batch.column("html").to_pylist()):
-                counts: dict[str, int] = {}
-                for token in parse(value or ""):
-                    if not isinstance(token, str):
-                        counts[token.name] = counts.get(token.name, 0) + 1
-                if counts:
+                counts = occurrences(parse(value or ""))
+                if any(not name.startswith("#") for name in counts):
                     counts[""] = 1
                 seeds = np.array(list(counts.values()), np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number % (1 << 64))
                 for (name, count), h in zip(counts.items(), mix64(seeds).tolist()):
@@ -190,36 +257,82 @@ def vectors(pages: DataFrame) -> DataFrame:
 
 
 def classes(found: DataFrame) -> DataFrame:
-    """Rows (host, template): for each host the tokens of the classes that enough pages have, never twice.
+    """Rows (host, total, root, nested, texts): the classes of the tokens that enough pages of a host have.
 
+    A class is the tags with one occurrence vector. ``root`` has the tags of those that pages have
+    once, ``nested`` those of classes that pages repeat; a lone tag without a partner
+    that occurs alike is no class of the latter kind. ``texts`` are digests of blocks.
     Pages without markup do not count. A page that is cut off lacks the tokens
-    behind the cut: they are a class of their own, with one page less.
+    behind the cut: they are a class of their own, with one page less. No page has
+    more tokens than its length, so neither has a row, by more than a ninth.
     """
     totals = found.where(F.col("token") == "").select("host", F.col("pages").alias("total"))
-    enough = F.col("pages") >= F.col("total") * SUPPORT
-    kept = found.where(F.col("token") != "").join(totals, "host").where(enough & (F.col("once") == F.col("pages")))
-    one = kept.groupBy("host", "vector").agg(F.collect_list("token").alias("tokens"))
-    return one.groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("template"))
+    kept = found.where(F.col("token") != "").join(totals, "host").where(F.col("pages") >= F.col("total") * SUPPORT)
+    kept = kept.withColumn("text", F.col("token").startswith("#"))
+    one = kept.groupBy("host", "total", "text", "vector", (F.col("once") == F.col("pages")).alias("single")).agg(
+        F.collect_list("token").alias("tokens")
+    )
+
+    def members(condition: Column) -> Column:
+        return F.array_sort(F.flatten(F.collect_list(F.when(condition, F.col("tokens")))))
+
+    tags = ~F.col("text")
+    return one.groupBy("host", "total").agg(
+        members(tags & F.col("single")).alias("root"),
+        members(tags & ~F.col("single") & (F.size("tokens") > 1)).alias("nested"),
+        members(F.col("text")).alias("texts"),
+    )
+
+
+@dataclass(frozen=True)
+class Template:
+    """What was deduced of a host: names of tags, the article's start tag, slots that are menus, digests of texts."""
+
+    root: frozenset[str] = frozenset()
+    nested: frozenset[str] = frozenset()
+    article: str = ""
+    menus: frozenset[str] = frozenset()
+    texts: frozenset[str] = frozenset()
+
+
+@dataclass
+class Block:
+    """A block's text with the slot it is in, by the tag that opens the slot, and the open elements of the root."""
 
+    value: str
+    slot: str
+    inside: tuple[str, ...]
+    main: bool
+    named: bool
+    heading: bool
+    linked: int
 
-def regions(tokens: list[Token | str], template: frozenset[str]) -> list[tuple[str, bool]]:
-    """Blocks of a page outside chrome, each with whether it is in an article of the template.
 
-    Elements are nested as HTML does it: a start tag ends the open ones it implies
+def regions(tokens: list[Token | str], template: Template, mains: frozenset[str] = frozenset()) -> list[Block]:
+    """Blocks of a page outside of what HTML calls no content.
+
+    ``main`` says whether one is in the template's article, or in an element of ``mains``;
+    ``named`` whether it is in something whose name says chrome, which what
+    holds the article is not. Elements are nested as HTML does it: a start tag ends the open ones it implies
     the end of, an end tag ends all that is open within its element, and one whose
-    element is not open ends nothing. What a slot between template tokens leaves
+    element is not open ends nothing. What a slot between tokens of the root leaves
     open ends with the slot. Inline markup ends no block, and a line break is
     white space.
     """
-    out: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, chrome, article, of the template
+    out: list[Block] = []
+    stack: list[list] = []  # tag, chrome, main, name if of the root
     text: list[str] = []
-
+    slot, linked, in_link, state = "", 0, False, 0
     def block() -> None:
-        value = _SPACE.sub(" ", unescape("".join(text))).strip()
-        if value:
-            out.append((value, any(e[2] for e in stack)))
+        nonlocal linked
+        value = folded(text)
+        if value and state < TAGGED:
+            out.append(Block(
+                value, slot, tuple(e[3] for e in stack if e[3]), any(e[2] for e in stack), state == NAMED,
+                any(e[0] == "h1" for e in stack), min(linked, len(value)),
+            ))
         text.clear()
+        linked = 0
 
     def place(tags: frozenset[str], walls: frozenset[str]) -> int:
         for at in range(len(stack) - 1, -1, -1):
@@ -229,33 +342,43 @@ def regions(tokens: list[Token | str], template: frozenset[str]) -> list[tuple[s
                 break
         return -1
 
-    hidden = False
     for token in tokens:
         if isinstance(token, str):
-            if not hidden:
+            if state < TAGGED:
                 text.append(token)
+                if in_link:
+                    linked += len(token)
             continue
         tag = token.tag
+        if tag == "a":
+            in_link = not token.closing
         solid = tag in SOLID
         if solid or token.chrome:
             block()
         elif tag == "br":
-            if not hidden:
-                text.append(" ")
+            text.append(" ")
             continue
         elif not any(e[0] == tag for e in stack):
             continue
+        if solid:
+            in_link = False
+            if token.name in template.root or token.name in template.nested:
+                slot = token.name
         if tag in VOID and tag != "hr" or tag in RAW:
             continue
-        kept = solid and token.name in template
+        kept = solid and token.name in template.root
         if token.closing:
             at = place(*ENDS.get(tag, (frozenset([tag]), SCOPE if solid else SOLID)))
             if at >= 0:
+                if not solid and stack[at][1]:
+                    block()
                 del stack[at:]
             elif tag in FORMATTING:
                 # Ends before the blocks opened in it do.
                 at = place(frozenset([tag]), frozenset())
                 if at >= 0:
+                    if stack[at][1]:
+                        block()
                     del stack[at]
         else:
             for ended in IMPLIED.get(tag, ()):
@@ -265,25 +388,157 @@ def regions(tokens: list[Token | str], template: frozenset[str]) -> list[tuple[s
             while kept and stack and not stack[-1][3]:
                 stack.pop()
             if tag not in VOID:
-                stack.append((tag, token.chrome, token.main and kept, kept))
-        hidden = any(e[1] for e in stack)
+                article = token.name == template.article
+                if article:
+                    for held in stack:  # what holds the article is no chrome
+                        held[1] = 0
+                stack.append([tag, 0 if article else token.chrome, article or token.name in mains, token.name if kept else ""])
+        state = max((e[1] for e in stack), default=0)
     block()
     return out
 
 
-def main_text(html: str | None, template: frozenset[str]) -> str:
+def known(row: dict) -> Template:
+    """The template of a row of ``classes`` or ``templates``."""
+    sets = {n: frozenset(row.get(n) or ()) for n in ("root", "nested", "menus", "texts")}
+    return Template(article=row.get("article") or "", **sets)
+
+
+class Templates:
+    """Templates of the rows of a batch, each made once; forgotten with the batch."""
+
+    def __init__(self, batch: pa.RecordBatch, column: str = "template"):
+        self.values, self.hosts, self.made = batch.column(column), batch.column("_host"), {}
+
+    def __getitem__(self, i: int) -> Template:
+        host = self.hosts[i].as_py()
+        if host not in self.made:
+            self.made[host] = known(self.values[i].as_py() or {})
+        return self.made[host]
+
+
+#: Facts of the second pass: a tag and what comes before it, what a slot holds, what an element holds.
+ORDER, SLOT, ELEMENT = 0, 1, 2
+
+
+def facts(pages: DataFrame) -> DataFrame:
+    """Rows (host, kind, name, other, pages, chars, linked, clean, heading), added up over the pages of a host.
+
+    ``pages`` has (_host, html, template). For ``ORDER`` the other is the tag of the
+    root that comes before; only tags of the template have rows, so a host has few. ``chars``
+    is text that varies, ``clean`` that outside of what is named as chrome.
+    """
+    schema = "host string, kind int, name string, other string, pages long, chars long, linked long, clean long, heading long"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, PIECE):
+            sums: dict[tuple[str, int, str, str], list[int]] = {}
+            made = Templates(batch)
+
+            def add(key: tuple[str, int, str, str], *values: int) -> None:
+                kept = sums.setdefault(key, [0] * 5)
+                for i, value in enumerate(values):
+                    kept[i] += value
+
+            for i, host in enumerate(batch.column("_host").to_pylist()):
+                template = made[i]
+                tokens = parse(batch.column("html")[i].as_py() or "")
+                before, seen = "", set()
+                for token in tokens:
+                    if isinstance(token, str) or token.name not in template.root and token.name not in template.nested:
+                        continue
+                    if (token.name, before) not in seen:
+                        seen.add((token.name, before))
+                        add((host, ORDER, token.name, before), 1)
+                    if token.name in template.root:
+                        before = token.name
+                for found in regions(tokens, template):
+                    n = len(found.value)
+                    add((host, SLOT, found.slot, ""), 1, n, found.linked)
+                    if f"#{digest(found.value)}" in template.texts:
+                        continue
+                    clean = 0 if found.named else n
+                    for name in {"", *found.inside}:
+                        add((host, ELEMENT, name, ""), 1, n, found.linked, clean, n if found.heading else 0)
+            names = ["host", "kind", "name", "other", "pages", "chars", "linked", "clean", "heading"]
+            types = [pa.string(), pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 5]
+            columns = [[*k, *v] for k, v in sums.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([c[j] for c in columns], t) for j, t in enumerate(types)], names=names)
+
+    measures = ("pages", "chars", "linked", "clean", "heading")
+    return pages.mapInArrow(work, schema).groupBy("host", "kind", "name", "other").agg(*[F.sum(m).alias(m) for m in measures])
+
+
+def deduce(row: dict, found: list[dict]) -> dict:
+    """The valid part of a host's template, its article and its menus, from the facts of the host."""
+    root, nested, total = set(row["root"] or ()), set(row["nested"] or ()), row["total"]
+    best: dict[str, int] = {}
+    for f in found:
+        if f["kind"] == ORDER:
+            best[f["name"]] = max(best.get(f["name"], 0), f["pages"])
+    # A page may lack a token, and another one before it: both may happen to a tenth.
+    least = total * (2 * SUPPORT - 1)
+    valid = {name for name, pages in best.items() if pages >= least}
+    root, nested = root & valid, nested & valid
+    slots = {f["name"]: f for f in found if f["kind"] == SLOT}
+    menus = [n for n, f in slots.items() if n in nested | root and f["linked"] > f["chars"] * LINKED]
+    elements = {f["name"]: f for f in found if f["kind"] == ELEMENT and (not f["name"] or f["name"] in root)}
+    everything = elements.get("")
+    article = ""
+    if everything:
+        by = "clean" if everything["clean"] >= everything["chars"] * BELIEVED else "chars"
+        tagged = [n for n in elements if n and n.rsplit("/", 1)[-1].split(".", 1)[0] in MAIN and elements[n][by]]
+        inner = [n for n in tagged if n.rsplit("/", 1)[-1].startswith("article")] or tagged
+        if inner:
+            article = max(inner, key=lambda n: (elements[n][by], n))
+        else:
+            enough = [
+                n for n, f in elements.items()
+                if n and f[by] >= everything[by] * MOST and f["heading"] >= everything["heading"] * MOST
+            ]
+            article = max(enough, key=lambda n: (n.count("/"), n), default="")
+    return {**row, "root": sorted(root), "nested": sorted(nested), "menus": sorted(menus), "article": article}
+
+
+TEMPLATE = "root array<string>, nested array<string>, menus array<string>, texts array<string>, article string"
+
+
+def templates(found: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows (host, template), from ``classes`` and ``facts``; a host has as many facts as its template has tags, or few more."""
+    listed = held.groupBy("host").agg(F.collect_list(F.struct(*[c for c in held.columns if c != "host"])).alias("facts"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [deduce(r, r["facts"] or []) for r in batch.to_pylist()]
+            names = ("root", "nested", "menus", "texts")
+            columns = [pa.array([r["host"] for r in rows], pa.string())]
+            columns += [pa.array([r[n] or [] for r in rows], pa.list_(pa.string())) for n in names]
+            columns.append(pa.array([r["article"] for r in rows], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=["host", *names, "article"])
+
+    made = found.join(listed, "host", "left").mapInArrow(work, f"host string, {TEMPLATE}")
+    return made.select("host", F.struct("root", "nested", "menus", "texts", "article").alias("template"))
+
+
+def main_text(html: str | None, template: Template) -> str:
     """Blocks of the article, joined by two newlines.
 
-    Where the template has an article, its slots outside chrome; else an article
-    that only this page has; else all slots outside chrome.
+    Where the page has the template's article, its slots outside chrome, without menus
+    and texts of the template; else articles that only this page has; else all
+    slots outside chrome, or if there are none the articles in what is named as chrome. Menus and texts stay where they are half of it or more: such
+    a page is a copy of others.
     """
     tokens = parse(html or "")
     found = regions(tokens, template)
-    if not any(main for _, main in found):
-        own = frozenset(t.name for t in tokens if not isinstance(t, str) and (t.main or t.closing and t.tag in MAIN))
-        found = regions(tokens, template | own)
-    inside = [b for b, main in found if main] or [b for b, _ in found]
-    return "\n\n".join(inside)
+    if not any(b.main for b in found):
+        own = frozenset(t.name for t in tokens if not isinstance(t, str) and t.main and not t.closing and not t.chrome)
+        if own:
+            found = regions(tokens, template, own)
+    inside = [b for b in found if b.main and not b.named] or [b for b in found if not b.named] or [b for b in found if b.main]
+    slots = [b for b in inside if b.slot not in template.menus and f"#{digest(b.value)}" not in template.texts]
+    if 2 * sum(len(b.value) for b in slots) > sum(len(b.value) for b in inside):
+        inside = slots
+    return "\n\n".join(b.value for b in inside)
 
 
 @passengers()
@@ -304,23 +559,21 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     numbered = rows.select(
         F.col("_host").alias("host"), F.xxhash64(url, html).alias("page"), F.col(html).alias("html")
     )
-    # Written, as it is read for the totals as well.
-    templates = materialize(classes(materialize(vectors(numbered), "tokens")), "templates")
-    joined = rows.join(templates, F.col("_host") == F.col("host"), "left").select(
-        F.col(html).alias("_html"), F.col("template").alias("_template"), *[F.col(f"`{c}`") for c in others]
+    # Written, as they are read more than once.
+    found = materialize(classes(materialize(vectors(numbered), "tokens")), "classes")
+    first = found.select(F.col("host").alias("_of"), F.struct("root", "nested", "texts").alias("template"))
+    held = facts(rows.join(first, F.col("_host") == F.col("_of"), "left").select("_host", F.col(html).alias("html"), "template"))
+    last = materialize(templates(found, held), "templates")
+    joined = rows.join(last, F.col("_host") == F.col("host"), "left").select(
+        F.col(html).alias("_html"), "_host", F.col("template").alias("template"), *[F.col(f"`{c}`") for c in others]
     )
     fields = {f.name: f.dataType.simpleString() for f in pages.schema}
     schema = ", ".join([*(f"`{c}` {fields[c]}" for c in others), "text string", "n_chars long"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, ...], frozenset[str]] = {}
         for batch in pieces(batches, PIECE):
-            texts = []
-            for value, template in zip(batch.column("_html"), batch.column("_template").to_pylist()):
-                names = tuple(template or ())
-                if names not in known:
-                    known[names] = frozenset(names)
-                texts.append(main_text(value.as_py(), known[names]))
+            made = Templates(batch)
+            texts = [main_text(value.as_py(), made[i]) for i, value in enumerate(batch.column("_html"))]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in others), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=[*others, "text", "n_chars"],

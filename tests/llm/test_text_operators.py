@@ -316,6 +316,88 @@ def test_html_template_with_broken_pages(spark):
     assert all(got[n] == f"T {n}\n\none {n}" for n in range(30)) and got[30] == got[31] == "" and got[32] == "text"
 
 
+def words_of(n: int, k: int, count: int = 12) -> str:
+    return " ".join(f"w{(n * 31 + k * 7 + j * j) % 997}" for j in range(count))
+
+
+def planted_hosts() -> tuple[list[tuple], list[str]]:
+    """Hosts whose markup says little or misleads: rows of pages, and the text of each."""
+    shells = {
+        # Plain elements, classes without meaning, an advert that is the same on all pages and a list of links.
+        "plain": "<html><body><div class=a1>The Site</div><div class=b2><a href=/>home {n}</a> <a href=/x>more {n}</a></div><div class=c3>{main}"
+        "<div class=x1>Buy now, cheap</div><div class=q7><a href=/1>next story {n}</a> <a href=/2>last story {n}</a></div></div>"
+        "<div class=d4>All rights reserved {n}</div></body></html>",
+        # The heading is beside the paragraphs, so the element that holds both is the article.
+        "split": "<html><body><div><a href=/>home {n}</a></div><div class=s><div class=t>{head}</div><div class=u>{paras}</div></div><div>foot {n}</div></body></html>",
+        # Names that say chrome of what holds the article.
+        "sidebar": '<html><body class="single has-sidebar"><nav>home</nav><article>{main}</article><footer>x</footer></body></html>',
+        "wrapper": '<html><body><div id="page" class="sidebar-left"><nav>home</nav><article>{main}</article></div><footer>x</footer></body></html>',
+        "comments": '<html><body><article class="post comments-open">{main}</article><section id=comments><p>reader {n}</p></section></body></html>',
+        "search": '<html><body><article id="search-engines">{main}</article></body></html>',
+        "headed": '<html><body><article><h1 class="section-header">T {n}</h1><p class="side-effect">{first}</p>{rest}</article></body></html>',
+    }
+    rows, wanted = [], []
+    for name, shell in shells.items():
+        for n in range(9):
+            blocks = [f"T {n}", *(words_of(n, k) for k in range(2 + n % 3))]
+            paras = [f"<p>{b}</p>" for b in blocks[1:]]
+            parts = {
+                "n": str(n), "head": f"<h1>{blocks[0]}</h1>", "paras": "".join(paras), "main": f"<h1>{blocks[0]}</h1>" + "".join(paras),
+                "first": blocks[1], "rest": "".join(paras[1:]),
+            }
+            page = re.sub(r"\{(\w+)\}", lambda m: parts[m[1]], shell)
+            rows.append((len(rows), f"http://{name}.com/{n}", page))
+            wanted.append("\n\n".join(blocks))
+    return rows, wanted
+
+
+def test_html_template_decides(spark):
+    """The article is told by the template of a host, and without a template it is not found."""
+    rows, wanted = planted_hosts()
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(rows))] == wanted
+    alone = {url: html.main_text(page, html.Template()) for _, url, page in rows}
+    for i, url, _ in rows:
+        assert (alone[url] != wanted[i]) == ("plain" in url or "split" in url)
+
+
+def test_html_classes_equal_brute_force(spark):
+    """Classes of occurrence vectors are those of the vectors themselves, written out."""
+    rows, _ = planted_hosts()
+    rows += [(i + 1000, url, page[: 40 + 9 * i]) for i, url, page in rows[:1]]
+    table = spark.createDataFrame([(u.split("/")[2], i, h) for i, u, h in rows], "host string, page long, html string").repartition(5)
+    got = {r.host: r for r in html.classes(html.vectors(table)).collect()}
+    for host in {u.split("/")[2] for _, u, _ in rows}:
+        pages = [Counter(html.occurrences(html.parse(h))) for _, u, h in rows if u.split("/")[2] == host]
+        held = {}
+        for token in set().union(*pages):
+            vector = tuple(p[token] for p in pages)
+            if sum(c > 0 for c in vector) >= html.SUPPORT * len(pages):
+                held.setdefault((token.startswith("#"), vector), set()).add(token)
+        root, nested, texts = set(), set(), set()
+        for (text, vector), tokens in held.items():
+            if text:
+                texts |= tokens
+            elif max(vector) == 1:
+                root |= tokens
+            elif len(tokens) > 1:
+                nested |= tokens
+        assert (set(got[host].root), set(got[host].nested), set(got[host].texts)) == (root, nested, texts)
+        assert got[host].total == len(pages)
+
+
+def test_html_copies_keep_their_text(spark):
+    """A host of copies has one text on all pages, which is no template; repeated rows change nothing."""
+    page = "<html><body><nav>home</nav><article><h1>T</h1><p>the same words</p></article></body></html>"
+    rows = [(n, f"http://a.com/{n % 9}", page) for n in range(20)]
+    rows += [(99, "http://a.com/other", page.replace("the same", "other"))]
+    rows += [(100 + n, f"http://b.com/{n}", f"<article><h1>T {n}</h1><p>{words_of(n, 1, 200_000)}</p></article>") for n in range(4)]
+    got = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[n].text == "T\n\nthe same words" for n in range(20)) and got[99].text.endswith("other words")
+    assert all(got[100 + n].text == f"T {n}\n\n{words_of(n, 1, 200_000)}" for n in range(4))
+
+
 @pytest.fixture(scope="module")
 def codec():
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
