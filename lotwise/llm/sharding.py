@@ -3,7 +3,8 @@
 Records are hashed into a fixed number of slots. Bytes are added up per slot,
 and a small map says which shard holds each slot. The map has versions: the
 first deals slots out in turn, a rebalancing edits it by moving slots, and each
-version is stored, so a reader knows where rows were at any time. A row never
+version is stored, so a reader knows where rows were at any time and the next run
+goes on from the last one. A row never
 changes its slot, so only the map, a few thousand rows, is worked on in the
 driver.
 """
@@ -64,28 +65,84 @@ def rebalance(current: Map, sizes: dict[int, int], shards: int, into: int | None
 
 
 
+def edit(current: Map, sizes: dict[int, int], shards: int) -> Map:
+    """The next version for a number of shards, which may be another than before.
+
+    New shards take slots from the others, and no other slot moves. Slots of shards
+    that are gone go to the emptiest ones, the largest first. With as many shards
+    as before, slots are rebalanced.
+    """
+    before = max(current.values(), default=-1) + 1
+    if shards > before:
+        for new in range(before, shards):
+            current = rebalance(current, sizes, new + 1, into=new)
+        return current
+    if shards == before:
+        return rebalance(current, sizes, shards)
+    edited = {slot: shard for slot, shard in current.items() if shard < shards}
+    load = [0] * shards
+    for slot, shard in edited.items():
+        load[shard] += sizes.get(slot, 0)
+    for slot in sorted(current.keys() - edited.keys(), key=lambda s: (-sizes.get(s, 0), s)):
+        low = min(range(shards), key=lambda s: (load[s], s))
+        edited[slot] = low
+        load[low] += sizes.get(slot, 0)
+    return edited
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions that are stored whole: what a writer that was killed left is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    made = [f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("version=")]
+    whole = [f for f in made if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return sorted(int(f.getName().partition("=")[2]) for f in whole)
 
-def store(spark: SparkSession, versions: list[Map], counts: dict[int, int], path: str | None = None) -> DataFrame:
-    """Write the versions as rows (version, virtual_slot, shard, place) and read them back.
 
-    ``place`` is where the slot's rows start within the shard.
+def load(spark: SparkSession, path: str, version: int | None = None) -> Map:
+    """A stored version, the last one by default: one row per slot."""
+    version = versions(spark, path)[-1] if version is None else version
+    rows = spark.read.schema("virtual_slot int, shard int").parquet(f"{path}/version={version}").collect()
+    return {r.virtual_slot: r.shard for r in rows}
+
+
+def store(spark: SparkSession, path: str, version: int, content: Map) -> None:
+    """Write a version beside the others. What a killed writer left under its number is replaced."""
+    if version in versions(spark, path):
+        raise ValueError(f"version {version} of the slot map is stored already: {path}")
+    rows = spark.createDataFrame(sorted(content.items()), "virtual_slot int, shard int")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def current(spark: SparkSession, path: str, sizes: dict[int, int], shards: int, slots: int) -> tuple[int, Map]:
+    """The version that rows of these sizes go by: the last one stored, edited, and stored if that moved a slot.
+
+    Where none is stored, the first deals slots out in turn.
     """
-    rows = []
-    for number, version in enumerate(versions, 1):
-        start: dict[int, int] = {}
-        for slot, shard in sorted(version.items()):
-            place = start.get(shard, 0)
-            rows.append((number, slot, shard, place))
-            start[shard] = place + counts.get(slot, 0)
-    path = path or new_path(spark, "slot-map")
-    schema = "version int, virtual_slot int, shard int, place long"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    if not versions(spark, path):
+        store(spark, path, 1, first_map(slots, shards))
+    number = versions(spark, path)[-1]
+    last = load(spark, path, number)
+    if last.keys() != set(range(slots)):
+        raise ValueError(f"the slot map has {len(last)} slots and not {slots}: {path}")
+    edited = edit(last, sizes, shards)
+    if edited == last:
+        return number, last
+    store(spark, path, number + 1, edited)
+    return number + 1, load(spark, path, number + 1)
+
+
+def assign(
+    docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, key: str = "doc_id", text: str = "text", map_path: str | None = None
+) -> DataFrame:
     """Each row's size, checksum, virtual slot, shard and place in the shard.
 
+    ``map_path`` is where the versions of the slot map are: the last one is edited for
+    these rows and this number of shards, and stored as the next. Without it the map
+    starts anew and goes with the session.
+
     Shards get near equal numbers of bytes; a row's size is its UTF-8 bytes (a
     null text has none) plus one. A slot is given by id and text, so null ids
     spread by text; equal rows are counted before they are sorted, and so take
@@ -109,12 +166,16 @@ def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, key: str =
     ).collect()
     sizes = {r.virtual_slot: r.bytes for r in per_slot}
     counts = {r.virtual_slot: r.rows for r in per_slot}
-    dealt = first_map(slots, shards)
-    versions = store(spark, [dealt, rebalance(dealt, sizes, shards)], counts)
-    latest = versions.where(F.col("version") == 2)
+    version, latest = current(spark, map_path or new_path(spark, "slot-map"), sizes, shards, slots)
+    start, places = [0] * shards, []
+    for slot, shard in sorted(latest.items()):
+        places.append((slot, version, shard, start[shard]))
+        start[shard] += counts.get(slot, 0)
+    # One row per slot.
+    placing = F.broadcast(spark.createDataFrame(places, "virtual_slot int, version int, shard int, place long"))
     by_slot = Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32")
     before = F.sum("copies").over(by_slot.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("copies")
-    placed = tallies.withColumn("_before", before).join(latest, "virtual_slot")
+    placed = tallies.withColumn("_before", before).join(placing, "virtual_slot")
     return placed.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).select(
         "doc_id", "size", "text_crc32", "virtual_slot", "version", "shard",
         (F.col("place") + F.col("_before") + F.col("_copy")).alias("slot"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -262,6 +263,49 @@ def test_sharding(docs, empty):
     assert all(grown[s] in (current[s], 8) for s in grown) and 8 in grown.values()
 
 
+def test_slot_map_lives(spark, tmp_path):
+    """Runs with other rows and other numbers of shards edit one stored map; rows move with their slots only."""
+    path = f"file://{tmp_path}/map"
+
+    def run(rows: range, shards: int) -> dict:
+        # Sizes of three magnitudes, one text a tenth of all.
+        texts = [(i, "é" * (i * i % 301) + ("x" * 20_000 if i == 7 else "")) for i in rows]
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        got = {r.doc_id: r for r in sharding.assign(docs, shards, slots=512, map_path=path).collect()}
+        for i, text in texts:
+            assert got[i].size == len(text.encode()) + 1 and got[i].text_crc32 == zlib.crc32(text.encode())
+        for shard in range(shards):
+            held = sorted(r.slot for r in got.values() if r.shard == shard)
+            assert held == list(range(len(held)))
+        return got
+
+    def loads(got: dict) -> list[int]:
+        sums = Counter()
+        for r in got.values():
+            sums[r.shard] += r.size
+        return [sums[s] for s in sorted(sums)]
+
+    first = run(range(2000), 8)
+    assert sharding.versions(spark, path) == [1, 2] and {r.version for r in first.values()} == {2}
+    assert len(loads(first)) == 8 and max(loads(first)) - min(loads(first)) < 0.01 * max(loads(first))
+    again = run(range(2000), 8)
+    assert sharding.versions(spark, path) == [1, 2] and again == first
+    grown = run(range(2000), 9)
+    assert sharding.versions(spark, path) == [1, 2, 3]
+    assert all(grown[i].shard in (first[i].shard, 8) for i in first) and {r.shard for r in grown.values()} == set(range(9))
+    more = run(range(500, 4000), 9)
+    assert sharding.versions(spark, path)[-1] == 4 and max(loads(more)) - min(loads(more)) < 0.01 * max(loads(more))
+    old, new = (sharding.load(spark, path, v) for v in (3, 4))
+    assert all(more[i].shard == new[more[i].virtual_slot] and more[i].virtual_slot == grown[i].virtual_slot for i in range(500, 2000))
+    assert old != new and sharding.load(spark, path, 2) == {**sharding.load(spark, path, 2), **{r.virtual_slot: r.shard for r in first.values()}}
+    fewer = run(range(500, 4000), 6)
+    assert all(fewer[i].shard == more[i].shard for i in more if more[i].shard < 6) and {r.shard for r in fewer.values()} == set(range(6))
+    (tmp_path / "map" / "version=6").mkdir()  # a writer was killed
+    assert sharding.versions(spark, path) == [1, 2, 3, 4, 5] and run(range(9000), 6) and sharding.versions(spark, path)[-1] == 6
+    with pytest.raises(ValueError):
+        sharding.assign(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 6, slots=256, map_path=path)
+
+
 PAGE = (
     '<html><head><title>t</title><script>if (a < b) "</p>";</script></head><body><nav><a href="/">home {n}</a></nav>'
     '<div class="cookie-notice">we use {n}</div><article><h1>Title {n}</h1><p>First &amp; {n}<br>line\n two <b>bold</b><p>Second &lt;{n}&gt;'
