@@ -100,7 +100,6 @@ IMPLIED |= {tag: [(frozenset("thead tbody tfoot caption".split()), _TABLE), (fro
 _MARK = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
-_SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[^a-z]+")
 #: Kinds of chrome: by a name that the page's author gave, by the tag.
 NAMED, TAGGED = 1, 2
@@ -182,7 +181,7 @@ def parse(html: str) -> list[Token | str]:
 
 def folded(pieces_of_text: list[str]) -> str:
     """A block's text: references decoded, runs of white space as one space, trimmed."""
-    return _SPACE.sub(" ", unescape("".join(pieces_of_text))).strip()
+    return " ".join(unescape("".join(pieces_of_text)).split())
 
 
 def digest(value: str) -> int:
@@ -398,6 +397,11 @@ def regions(tokens: list[Token | str], template: Template, mains: frozenset[str]
     return out
 
 
+def shared(block: Block, template: Template) -> bool:
+    """Whether nearly all pages of the host have the block's text."""
+    return bool(template.texts) and f"#{digest(block.value)}" in template.texts
+
+
 def known(row: dict) -> Template:
     """The template of a row of ``classes`` or ``templates``."""
     sets = {n: frozenset(row.get(n) or ()) for n in ("root", "nested", "menus", "texts")}
@@ -455,7 +459,7 @@ def facts(pages: DataFrame) -> DataFrame:
                 for found in regions(tokens, template):
                     n = len(found.value)
                     add((host, SLOT, found.slot, ""), 1, n, found.linked)
-                    if f"#{digest(found.value)}" in template.texts:
+                    if shared(found, template):
                         continue
                     clean = 0 if found.named else n
                     for name in {"", *found.inside}:
@@ -535,7 +539,7 @@ def main_text(html: str | None, template: Template) -> str:
         if own:
             found = regions(tokens, template, own)
     inside = [b for b in found if b.main and not b.named] or [b for b in found if not b.named] or [b for b in found if b.main]
-    slots = [b for b in inside if b.slot not in template.menus and f"#{digest(b.value)}" not in template.texts]
+    slots = [b for b in inside if b.slot not in template.menus and not shared(b, template)]
     if 2 * sum(len(b.value) for b in slots) > sum(len(b.value) for b in inside):
         inside = slots
     return "\n\n".join(b.value for b in inside)
