@@ -265,7 +265,8 @@ def classes(found: DataFrame) -> DataFrame:
     behind the cut: they are a class of their own, with one page less. No page has
     more tokens than its length, so neither has a row, by more than a ninth.
     """
-    totals = found.where(F.col("token") == "").select("host", F.col("pages").alias("total"))
+    # Written, so that its size is known when the join is planned: tokens of a large host stay where they are.
+    totals = materialize(found.where(F.col("token") == "").select("host", F.col("pages").alias("total")), "totals")
     kept = found.where(F.col("token") != "").join(totals, "host").where(F.col("pages") >= F.col("total") * SUPPORT)
     kept = kept.withColumn("text", F.col("token").startswith("#"))
     one = kept.groupBy("host", "total", "text", "vector", (F.col("once") == F.col("pages")).alias("single")).agg(
