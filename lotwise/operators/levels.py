@@ -233,8 +233,8 @@ class SlotAssembler(Estimator, HasInputCols, HasOutputCol):
 class SlotAssemblerModel(Model, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Numbers come first, then a slot for each level of each column, in order.
 
-    The vector's metadata says how many of both there are, not a word for each
-    slot; ``binary_slots`` makes of it what trees ask for.
+    The vector's metadata says how many of both there are and where each column's
+    slots start, not a word for each slot; ``binary_slots`` makes of it what trees ask for.
     """
 
     sizes = Param(Params._dummy(), "sizes", "levels of each column", TypeConverters.toListInt)
@@ -254,7 +254,7 @@ class SlotAssemblerModel(Model, HasInputCols, HasOutputCol, DefaultParamsReadabl
         offsets = np.concatenate([[width], width + np.cumsum(sizes, dtype=np.int64)]).tolist()
         slots = F.array_compact(F.array(*[_slot(*s) for s in zip(names, sizes, offsets)]).cast("array<int>"))
         vector = slot_vector(values, slots, offsets[-1])
-        told = {SLOTS: {"numbers": width, "size": offsets[-1]}}
+        told = {SLOTS: {"numbers": width, "size": offsets[-1], "starts": offsets[:-1]}}
         return dataset.withColumn(self.getOutputCol(), vector).withMetadata(self.getOutputCol(), told)
 
 

@@ -11,6 +11,7 @@ from pyspark.ml.regression import (
 )
 from pyspark.sql import DataFrame
 
+from lotwise.operators import slot_trees
 from lotwise.operators.features import FEATURES
 from lotwise.operators.levels import binary_slots
 from lotwise.sources.workspace import shared_folder
@@ -67,11 +68,15 @@ REGRESSORS = {
 def fit(estimator, train: DataFrame) -> Model:
     """Fit on the two columns the estimator reads, so nothing else is carried.
 
-    Boosting cuts its growing lineage in the shared folder every few trees.
+    Trees on assembled vectors are grown from the slots that rows have. Spark's own
+    take those that are not assembled; its boosting cuts its growing lineage in the shared
+    folder every few trees.
     """
     shared_folder(train.sparkSession)
     columns = (estimator.getFeaturesCol(), estimator.getLabelCol())
     rows = train.select(*columns)
+    if slot_trees.supports(estimator, rows):
+        return slot_trees.fit(estimator, rows)
     return estimator.fit(rows if isinstance(estimator, LinearRegression) else binary_slots(rows, columns[0]))
 
 
