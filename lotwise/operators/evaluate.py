@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model
@@ -58,9 +59,9 @@ def fit_all(estimators: Mapping[str, object], train: DataFrame, parallelism: int
     or a held frame. Trees keep their own binned copy while they are fitted.
     """
     with ThreadPoolExecutor(max(parallelism, 1)) as pool:
-        run = inheritable_thread_target(train.sparkSession)(fit)
-        models = pool.map(lambda e: run(e, train), estimators.values())
-        return dict(zip(estimators, models))
+        # Each call takes its own copy of the thread's properties, which Spark changes while a query runs.
+        runs = [inheritable_thread_target(train.sparkSession)(partial(fit, e, train)) for e in estimators.values()]
+        return dict(zip(estimators, pool.map(lambda run: run(), runs)))
 
 
 def leaderboard(

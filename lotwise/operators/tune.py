@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 from hashlib import sha256
 from itertools import product
 
@@ -151,8 +152,9 @@ def grid_search(
 
     settings = grid_points({n: v for n, v in grid.items() if not (boosted and n == "maxIter")})
     with ThreadPoolExecutor(max(parallelism, 1)) as pool:
-        run = inheritable_thread_target(spark)(work)
-        found = [row for rows in pool.map(run, settings) for row in rows]
+        # Each call takes its own copy of the thread's properties, which Spark changes while a query runs.
+        runs = [inheritable_thread_target(spark)(partial(work, setting)) for setting in settings]
+        found = [row for rows in pool.map(lambda run: run(), runs) for row in rows]
     order = {tuple(p[n] for n in names): i for i, p in enumerate(grid_points(grid))}
     found.sort(key=lambda row: order[row[: len(names)]])
     return spark.createDataFrame(found, schema)

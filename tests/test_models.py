@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 from pathlib import Path
+from threading import Barrier
 
 import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -173,3 +174,18 @@ def test_grid_goes_on_where_a_run_was_killed(sides, tmp_path):
     assert len(third) == 4
     T.grid_search(M.gbt("price", "features"), grid, test, train, path=path, fitted=lambda p, m: third.append(p))
     assert len(third) == 8
+
+
+def test_fits_at_the_same_time_have_their_own_properties(spark, sides):
+    """A query sets and clears properties of its thread; fits that shared them met each other's."""
+    context, both, seen = spark.sparkContext, Barrier(2, timeout=120), []
+
+    def mark(point, model):
+        own = str(point["regParam"])
+        context.setLocalProperty("lotwise.mark", own)
+        both.wait()
+        seen.append(context.getLocalProperty("lotwise.mark") == own)
+        both.wait()
+
+    T.grid_search(M.linear("price", "features"), {"regParam": [0.0, 10.0]}, *sides, parallelism=2, fitted=mark)
+    assert seen == [True, True]
