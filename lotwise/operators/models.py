@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Model
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
     GBTRegressor,
@@ -10,6 +11,7 @@ from pyspark.ml.regression import (
     RandomForestRegressor,
 )
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lotwise.operators import slot_trees
 from lotwise.operators.features import FEATURES
@@ -77,7 +79,42 @@ def fit(estimator, train: DataFrame) -> Model:
     rows = train.select(*columns)
     if slot_trees.supports(estimator, rows):
         return slot_trees.fit(estimator, rows)
-    return estimator.fit(rows if isinstance(estimator, LinearRegression) else binary_slots(rows, columns[0]))
+    if isinstance(estimator, LinearRegression):
+        return estimator.fit(rows)
+    return _fit_folded(estimator, binary_slots(rows, columns[0]))
+
+
+#: Different vectors up to which trees are fitted on one row for each.
+FEW = 10_000
+
+
+def _fit_folded(estimator, rows: DataFrame) -> Model:
+    """Fit trees on one row for each vector, with its mean label and its count as weight, where there are few vectors.
+
+    For a squared error the splits and leaves are the same: what varies among equal
+    vectors no split can part. Samples of rows, and settings that count rows, need the rows.
+    """
+    features, label = estimator.getFeaturesCol(), estimator.getLabelCol()
+    if isinstance(estimator, RandomForestRegressor) or not _squared(estimator):
+        return estimator.fit(rows)
+    key = vector_to_array(features)
+    if rows.select(F.approx_count_distinct(F.xxhash64(key))).first()[0] > FEW:
+        return estimator.fit(rows)
+    value = F.coalesce(F.col(label).cast("double"), F.lit(float("nan")))  # as an error, which null is to Spark
+    folded = rows.groupBy(key.alias("_key")).agg(
+        F.first(features).alias(features), F.avg(value).alias(label), F.count(F.lit(1)).cast("double").alias("_rows")
+    )
+    kept = folded.select(F.col(features).alias(features, metadata=rows.schema[features].metadata), label, "_rows")
+    model = estimator.copy({estimator.weightCol: "_rows"}).fit(kept)
+    model.clear(model.weightCol)
+    return model
+
+
+def _squared(estimator) -> bool:
+    """Whether every row counts once and only its squared error does."""
+    plain = {"weightCol": None, "minWeightFractionPerNode": 0.0, "minInstancesPerNode": 1, "subsamplingRate": 1.0,
+             "validationIndicatorCol": None, "lossType": "squared"}
+    return all(estimator.getOrDefault(n) == v for n, v in plain.items() if estimator.hasParam(n) and estimator.isDefined(n))
 
 
 def predict(model: Model, df: DataFrame, column: str = "prediction") -> DataFrame:

@@ -189,3 +189,16 @@ def test_fits_at_the_same_time_have_their_own_properties(spark, sides):
 
     T.grid_search(M.linear("price", "features"), {"regParam": [0.0, 10.0]}, *sides, parallelism=2, fitted=mark)
     assert seen == [True, True]
+
+
+@pytest.mark.parametrize("make", [M.decision_tree, lambda *c: M.gbt(*c, maxIter=4, maxDepth=4, stepSize=0.3)])
+def test_trees_on_few_vectors_are_those_on_all_rows(sides, make, monkeypatch):
+    """One row for each vector is fitted, with its count as weight; Spark's fit on all rows predicts the same."""
+    estimator, train = make("price", "features"), sides[0].select("features", "price")
+    fitted_on = []
+    whole = type(estimator).fit
+    monkeypatch.setattr(type(estimator), "fit", lambda self, rows: fitted_on.append(rows.count()) or whole(self, rows))
+    folded = M.fit(estimator, train)
+    assert fitted_on == [train.distinct().select("features").distinct().count()] and fitted_on[0] < train.count() / 5
+    both = M.predict(whole(estimator, train), M.predict(folded, train, "p1"), "p2")
+    assert both.where("abs(p1 - p2) > 1e-8 * greatest(1, abs(p2))").isEmpty()
