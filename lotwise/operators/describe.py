@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotwise.functions.columns import hash_text
 from lotwise.operators.quantiles import quantiles
@@ -76,26 +79,56 @@ def group_mean_ci(df: DataFrame, by: str, value: str = "price", z: float = 1.96)
 POISSON = tuple(
     math.floor(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) + 0.5) for k in range(8)
 )
-#: Weights that one hash of a row gives, four hex digits each.
+#: Weights that one hash of a row gives, 16 bits each.
 WEIGHTS_PER_HASH = 8
 
 
-def bootstrap_weights(draws: int, seed: int, key: Sequence[str]) -> list[Column]:
-    """How often a row is in each of ``draws`` samples, decided by a hash of its key."""
+def bootstrap_hashes(draws: int, seed: int, key: Sequence[str]) -> Column:
+    """The bytes that say how often a row is in each of ``draws`` samples: hashes of its key end to end."""
     hashes = [
         F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(i)), *[F.col(k).cast("string") for k in key]))
         for i in range(math.ceil(draws / WEIGHTS_PER_HASH))
     ]
+    return F.unhex(F.concat(*hashes))
 
-    def weight(draw: int) -> Column:
-        digits = F.substring(hashes[draw // WEIGHTS_PER_HASH], draw % WEIGHTS_PER_HASH * 4 + 1, 4)
-        times = F.lit(0)
-        # Hex digits of equal length are in the order of the numbers.
-        for k, least in enumerate(t for t in POISSON if t < 65536):
-            times = F.when(digits >= F.lit(format(least, "04x")), k + 1).otherwise(times)
-        return times
 
-    return [weight(draw) for draw in range(draws)]
+def _sampled_sums(rows: DataFrame, draws: int, whole: bool) -> DataFrame:
+    """Rows (group, n, total, weights, totals): of each group in each batch of (group, value, hashes), the sums of all samples.
+
+    ``whole`` numbers are added up as such.
+    """
+    kind, number = (T.LongType(), np.int64) if whole else (T.DoubleType(), np.float64)
+    schema = T.StructType([T.StructField("group", rows.schema[0].dataType)])
+    for name, of in (("n", T.LongType()), ("total", kind), ("weights", T.ArrayType(T.LongType())), ("totals", T.ArrayType(kind))):
+        schema.add(name, of)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = np.searchsorted(POISSON, np.arange(1 << 16), side="right").astype(np.int8)
+        for batch in batches:
+            n, group = batch.num_rows, batch.column(0)
+            if not n:
+                continue
+            # Groups of a kind that Arrow does not number are put together by Spark alone.
+            nested, code = pa.types.is_nested(group.type), np.arange(n)
+            if not nested:
+                code = group.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            first = np.flatnonzero(np.diff(code[order], prepend=-1))
+            drawn = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u2").reshape(n, -1)[order, :draws]
+            weight = times[drawn].astype(number)
+            value = batch.column(1).to_numpy(zero_copy_only=False).astype(number)[order]
+            weights, totals = np.add.reduceat(weight, first), np.add.reduceat(weight * value[:, None], first)
+            ends = pa.array(np.arange(len(first) + 1, dtype=np.int32) * draws)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    group.take(pa.array(order[first])), pa.array(np.diff(first, append=n)), pa.array(np.add.reduceat(value, first)),
+                    pa.ListArray.from_arrays(ends, pa.array(weights.ravel().astype(np.int64))),
+                    pa.ListArray.from_arrays(ends, pa.array(totals.ravel())),
+                ],
+                names=schema.names,
+            )
+
+    return rows.mapInArrow(add, schema)
 
 
 def group_mean_bootstrap(
@@ -110,18 +143,20 @@ def group_mean_bootstrap(
     """Mean per group with a bootstrap interval: quantiles of the means of ``draws`` samples.
 
     A sample takes every row a Poisson number of times, so all samples are
-    weighted sums of one aggregation, which combine in the tasks: no row is copied,
+    weighted sums, taken for a whole Arrow batch at a time, which combine in the tasks: no row is copied,
     and a group that holds a third of the rows is one row of sums per task. Weights
     depend on ``seed`` and ``key`` only, so neither partitions nor a re-run task change the
     result; rows with equal keys are sampled together. Rows without a value do not count; a sample
     in which a group has no row is left out of its quantiles.
     """
-    weights = [f"_w{i}" for i in range(draws)]
-    drawn = df.where(F.col(value).isNotNull()).select(by, value, *[w.alias(n) for n, w in zip(weights, bootstrap_weights(draws, seed, key))])
-    sums = drawn.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(value).alias("mean"),
-        F.array(*[F.try_divide(F.sum(F.col(value) * F.col(w)).cast("double"), F.sum(w)) for w in weights]).alias("_means"),
+    whole = isinstance(df.schema[value].dataType, (T.ByteType, T.ShortType, T.IntegerType))
+    number = F.col(value).cast("long" if whole else "double")
+    drawn = df.where(F.col(value).isNotNull()).select(F.col(by).alias("_group"), number.alias("_value"), bootstrap_hashes(draws, seed, key).alias("_hashes"))
+    mean = F.sum("total") / F.sum("n")
+    sums = _sampled_sums(drawn, draws, whole).groupBy(F.col("group").alias(by)).agg(
+        F.sum("n").alias("n"),
+        mean.cast(df.select(F.avg(value)).schema[0].dataType).alias("mean"),
+        F.array(*[F.try_divide(F.sum(F.col("totals")[i]).cast("double"), F.sum(F.col("weights")[i])) for i in range(draws)]).alias("_means"),
     )
     ordered = F.sort_array(F.array_compact("_means"))
     place = lambda share: (F.size("_means") - 1) * F.lit(share)

@@ -103,6 +103,17 @@ def test_bootstrap_is_near_the_normal_interval_and_copies_no_row(spark):
     assert sum(describe.POISSON[k] for k in (0, 1)) == round(65536 * math.exp(-1)) + round(65536 * 2 * math.exp(-1))
 
 
+def test_bootstrap_adds_up_whole_batches(spark):
+    """No weight is a column of the rows, so the generated code stays small; whole numbers and any kind of group count."""
+    df = spark.range(5_000).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 101).cast("int").alias("price"))
+    drawn = describe.group_mean_bootstrap(df, "g", ["id"])
+    assert "CASE WHEN" not in drawn._jdf.queryExecution().optimizedPlan().toString()
+    want = plain_bootstrap([(i % 3, i % 101, i) for i in range(5_000)], 96, 23, 0.95)
+    by_struct = describe.group_mean_bootstrap(df.withColumn("g", F.struct("g")), "g", ["id"]).select("g.g", "ci_low", "ci_high")
+    for r in [*drawn.collect(), *by_struct.collect()]:
+        assert (r.ci_low, r.ci_high) == pytest.approx(want[r.g], rel=1e-12)
+
+
 ROWS = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("day", T.DateType())])
 
 
