@@ -10,7 +10,6 @@ from lotwise.catalog.data import KEY, LISTINGS_SQL, listings
 from lotwise.catalog.registry import query
 from lotwise.functions.columns import car_age
 from lotwise.operators import features as X
-from lotwise.sources.workspace import materialize
 
 SPEC = X.FeatureSpec(
     numeric=("odometer", "car_age"),
@@ -30,8 +29,8 @@ def aged(spark, sf):
 
 
 def sides(spark, sf):
-    """Both sides of the listings, which are joined once and fitted on several times."""
-    return X.split_train_test(materialize(aged(spark, sf), "aged", rebalance=True), key=KEY)
+    """Both sides of the listings, which are joined, split and written once and fitted on several times."""
+    return X.written_split(aged(spark, sf), key=KEY)
 
 
 @query(

@@ -138,7 +138,8 @@ def assembled(spark, sf):
     """Train rows with their vectors, written once, and the fitted features."""
     train, _ = sides(spark, sf)
     fitted = X.feature_pipeline(train, ALL)
-    return materialize(fitted.transform(train), "vectors", rebalance=True), fitted
+    rows = fitted.transform(train).select(*ALL.categorical, LABEL, X.SCALED_VECTOR, X.FEATURES)
+    return materialize(rows, "vectors"), fitted
 
 
 # Added to a mean before it is rounded: means of whole numbers are often right at
@@ -379,8 +380,8 @@ def _grid(spark, sf):
     return T.grid_search(
         M.linear(LABEL),
         GRID,
-        materialize(fitted.transform(train).select(*columns), "train", rebalance=True),
-        materialize(fitted.transform(test).select(*columns), "test", rebalance=True),
+        materialize(fitted.transform(train).select(*columns), "train"),
+        materialize(fitted.transform(test).select(*columns), "test"),
     )
 
 
@@ -493,7 +494,7 @@ KEPT = {"region": 5, "model": 50}
 def _scorer(spark, sf, estimator):
     """A pipeline with rare-value lists, saved and read back, and its requests."""
     df = car_age(listings(spark, sf, *REQUEST, LABEL))
-    train, test = X.split_train_test(materialize(df, "requests", rebalance=True), key=KEY)
+    train, test = X.written_split(df, key=KEY)
     fitted = S.fit_scorer(train, ALL, estimator, KEPT)
     path = save_model(fitted, new_path(spark, "model"))
     return load_model(path), test.drop(LABEL)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.columns import hash_text
 from lotwise.operators.levels import LevelIndexer, SlotAssembler, SlotEncoder
+from lotwise.sources.workspace import materialize
 
 NUMERIC_VECTOR = "numerical_feature_vector"
 SCALED_VECTOR = "scaled_numerical_feature_vector"
@@ -57,6 +58,15 @@ def split_train_test(
     return df.where(picked), df.where(~picked)
 
 
+def written_split(
+    df: DataFrame, share: float = 0.8, seed: int = 23, key: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """``split_train_test``, written once: a side is read many times, and its rows are hashed once."""
+    side = "_in_train"
+    written = materialize(df.withColumn(side, in_train(share, seed, list(key or df.columns))), "sides")
+    return written.where(F.col(side)).drop(side), written.where(~F.col(side)).drop(side)
+
+
 def random_split(df: DataFrame, share: float = 0.8, seed: int = 23) -> tuple[DataFrame, DataFrame]:
     """Spark's own split; its sides change with the partitioning of ``df``."""
     train, test = df.randomSplit([share, 1 - share], seed=seed)

@@ -13,7 +13,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.operators import slot_trees
+from lotwise.operators import moments, slot_trees
 from lotwise.operators.features import FEATURES
 from lotwise.operators.levels import binary_slots
 from lotwise.sources.workspace import shared_folder
@@ -72,7 +72,7 @@ def fit(estimator, train: DataFrame) -> Model:
 
     Trees on assembled vectors are grown from the slots that rows have. Spark's own
     take those that are not assembled; its boosting cuts its growing lineage in the shared
-    folder every few trees.
+    folder every few trees. Least squares takes one pass, which adds up moments.
     """
     shared_folder(train.sparkSession)
     columns = (estimator.getFeaturesCol(), estimator.getLabelCol())
@@ -80,7 +80,8 @@ def fit(estimator, train: DataFrame) -> Model:
     if slot_trees.supports(estimator, rows):
         return slot_trees.fit(estimator, rows)
     if isinstance(estimator, LinearRegression):
-        return estimator.fit(rows)
+        few = moments.condensed(rows) if moments.supports(estimator) else None
+        return estimator.fit(rows) if few is None else moments.fit(estimator, few)
     return _fit_folded(estimator, binary_slots(rows, columns[0]))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lotwise.operators import moments
 from lotwise.operators.evaluate import leaderboard
 from lotwise.operators.models import fit
 
@@ -65,6 +66,25 @@ def _single_point(estimator, point: dict, train, test, fitted) -> list[dict]:
     return [{**point, "train_r2": r2[0], "test_r2": r2[1]}]
 
 
+def _linear_points(estimator, points: Sequence[dict], train, test, fitted) -> list[dict] | None:
+    """All points of a linear model from the moments of one pass, and the scores of all from one pass over each side."""
+    few = moments.condensed(train) if moments.supports(estimator) else None
+    if few is None:
+        return None
+    models = {}
+    for i, point in enumerate(points):
+        models[str(i)] = moments.fit(estimator.copy({getattr(estimator, p): v for p, v in point.items()}), few)
+        fitted(point, models[str(i)])
+    scores = [
+        {r["Model"]: r["R2"] for r in leaderboard(models, side, estimator.getLabelCol(), digits=None).collect()} for side in (train, test)
+    ]
+    return [{**point, "train_r2": scores[0][str(i)], "test_r2": scores[1][str(i)]} for i, point in enumerate(points)]
+
+
+#: Parameters of a linear model that change nothing about its moments.
+PENALTIES = ("regParam", "elasticNetParam", "maxIter", "tol", "standardization", "fitIntercept")
+
+
 def _fingerprint(estimator, grid: Mapping[str, Sequence], train: DataFrame, test: DataFrame) -> str:
     """A digest of everything but the point that a score depends on: settings, label and rows of both sides."""
     settings = sorted((p.name, str(v)) for p, v in estimator.extractParamMap().items() if p.name not in grid)
@@ -116,7 +136,7 @@ def grid_search(
     """Train and test R² of every grid point; each model is fitted once.
 
     A boosted estimator is fitted once per setting of the other parameters, not
-    once per ``maxIter``. Every fit passes over both sides: give written tables
+    once per ``maxIter``; linear models share one pass over each side. Every fit passes over both sides: give written tables
     or held frames.
 
     With ``path``, in a store that outlives the session, the scores of each
@@ -151,6 +171,11 @@ def grid_search(
         return rows
 
     settings = grid_points({n: v for n, v in grid.items() if not (boosted and n == "maxIter")})
+    # With a path each point is scored and written on its own.
+    if not path and set(names) <= set(PENALTIES):
+        together = _linear_points(estimator, settings, train, test, fitted)
+        if together is not None:
+            return spark.createDataFrame([typed(row) for row in together], schema)
     with ThreadPoolExecutor(max(parallelism, 1)) as pool:
         # Each call takes its own copy of the thread's properties, which Spark changes while a query runs.
         runs = [inheritable_thread_target(spark)(partial(work, setting)) for setting in settings]
