@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.columns import int_price_text
+from lotwise.operators import moments
 from lotwise.operators.features import FeatureSpec, feature_stages
 from lotwise.operators.models import fit
 from lotwise.operators.stages import RareGrouper
+from lotwise.sources.workspace import materialize, scope
 
 # What each field of a score request may hold.
 DOMAINS = {
@@ -43,7 +45,11 @@ def fit_scorer(
     top_k = dict(top_k or {})
     grouping = [RareGrouper(inputCols=list(top_k), k=list(top_k.values()))] if top_k else []
     features = Pipeline(stages=[*grouping, *feature_stages(spec)]).fit(train)
-    return PipelineModel([*features.stages, fit(estimator, features.transform(train))])
+    vectors = features.transform(train).select(estimator.getFeaturesCol(), estimator.getLabelCol())
+    if moments.supports(estimator):
+        return PipelineModel([*features.stages, fit(estimator, vectors)])
+    with scope(train.sparkSession):  # trees go over the vectors several times
+        return PipelineModel([*features.stages, fit(estimator, materialize(vectors, "train"))])
 
 
 def score_listings(model: PipelineModel, requests: DataFrame, spec: FeatureSpec) -> DataFrame:

@@ -36,6 +36,14 @@ def test_saved_scorer_predicts_the_same(scorer):
     assert a.exceptAll(b).isEmpty() and a.count() == cleaned.count()
 
 
+def test_trees_are_fitted_on_written_vectors(scorer, monkeypatch):
+    """Trees go over their vectors several times, so the features are not made again each time."""
+    plans = []
+    monkeypatch.setattr(S, "fit", lambda estimator, rows: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or scorer[0].stages[-1])
+    S.fit_scorer(scorer[2], SPEC, M.gbt(maxIter=3), {"model": 3, "region": 3})
+    assert "Join" not in plans[0] and "PythonUDF" not in plans[0]
+
+
 def test_one_request(spark, scorer):
     scored = S.score_listings(scorer[1], request_to_df(spark, **SAMPLE), SPEC)
     row = scored.first()
