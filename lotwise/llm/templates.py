@@ -52,23 +52,33 @@ class Vocabulary(dict):
     """Numbers of tokens, each with its hash; learnt as they come."""
 
     def __init__(self):
+        import xxhash
+
         super().__init__()
-        self.hashes: list[int] = []
-        self.kinds: list[int] = []
+        self._digest = xxhash.xxh3_64_intdigest
+        self._new: tuple[list[int], list[int], list[bool]] = ([], [], [])
+        self._known = np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, bool)
 
     def __missing__(self, token: str) -> int:
-        import xxhash
-
-        kind = 0
+        kind, lower = 0, token.lower()
         if token[0].isdigit():
             kind = NUMBER
         elif len(token) > 1 and token[0].isupper() and token[1:].islower():
             kind = NAME
-        at = self[token] = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(token.lower().encode()))
-        self.kinds.append(kind)
+        at = self[token] = len(self)
+        kinds, hashes, units = self._new
+        kinds.append(kind)
+        hashes.append(self._digest(lower.encode()))
+        units.append(lower in UNITS)
         return at
 
+    def facts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kinds, hashes and whether it is a unit, by a token's number; only those learnt since the last call are added."""
+        if self._new[0]:
+            self._known = tuple(np.concatenate([old, np.array(new, old.dtype)]) for old, new in zip(self._known, self._new))
+            self._new = ([], [], [])
+        return self._known
+
 
 def canonical(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Values, kinds and hashes of the template's tokens; a run of names is one token."""
@@ -91,11 +101,8 @@ def _tokens(texts: list[str], known: Vocabulary):
             if found:
                 first.append(len(tokens))
                 tokens += found
-        cut.append((tokens, first, np.array([known[t] for t in tokens], np.int64)))
-    kind_of, hash_of = np.array(known.kinds, np.int8), np.array(known.hashes, np.uint64)
-    unit_of = np.zeros(len(known), bool)
-    for token, at in known.items():
-        unit_of[at] = token.lower() in UNITS
+        cut.append((tokens, first, np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))))
+    kind_of, hash_of, unit_of = known.facts()
     out = []
     for tokens, first, code in cut:
         if not tokens:
