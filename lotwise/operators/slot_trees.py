@@ -8,8 +8,10 @@ lacks is the node's sum less that of the rows that have it. The driver gets the
 split of each node. Splits, gains and leaves are defined as Spark's, and the
 result is Spark's model.
 
-Rows stay in the executors as arrays of ``CHUNK`` rows. Boosting keeps what is left
-of the label next to them.
+Rows stay in the executors as arrays of ``CHUNK`` rows. Columns of few values share a
+code, so that a row is added up once for each code and not for each column; the
+sums of a column are those of the codes. Boosting keeps what is left of the label
+next to them.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ CHUNK = 1 << 16
 PARTITION_ROWS = 4_000_000
 #: Sums that a task holds at once; a level with more nodes takes several jobs.
 CELLS = 1 << 22
+#: Values of a code that columns share.
+COMBINED = 256
 #: Slots whose sums travel together.
 BLOCK = 1 << 16
 #: Trees after which what is left is taken from the table again, so that no lineage is longer.
@@ -71,6 +75,62 @@ def supports(estimator, rows: DataFrame) -> bool:
     return all(v == plain[n] for n, v in set_to.items()) and not (forest and estimator.getNumTrees() == 1)
 
 
+class _Layout:
+    """How the columns of a row, numbers as bins first, are held as codes.
+
+    A column's value is its bin or its slot from the column's first one, the number of
+    its slots where it has none. A code is the values of a group of columns in mixed radix;
+    columns of more than ``COMBINED`` values are groups of their own.
+    """
+
+    def __init__(self, told: dict, cuts: list[np.ndarray]):
+        self.size, self.width, self.starts = told["size"], len(cuts), list(told["starts"])
+        self.lengths = [len(c) + 1 for c in cuts] + [b - a + 1 for a, b in zip(self.starts, [*self.starts[1:], self.size])]
+        self.groups: list[list[int]] = []
+        self.codes: list[int] = []
+        self.place: dict[int, tuple[int, int]] = {}
+        for j in sorted(range(len(self.lengths)), key=lambda j: -self.lengths[j]):
+            g = next((g for g, c in enumerate(self.codes) if c * self.lengths[j] <= COMBINED), len(self.codes))
+            if g == len(self.codes):
+                self.groups.append([])
+                self.codes.append(1)
+            self.place[j] = g, self.codes[g]
+            self.groups[g].append(j)
+            self.codes[g] *= self.lengths[j]
+        self.kind = np.min_scalar_type(max(self.codes) - 1)
+
+    def column(self, feature: int) -> tuple[int, int]:
+        """The column of a feature and the value there that stands for it; for a number its bins are its values."""
+        if feature < self.width:
+            return feature, 0
+        j = int(np.searchsorted(self.starts, feature, side="right")) - 1
+        return self.width + j, feature - self.starts[j]
+
+    def encode(self, values: np.ndarray) -> np.ndarray:
+        """Codes of each group from a row of values for each column."""
+        out = np.zeros((len(self.groups), values.shape[1]), np.int64)
+        for j, line in enumerate(values):
+            g, stride = self.place[j]
+            out[g] += line * stride
+        return out.astype(self.kind)
+
+    def unfold(self, sums: list[np.ndarray], nodes: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Sums by node and slot, and by node and bin of each number, from those by node and code."""
+        slots, bins = np.zeros((2, nodes, self.size)), [np.zeros(0)] * self.width
+        for columns, mine in zip(self.groups, sums):
+            # The last column has the longest stride.
+            mine = mine.reshape(2, nodes, *[self.lengths[j] for j in reversed(columns)])
+            for i, j in enumerate(reversed(columns)):
+                others = tuple(2 + a for a in range(len(columns)) if a != i)
+                found = mine.sum(axis=others) if others else mine
+                if j < self.width:
+                    bins[j] = found
+                else:
+                    first = self.starts[j - self.width]
+                    slots[:, :, first : first + self.lengths[j] - 1] = found[:, :, :-1]
+        return slots, bins
+
+
 @dataclass
 class _Tree:
     """Nodes by number; a leaf is its own child. ``rows`` and ``total`` are the count and sum of its targets."""
@@ -112,28 +172,45 @@ class _Tree:
     def value(self) -> np.ndarray:
         return np.array(self.total) / np.maximum(self.rows, 1e-300)
 
-    def routes(self, starts: list[int], width: int) -> tuple:
+    def routes(self, layout: _Layout) -> tuple:
         """What a task needs to send rows to their leaves.
 
-        A row goes left if its cell in ``place`` is at most ``span`` above ``low``, or, where ``other``, if not.
+        A node has a stretch of ``left``, which says for each code whether it goes left. For a column
+        of its own that is short as well: it begins at ``low`` and all codes from ``top`` on share its end.
         """
-        feature = np.array(self.feature)
-        number = feature < width  # leaves as well, whose children are themselves
-        place = np.where(number, np.maximum(feature, 0), width + np.searchsorted(starts, feature, side="right") - 1)
-        low, span = np.where(number, 0, feature), np.where(number, self.cut, 0)
+        most = min(max(layout.codes), COMBINED)
+        group, base, low, top = (np.zeros(len(self.left), t) for t in (np.int64, np.int64, np.uint32, np.uint32))
+        left, held = [np.zeros(most, bool)], most  # the first stretch is of leaves, whose children are themselves
+        for i, feature in enumerate(self.feature):
+            if feature < 0:
+                continue
+            j, value = layout.column(feature)
+            group[i], stride = layout.place[j]
+            codes, base[i] = layout.codes[group[i]], held
+            if codes <= COMBINED:
+                values, top[i] = np.arange(codes) // stride % layout.lengths[j], codes - 1
+            elif j < layout.width:
+                values, top[i] = np.arange(self.cut[i] + 2), self.cut[i] + 1
+            else:
+                values, low[i], top[i] = np.array([value, -1]), value, 1
+            left.append(values <= self.cut[i] if j < layout.width else (values == value) == self.one_left[i])
+            held += len(left[-1])
         kids = np.stack([self.right, self.left], axis=1).ravel()
-        return self.depth, place, low.astype(np.int32), span.astype(np.uint32), ~number & ~np.array(self.one_left), kids
+        ends = (low, top) if max(layout.codes) > COMBINED else None
+        return self.depth, group, base, np.concatenate(left), ends, kids
 
 
-def _route(routes: tuple, cells: np.ndarray) -> np.ndarray:
+def _route(routes: tuple, codes: np.ndarray) -> np.ndarray:
     """The leaf of each row."""
-    depth, place, low, span, other, kids = routes
-    n = cells.shape[1]
-    at, rows, flat = np.zeros(n, np.int64), np.arange(n), cells.ravel()
+    depth, group, base, left, ends, kids = routes
+    n = codes.shape[1]
+    at, rows, flat, line = np.zeros(n, np.int64), np.arange(n), codes.ravel(), group * n
     for _ in range(depth):
-        # A cell below the low end wraps to a large number.
-        above = (flat[place[at] * n + rows] - low[at]).view(np.uint32)
-        at = kids[2 * at + ((above <= span[at]) ^ other[at])]
+        code = flat.take(line.take(at) + rows)
+        if ends is not None:
+            # A code below the low end wraps to a large number.
+            code = np.minimum(code.astype(np.uint32) - ends[0].take(at), ends[1].take(at))
+        at = kids.take(2 * at + left.take(base.take(at) + code))
     return at
 
 
@@ -191,21 +268,21 @@ def _cuts(values: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
 
 
 def _chunks(rows: DataFrame, n: int, told: dict, cuts: list[np.ndarray]) -> RDD:
-    """Bins of numbers and a row for each column with its slots, the number after the last where there is none, and the label."""
-    width, starts = len(cuts), np.array(told["starts"])
+    """Codes of the bins of numbers and of the slot that a row has in each column, and the label."""
+    width, starts, layout = len(cuts), np.array(told["starts"]), _Layout(told, cuts)
 
     def arrays(batch: pa.RecordBatch) -> tuple:
         of, at, values = _flat(batch)
         there = (at >= width) & (values != 0)
-        cells = np.full((width + len(starts), batch.num_rows), told["size"], np.int32)
-        cells[width + np.searchsorted(starts, at[there], side="right") - 1, of[there]] = at[there]
+        cells = np.repeat(np.array(layout.lengths)[:, None] - 1, batch.num_rows, axis=1)
+        column = np.searchsorted(starts, at[there], side="right") - 1
+        cells[width + column, of[there]] = at[there] - starts[column]
         for j, (c, v) in enumerate(zip(cuts, _numbers(batch, width))):
             cells[j] = np.searchsorted(c, v, side="left")
-        return cells, batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+        return layout.encode(cells), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
 
     def joined(parts: list[tuple]) -> tuple:
-        cells = np.hstack([p[0] for p in parts])
-        return cells.astype(np.uint16 if told["size"] < 65535 else np.int32), np.concatenate([p[1] for p in parts])
+        return np.hstack([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, held = [], 0
@@ -238,6 +315,9 @@ class _Data:
     scale: float = 1.0  # the target is what is left times this
     bagged: bool = False
 
+    def __post_init__(self):
+        self.layout = _Layout(self.told, self.cuts)
+
     def weights(self) -> object:
         """How often a tree takes the rows of a chunk; None for once."""
         seed, bagged = abs(self.estimator.getSeed()), self.bagged
@@ -249,14 +329,14 @@ class _Data:
 
     def leaf_sums(self, trees: list[_Tree]) -> list[np.ndarray]:
         """Rows, targets and squared targets in each leaf of each tree."""
-        routes = [t.routes(self.told["starts"], len(self.cuts)) for t in trees]
+        routes = [t.routes(self.layout) for t in trees]
         scale, draw = self.scale, self.weights()
         sizes = [len(t.left) for t in trees]
 
         def add(part: int, chunks: Iterator[tuple]) -> Iterator[list[np.ndarray]]:
             sums = [np.zeros((3, s)) for s in sizes]
             for c, (cells, rest) in enumerate(chunks):
-                target, cells = rest * scale, cells.astype(np.int32, copy=False)
+                target = rest * scale
                 for k, route in enumerate(routes):
                     at, w = _route(route, cells), draw(part, c, k, len(rest))
                     for i, v in enumerate((np.ones(len(rest)), target, target * target)):
@@ -267,7 +347,7 @@ class _Data:
 
     def best_splits(self, trees: list[_Tree], nodes: list[tuple[int, int]]) -> dict[tuple[int, int], tuple]:
         """The best split of each node, given as (tree, number); those without one are absent."""
-        cells = self.told["size"] + 1 + sum(len(c) + 1 for c in self.cuts)
+        cells = self.told["size"] + sum(self.layout.codes) + sum(len(c) + 1 for c in self.cuts)
         step, found = max(CELLS // cells, 1), {}
         for i in range(0, len(nodes), step):
             for key, split in self._best(trees, nodes[i : i + step]).collect():
@@ -277,19 +357,16 @@ class _Data:
 
     def _best(self, trees: list[_Tree], nodes: list[tuple[int, int]]) -> RDD:
         size, width, scale, draw = self.told["size"], len(self.cuts), self.scale, self.weights()
-        routes = {k: trees[k].routes(self.told["starts"], width) for k, _ in nodes}
+        layout = self.layout
+        routes = {k: trees[k].routes(layout) for k, _ in nodes}
         asked = {k: np.full(len(trees[k].left), -1) for k in routes}
         order = {k: [i for t, i in nodes if t == k] for k in routes}
         for k, i in nodes:
             asked[k][i] = order[k].index(i)
-        lengths = [len(c) + 1 for c in self.cuts]
 
         def add(part: int, chunks: Iterator[tuple]) -> Iterator[tuple]:
-            span = size + 1
-            by_slot = {k: np.zeros((2, len(order[k]) * span)) for k in routes}
-            by_bin = {(k, j): np.zeros((2, len(order[k]) * m)) for k in routes for j, m in enumerate(lengths)}
+            by_code = {k: [np.zeros((2, len(order[k]) * m)) for m in layout.codes] for k in routes}
             for c, (cells, rest) in enumerate(chunks):
-                cells = cells.astype(np.int32, copy=False)
                 for k, route in routes.items():
                     at, w = asked[k][_route(route, cells)], draw(part, c, k, len(rest))
                     on = np.flatnonzero(at >= 0 if w is None else (at >= 0) & (w > 0))
@@ -298,18 +375,17 @@ class _Data:
                     else:
                         own, mine, y = at, cells, rest * scale
                     y = y if w is None else y * w
-                    for j, line in enumerate(mine):
-                        sums, m = (by_bin[k, j], lengths[j]) if j < width else (by_slot[k], span)
+                    for line, m, sums in zip(mine, layout.codes, by_code[k]):
                         keys = own * m + line
                         sums[0] += np.bincount(keys, weights=w, minlength=sums.shape[1])
                         sums[1] += np.bincount(keys, weights=y, minlength=sums.shape[1])
             for k in routes:
+                slots, bins = layout.unfold(by_code.pop(k), len(order[k]))
                 for i, node in enumerate(order[k]):
-                    mine = by_slot[k][:, i * span : (i + 1) * span]
                     for first in range(0, size, BLOCK):
-                        yield (k, node, "slots", first), mine[:, first : min(first + BLOCK, size)].copy()
-                    for j, m in enumerate(lengths):
-                        yield (k, node, "bins", j), by_bin[k, j][:, i * m : (i + 1) * m].copy()
+                        yield (k, node, "slots", first), slots[:, i, first : min(first + BLOCK, size)].copy()
+                    for j, sums in enumerate(bins):
+                        yield (k, node, "bins", j), sums[:, i].copy()
 
         totals = {(k, i): (trees[k].rows[i], trees[k].total[i]) for k, i in nodes}
         least, floor = self.estimator.getMinInstancesPerNode(), self.estimator.getMinInfoGain()
@@ -345,7 +421,7 @@ class _Data:
             sums = (inner_n, inner_t) if one_left else (outer_n, outer_t)
             yield (k, node), (float(gain[best]), first + best, 0, one_left, *[float(v[best]) for v in sums])
 
-        parts = min(len(nodes) * (len(lengths) + 1), self.chunks.getNumPartitions())
+        parts = min(len(nodes) * (width + 1), self.chunks.getNumPartitions())
         return self.chunks.mapPartitionsWithIndex(add).reduceByKey(lambda a, b: a + b, parts).flatMap(judge)
 
     def grow(self, roots: list[tuple[float, float]]) -> list[_Tree]:
@@ -365,15 +441,14 @@ class _Data:
         return trees
 
 
-def _less(chunks: RDD, done: list[tuple[_Tree, float]], starts: list[int], width: int) -> RDD:
+def _less(chunks: RDD, done: list[tuple[_Tree, float]], layout: _Layout) -> RDD:
     """What is left of the label after trees with their weights."""
-    steps = [(t.routes(starts, width), t.value() * weight) for t, weight in done]
+    steps = [(t.routes(layout), t.value() * weight) for t, weight in done]
 
     def take(chunk: tuple) -> tuple:
         cells, rest = chunk
-        wide = cells.astype(np.int32, copy=False)
         for routes, value in steps:
-            rest = rest - value[_route(routes, wide)]
+            rest = rest - value[_route(routes, cells)]
         return cells, rest
 
     return chunks.map(take)
@@ -381,21 +456,24 @@ def _less(chunks: RDD, done: list[tuple[_Tree, float]], starts: list[int], width
 
 def _boost(data: _Data, base: RDD) -> list[tuple[_Tree, float]]:
     """The first tree on the label, each next one on twice what is left, the slope of the squared error."""
-    done, weight = [], 1.0
+    done, weight, before = [], 1.0, None
     blank = _Tree([0.0], [0.0])
     rows, total, _ = data.leaf_sums([blank])[0][:, 0]
-    for k in range(data.estimator.getMaxIter()):
-        (tree,) = data.grow([(rows, total * data.scale)])
-        done.append((tree, weight))
-        if k + 1 == data.estimator.getMaxIter():
-            break
-        total = tree.total[0] * (1 / data.scale - weight)
-        source, since = (base, done) if (k + 1) % REBASE == 0 else (data.chunks, done[-1:])
-        fresh = _less(source, since, data.told["starts"], len(data.cuts))
-        before, data.chunks = data.chunks, fresh.persist(StorageLevel.MEMORY_AND_DISK)
-        data.scale, weight = 2.0, data.estimator.getStepSize()
-        data.chunks.foreachPartition(lambda chunks: [None for _ in chunks] and None)
-        before.unpersist()
+    try:
+        for k in range(data.estimator.getMaxIter()):
+            (tree,) = data.grow([(rows, total * data.scale)])  # its first job takes the tree before from the rows
+            done.append((tree, weight))
+            if before is not None:
+                before.unpersist()
+            if k + 1 == data.estimator.getMaxIter():
+                break
+            total = tree.total[0] * (1 / data.scale - weight)
+            source, since = (base, done) if (k + 1) % REBASE == 0 else (data.chunks, done[-1:])
+            before, data.chunks = data.chunks, _less(source, since, data.layout).persist(StorageLevel.MEMORY_AND_DISK)
+            data.scale, weight = 2.0, data.estimator.getStepSize()
+    finally:
+        if before is not None:
+            before.unpersist()
     return done
 
 

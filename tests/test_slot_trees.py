@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -56,6 +57,31 @@ def test_nodes_in_several_jobs_and_a_new_start_change_nothing(vectors, monkeypat
     assert both.where("abs(p1 - p2) > 1e-8 * greatest(1, abs(p2))").isEmpty()
 
 
+def test_columns_of_few_values_share_a_code():
+    """A row is added up once for each code; sums of columns come out as if counted one by one."""
+    told = {"numbers": 2, "size": 2 + 300 + 5 + 2 + 1, "starts": [2, 302, 307, 309]}
+    layout = slot_trees._Layout(told, [np.arange(24.0), np.arange(8.0)])
+    assert layout.codes == [301, 225, 36]
+    rng = np.random.default_rng(3)
+    values, node = np.stack([rng.integers(0, m, 500) for m in layout.lengths]), rng.integers(0, 3, 500)
+    codes = layout.encode(values)
+    counts = [np.bincount(node * m + c, minlength=3 * m) for m, c in zip(layout.codes, codes)]
+    slots, bins = layout.unfold([np.stack([c, 2 * c]) for c in counts], 3)
+    for j, m in enumerate(layout.lengths):
+        want = np.bincount(node * m + values[j], minlength=3 * m).reshape(3, m)
+        first = None if j < 2 else told["starts"][j - 2]
+        got = bins[j] if j < 2 else slots[:, :, first : first + m - 1]
+        assert (got == np.stack([want, 2 * want])[:, :, : got.shape[2]]).all()
+
+
+def test_columns_with_codes_of_their_own_change_nothing(vectors, monkeypatch):
+    estimator = M.gbt("y", maxIter=3, maxDepth=4)
+    whole = M.fit(estimator, vectors)
+    monkeypatch.setattr(slot_trees, "COMBINED", 12)
+    both = M.predict(M.fit(estimator, vectors), M.predict(whole, vectors, "p1"), "p2")
+    assert both.where("abs(p1 - p2) > 1e-8 * greatest(1, abs(p2))").isEmpty()
+
+
 def test_a_model_is_saved_and_settings_of_sparks_trees_stay_there(vectors, tmp_path):
     forest = M.random_forest("y").setNumTrees(3)
     model = M.fit(forest, vectors)
