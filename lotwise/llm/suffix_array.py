@@ -104,3 +104,18 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, width: int) -> np.ndarr
         out[apart] = depth + (64 - bits) // 8
         at = at[same]
     return np.minimum(out, width)
+
+
+def shared_prefixes(data: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
+    """For each suffix whether it shares ``width`` bytes with the one before it in ``order``; that many are words or more.
+
+    The same as whether ``common_prefixes`` gives ``width``, without the lengths of shorter ones.
+    """
+    words = _words(data, width)
+    out = np.zeros(len(order), bool)
+    first = words[order].astype(np.uint64)
+    at = np.flatnonzero(first[1:] == first[:-1]) + 1
+    for depth in [*range(WORD, width - WORD, WORD), width - WORD]:
+        at = at[words[order[at] + depth] == words[order[at - 1] + depth]]
+    out[at] = True
+    return out

@@ -1,13 +1,15 @@
 """Suffix-array dedup: bytes in a 50-byte string that an earlier document has.
 
-Documents are taken in blocks of bounded size. In each, a suffix array by
-two-stage sorting and its adjacent common prefixes find the strings that repeat
-within the block. Of what is left, every string has a minimizer, its least 24-byte
-hash. Minimizers travel first, once for each block that has them; only strings
-whose minimizer another block has as well go to a bucket, as part of a run of
-strings with the same one. There the strings of different blocks meet and a suffix
-array finds the rest. A passage that very many documents have leaves each block
-once, so buckets do not grow with the number of copies, but by one string a block.
+Every string has a minimizer, its least 24-byte hash, and equal strings have the
+same. Documents are taken in blocks of bounded size. In each, a suffix array by
+two-stage sorting and its adjacent common prefixes find what repeats among the
+strings whose minimizer two documents of the block have. Minimizers of what is left
+travel first, once for each block that has them. For those that another block has
+as well, each run of adjoining strings with the same one sends a digest of its bytes:
+of runs with equal bytes all but those of the smallest document are found, and no
+byte of them travels. Where one minimizer has runs with different bytes, mostly
+at the ends of passages, the smallest document's run of each goes to a bucket, where
+a suffix array finds the rest.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm.common import mix64
-from lotwise.llm.suffix_array import WORD, _words, common_prefixes, suffix_array
-from lotwise.sources.workspace import materialize
+from lotwise.llm.suffix_array import WORD, _words, shared_prefixes, suffix_array
+from lotwise.sources.workspace import materialize, new_path, scope
 
 #: Bytes of a string that counts.
 WIDTH = 50
@@ -35,7 +37,12 @@ BLOCK = 4 << 20
 BUCKET = 4 << 20
 BUCKETS = 64
 
+#: Places whose minimizers are taken at a time.
+PIECE = 1 << 14
+
 _HALF = np.uint64(32)
+#: Odd factors of the words of a gram.
+_MIX = [mix64(np.arange(1, 2, dtype=np.uint64) + np.uint64(k))[0] | np.uint64(1) for k in range(GRAM // WORD)]
 SPANS = "doc_id long, row long, starts binary"
 #: What a block leaves: spans of what repeats in it, minimizers by bucket, and its text.
 LEFT = pa.schema(
@@ -50,7 +57,7 @@ BLOCKS = f"block long, bucket int, {SPANS}, keys binary, payload binary"
 def repeated(data: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """For each of the ``starts`` whether its string also starts in a smaller owner."""
     order = suffix_array(data, WIDTH)
-    new = common_prefixes(data, order, WIDTH) < WIDTH
+    new = ~shared_prefixes(data, order, WIDTH)
     rank = np.full(len(data), -1, np.int64)
     rank[starts] = np.arange(len(starts))
     rank = rank[order]
@@ -66,17 +73,21 @@ def repeated(data: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndar
 
 def minimizers(data: np.ndarray) -> np.ndarray:
     """For each place the least hash of a gram in the string that starts there."""
-    words = _words(data, WIDTH)
-    n = len(data)
-    h = words[:n].astype(np.uint64)
-    for at in range(WORD, GRAM, WORD):
-        h = mix64(h) ^ words[at : n + at].astype(np.uint64)
-    h = np.concatenate([mix64(h), np.full(GRAMS, np.iinfo(np.uint64).max, np.uint64)])
-    width = 1
-    while 2 * width <= GRAMS:
-        h[:-width] = np.minimum(h[:-width], h[width:])
-        width *= 2
-    return np.minimum(h[:n], h[GRAMS - width : n + GRAMS - width])
+    words, n = _words(data, WIDTH), len(data)
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, PIECE):
+        # Pieces that stay in a processor's cache; each with the grams of its last strings, none behind the data.
+        size, grams = min(PIECE, n - at), min(PIECE + GRAMS - 1, n - at)
+        h = words[at : at + grams] * _MIX[0]
+        for k, factor in enumerate(_MIX[1:], 1):
+            h += words[at + WORD * k : at + WORD * k + grams] * factor
+        h = np.concatenate([mix64(h), np.full(size + GRAMS - grams, np.iinfo(np.uint64).max, np.uint64)])
+        width = 1
+        while 2 * width <= GRAMS:
+            h = np.minimum(h[:-width], h[width:])
+            width *= 2
+        out[at : at + size] = np.minimum(h[:size], h[GRAMS - width : size + GRAMS - width])
+    return out
 
 
 def _runs(places: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,12 +149,15 @@ class _Block:
         lengths = np.array([len(p) for p in self.parts], np.int64)
         ids, rows, offset = (np.array(x, np.int64) for x in zip(*self.about))
         starts, part, inside = _places(lengths, offset)
-        found = repeated(data, starts, ids[part])
+        least = minimizers(data)[starts]
+        head, tail = _runs(starts, part, least)
+        found = _within(data, starts, part, ids, least[head], head, tail)
         at, of = inside[found], part[found]
         first, last = _runs(at, of)
         made = _spans(ids[of[first]], rows[of[first]], at[first], at[last])
 
-        keys = np.unique(minimizers(data)[starts[~found]])
+        keys = np.sort(least[head[np.logical_or.reduceat(~found, head)]])
+        keys = keys[np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]))]
         place = (keys % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(place, kind="stable")
         keys, place = keys[order], place[order]
@@ -160,6 +174,31 @@ class _Block:
         yield _left(1, block=[block], payload=[payload])
 
 
+def _within(
+    data: np.ndarray, starts: np.ndarray, part: np.ndarray, ids: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray
+) -> np.ndarray:
+    """For each string of a block whether a smaller document of the block has it.
+
+    ``key`` is the minimizer of each run of strings. Only those under a minimizer that two
+    documents have are sorted, in stretches of adjoining runs.
+    """
+    owner, order = ids[part[first]], np.argsort(key)
+    new = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+    low, high = (least.reduceat(owner[order], new) for least in (np.minimum, np.maximum))
+    shared = np.zeros(len(key), bool)
+    shared[order] = np.repeat(low != high, np.diff(np.append(new, len(key))))
+    some = np.repeat(shared, last - first + 1)
+    found = np.zeros(len(starts), bool)
+    if some.any():
+        starts, part = starts[some], part[some]
+        first, last = _runs(starts, part)
+        count = last - first + 1
+        lengths = count + WIDTH - 1
+        text = data[_expand(starts[first], lengths)]
+        found[some] = repeated(text, _expand(np.cumsum(lengths) - lengths, count), ids[part])
+    return found
+
+
 def _left(n: int, **columns) -> pa.RecordBatch:
     """Rows of ``LEFT`` in which the other columns are null."""
     values = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in LEFT]
@@ -198,22 +237,106 @@ def _common(blocks: np.ndarray, keys: list[bytes]) -> pa.Table:
     )
 
 
-def _strings(payload: bytes, shared: list[bytes], buckets: int) -> pa.RecordBatch:
-    """Rows (bucket, payload): the strings of a block that are not found yet and whose minimizer is shared."""
+class _Texts:
+    """What a block's payload says: its text, its strings, and their runs under one minimizer, by number."""
+
+    def __init__(self, payload: bytes):
+        import zstandard
+
+        raw = zstandard.ZstdDecompressor().decompress(payload)
+        n = int(np.frombuffer(raw, "<i8", 1)[0])
+        self.ids, self.rows, self.offset, self.lengths = np.frombuffer(raw, "<i8", 4 * n, 8).reshape(4, n)
+        self.starts, self.part, self.inside = _places(self.lengths, self.offset)
+        packed = -(-len(self.starts) // 8)
+        bits = np.frombuffer(raw, np.uint8, packed, 8 + 32 * n)
+        self.found = np.unpackbits(bits, count=len(self.starts)).astype(bool)
+        self.data = np.frombuffer(raw, np.uint8, offset=8 + 32 * n + packed)
+        self.least = minimizers(self.data)[self.starts]
+        self.first, self.last = _runs(self.starts, self.part, self.least)
+
+
+def _digests(payload: bytes, shared: list[bytes], buckets: int) -> tuple[np.ndarray, list[bytes]]:
+    """Buckets, and for each the runs with a string that is not found yet and a minimizer that is shared.
+
+    A run sends its number, its document, half of its minimizer and a digest of its bytes.
+    """
     import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(payload)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    ids, rows, offset, lengths = np.frombuffer(raw, "<i8", 4 * n, 8).reshape(4, n)
-    starts, part, inside = _places(lengths, offset)
-    packed = -(-len(starts) // 8)
-    found = np.unpackbits(np.frombuffer(raw, np.uint8, packed, 8 + 32 * n), count=len(starts)).astype(bool)
-    data = np.frombuffer(raw, np.uint8, offset=8 + 32 * n + packed)
-    least = minimizers(data)[starts]
+    texts = _Texts(payload)
     wanted = np.sort(np.frombuffer(b"".join(shared), "<u4"))
-    half = (least >> _HALF).astype(np.uint32)
+    key = texts.least[texts.first]
+    half = (key >> _HALF).astype("<u4")
     at = np.minimum(np.searchsorted(wanted, half), len(wanted) - 1)
-    rest = ~found & (wanted[at] == half)
+    runs = np.flatnonzero((wanted[at] == half) & np.logical_or.reduceat(~texts.found, texts.first))
+    place = (key[runs] % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(place, kind="stable")
+    runs, place = runs[order], place[order]
+    begin, end = texts.starts[texts.first[runs]], texts.starts[texts.last[runs]] + WIDTH
+    view, digest = memoryview(texts.data), hashlib.blake2b
+    made = b"".join([digest(view[a:b], digest_size=8).digest() for a, b in zip(begin.tolist(), end.tolist())])
+    ids = texts.ids[texts.part[texts.first[runs]]]
+    cuts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.zeros(0, int)
+    pack = zstandard.ZstdCompressor(level=1).compress
+    out = []
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(place)]):
+        # Numbers and documents rise, so that their distances are small.
+        steps = np.diff(runs[a:b], prepend=0).astype("<i4"), np.diff(ids[a:b], prepend=0).astype("<i8")
+        out.append(pack(b"".join([*(x.tobytes() for x in steps), half[runs[a:b]].tobytes(), made[8 * a : 8 * b]])))
+    return place[cuts], out
+
+
+def _settle(blocks: np.ndarray, payloads: list[bytes]) -> pa.Table:
+    """Rows (block, settled, asked): numbers of runs that are found, and of those whose strings must meet.
+
+    Of runs with equal bytes those of larger documents are found. The others meet where runs of
+    different documents have one minimizer and different bytes. Runs count as equal if 64 bits of
+    a digest and half of the minimizer are, which is another hash of their bytes.
+    """
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    fields: list[list[np.ndarray]] = [[] for _ in range(5)]
+    for i, payload in enumerate(payloads):
+        raw = unpack(payload)
+        n = len(raw) // 24
+        parts = (
+            np.full(n, i), np.cumsum(np.frombuffer(raw, "<i4", n), dtype=np.int64),
+            np.cumsum(np.frombuffer(raw, "<i8", n, 4 * n)), np.frombuffer(raw, "<u4", n, 12 * n), np.frombuffer(raw, "<u8", n, 16 * n),
+        )
+        for kept, values in zip(fields, parts):
+            kept.append(values)
+    of, number, ids, key, digest = (np.concatenate(x) for x in fields)
+    order = np.lexsort((ids, digest, key))
+    of, number, ids, key, digest = (x[order] for x in (of, number, ids, key, digest))
+    other = np.concatenate(([True], key[1:] != key[:-1]))
+    new = np.flatnonzero(other | np.concatenate(([True], digest[1:] != digest[:-1])))
+    smallest = np.repeat(ids[new], np.diff(np.append(new, len(ids))))
+    groups = np.flatnonzero(other)
+    meets = np.minimum.reduceat(smallest, groups) != np.maximum.reduceat(smallest, groups)
+    settled = ids > smallest
+    asked = ~settled & np.repeat(meets, np.diff(np.append(groups, len(ids))))
+    back = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[back], np.arange(len(payloads) + 1))
+    number, settled, asked = number[back].astype("<u4"), settled[back], asked[back]
+    told = [[number[a:b][x[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:])] for x in (settled, asked)]
+    return pa.table({"block": pa.array(blocks, pa.int64()), **{n: pa.array(v, pa.binary()) for n, v in zip(("settled", "asked"), told)}})
+
+
+def _strings(payload: bytes, settled: list[bytes], asked: list[bytes], buckets: int) -> tuple[pa.RecordBatch, np.ndarray, list[bytes]]:
+    """Spans of the runs that are settled; buckets, and for each the strings that are asked for and not found yet."""
+    import zstandard
+
+    texts = _Texts(payload)
+    starts, part, least, lengths = texts.starts, texts.part, texts.least, texts.lengths
+    ids, rows, offset = texts.ids, texts.rows, texts.offset
+    there = [np.zeros(len(texts.first), bool) for _ in range(2)]
+    for mark, numbers in zip(there, (settled, asked)):
+        mark[np.frombuffer(b"".join(numbers), "<u4")] = True
+    hit, rest = (np.repeat(mark, texts.last - texts.first + 1) for mark in there)
+    at, of = texts.inside[hit], part[hit]
+    first, last = _runs(at, of)
+    spans = _spans(ids[of[first]], rows[of[first]], at[first], at[last])
+    rest &= ~texts.found
     starts, part, least = starts[rest], part[rest], least[rest]
     base = np.cumsum(lengths) - lengths
 
@@ -235,9 +358,9 @@ def _strings(payload: bytes, shared: list[bytes], buckets: int) -> pa.RecordBatc
             np.diff(np.append(new, b - a)).astype("<i4"),
             (starts[f] - base[of]).astype("<i4"), count.astype("<i4"), (key[a:b] >> _HALF).astype("<u4"),
         ]
-        content = data[_expand(starts[f], count + WIDTH - 1)]
+        content = texts.data[_expand(starts[f], count + WIDTH - 1)]
         out.append(pack(b"".join([*(x.tobytes() for x in fields), content.tobytes()])))
-    return pa.RecordBatch.from_arrays([pa.array(place[cuts], pa.int32()), pa.array(out, pa.binary())], names=["bucket", "payload"])
+    return spans, place[cuts], out
 
 
 def _meet(payloads: list[bytes]) -> pa.RecordBatch:
@@ -319,10 +442,22 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     def common(group: pa.Table) -> pa.Table:
         return _common(group.column("block").to_numpy(), group.column("keys").to_pylist())
 
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload, shared in zip(*(batch.column(c) for c in ("block", "payload", "shared"))):
+                place, out = _digests(payload.as_py(), shared.as_py(), buckets)
+                columns = [pa.array([block.as_py()] * len(out), pa.int64()), pa.array(place, pa.int32()), pa.array(out, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "payload"])
+
+    def settle(group: pa.Table) -> pa.Table:
+        return _settle(group.column("block").to_numpy(), group.column("payload").to_pylist())
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, shared in zip(batch.column("payload"), batch.column("shared")):
-                yield _strings(payload.as_py(), shared.as_py(), buckets)
+            for told in zip(*(batch.column(c) for c in ("payload", "settled", "asked"))):
+                made, place, out = _strings(*(x.as_py() for x in told), buckets)
+                yield _left(len(made), doc_id=made.column("doc_id"), row=made.column("row"), starts=made.column("starts"))
+                yield _left(len(out), bucket=place, payload=out)
 
     def meet(group: pa.Table) -> pa.Table:
         return pa.Table.from_batches([_meet(group.column("payload").to_pylist())])
@@ -332,9 +467,14 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     shared = keys.groupBy("bucket").applyInArrow(common, "block long, shared binary")
     lists = shared.groupBy("block").agg(F.collect_list("shared").alias("shared"))
     texts = left.where(F.col("payload").isNotNull()).select("block", "payload")
-    strings = texts.join(lists, "block").select("payload", "shared").mapInArrow(cut, "bucket int, payload binary")
-    met = strings.groupBy("bucket").applyInArrow(meet, SPANS)
-    return left.where(F.col("starts").isNotNull()).select("doc_id", "row", "starts").union(met)
+    runs = texts.join(lists, "block").select("block", "payload", "shared").mapInArrow(digests, "block long, bucket int, payload binary")
+    told = runs.groupBy("bucket").applyInArrow(settle, "block long, settled binary, asked binary")
+    told = told.groupBy("block").agg(*[F.collect_list(c).alias(c) for c in ("settled", "asked")])
+    answers = texts.join(told, "block").select("payload", "settled", "asked").mapInArrow(cut, BLOCKS)
+    strings = materialize(answers, "strings")
+    met = strings.where(F.col("payload").isNotNull()).select("bucket", "payload").groupBy("bucket").applyInArrow(meet, SPANS)
+    known = [x.where(F.col("starts").isNotNull()).select("doc_id", "row", "starts") for x in (left, strings)]
+    return known[0].union(known[1]).union(met)
 
 
 def removed_runs(starts: bytes | None) -> np.ndarray:
@@ -355,7 +495,10 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     ``kept`` is the bytes that stay, in order; they may end inside a character. A
     null text counts as empty.
     """
-    found = materialize(spans(docs, key, text), "spans").groupBy("doc_id", "row").agg(F.collect_list("starts").alias("_starts"))
+    spark, path = docs.sparkSession, new_path(docs.sparkSession, "spans")
+    with scope(spark):  # blocks and strings go before the texts are joined
+        spans(docs, key, text).write.parquet(path)
+    found = spark.read.schema(SPANS).parquet(path).groupBy("doc_id", "row").agg(F.collect_list("starts").alias("_starts"))
     rows = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_row"), F.col(text).alias("_text"))
     same = (F.col("_id") == F.col("doc_id")) & (F.col("_row") == F.col("row"))
     joined = rows.join(found, same, "left").select("_id", "_text", "_starts")

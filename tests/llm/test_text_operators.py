@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lotwise.llm import bpe, chunks, html, minhash, quality, secrets, sharding, suffix_dedup, templates, trigrams, url_filter
 from lotwise.llm.components import components
-from lotwise.llm.suffix_array import common_prefixes, suffix_array
+from lotwise.llm.suffix_array import common_prefixes, shared_prefixes, suffix_array
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 rng = np.random.default_rng(7)
@@ -244,6 +244,64 @@ def test_suffix_dedup(docs, empty, monkeypatch):
     assert suffix_dedup.strip(docs).count() == docs.count() and suffix_dedup.strip(empty).count() == 0
 
 
+def _blocks(texts: dict[int, bytes], buckets: int) -> list[dict]:
+    """What blocks of one document each leave."""
+    out = []
+    for doc_id, raw in texts.items():
+        block = suffix_dedup._Block()
+        assert not list(block.add(doc_id, doc_id, raw))
+        out += [row for batch in block.solve(buckets) for row in batch.to_pylist()]
+    return out
+
+
+def test_suffix_dedup_settles_copies_before_bytes_travel():
+    """Of documents in different blocks with one text, all but the smallest are found by digests, and no string travels."""
+    text = rng.integers(97, 123, 3000).astype(np.uint8).tobytes()
+    left = _blocks({7: text, 3: text, 5: text}, 1)
+    keys = [(r["block"], r["keys"]) for r in left if r["keys"]]
+    shared = {r["block"]: r["shared"] for r in suffix_dedup._common(np.array([b for b, _ in keys]), [k for _, k in keys]).to_pylist()}
+    texts = {r["block"]: r["payload"] for r in left if r["payload"]}
+    sent = {b: suffix_dedup._digests(p, [shared[b]], 1)[1] for b, p in texts.items()}
+    told = suffix_dedup._settle(np.array(list(sent)), [p for (p,) in sent.values()]).to_pylist()
+    assert all(r["asked"] == b"" for r in told)
+    found = {}
+    for r in told:
+        spans, _, strings = suffix_dedup._strings(texts[r["block"]], [r["settled"]], [r["asked"]], 1)
+        assert not strings
+        found |= {s["doc_id"]: suffix_dedup.removed_runs(s["starts"]).tolist() for s in spans.to_pylist()}
+    assert found == {7: [[0, 3000]], 5: [[0, 3000]]}
+
+
+@pytest.mark.parametrize("block", [700, 4000])
+def test_suffix_dedup_one_gram_between_different_neighbours(spark, monkeypatch, block):
+    """A gram in many documents, beside it bytes of their own, whole copies of some, and passages that overlap."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    draw = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    gram, passage = draw(30), draw(180)
+    texts = [draw(60) + gram + draw(12) + (passage[k % 60 : 110 + k] if k % 3 else b"") + draw(20) for k in range(60)]
+    texts += [texts[k] for k in (4, 9, 4)] + [texts[11][20:] + texts[2][:90], b"a" * 300, b"b" + b"a" * 120]
+    first: dict[bytes, int] = {}
+    for i, raw in enumerate(texts):
+        for k in range(len(raw) - 49):
+            first.setdefault(raw[k : k + 50], i)
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = by_id(suffix_dedup.strip(docs))
+    for i, raw in enumerate(texts):
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 49):
+            if first[raw[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        assert bytes(got[i].kept) == bytes(c for c, g in zip(raw, gone) if not g)
+
+
+def test_shared_prefixes_are_common_prefixes_of_the_width():
+    data = rng.integers(1, 3, 400).astype(np.uint8)
+    data[200:330] = data[20:150]
+    order = suffix_array(data, 50)
+    for width in (17, 24, 50):
+        assert (shared_prefixes(data, order, width) == (common_prefixes(data, order, width) == width)).all()
+
+
 def test_sharding(docs, empty):
     rows = sharding.assign(docs.withColumn("shard", F.lit("clash"))).collect()
     assert len(rows) == docs.count() and {r.shard for r in rows} <= set(range(8))
