@@ -47,6 +47,8 @@ PARTITION_ROWS = 4_000_000
 CELLS = 1 << 22
 #: Values of a code that columns share.
 COMBINED = 256
+#: Splits of a tree up to which the sides that a code takes are bits of one number.
+BITS = 62
 #: Slots whose sums travel together.
 BLOCK = 1 << 16
 #: Trees after which what is left is taken from the table again, so that no lineage is longer.
@@ -197,13 +199,40 @@ class _Tree:
             held += len(left[-1])
         kids = np.stack([self.right, self.left], axis=1).ravel()
         ends = (low, top) if max(layout.codes) > COMBINED else None
-        return self.depth, group, base, np.concatenate(left), ends, kids
+        return self.depth, group, base, np.concatenate(left), ends, kids, self._sides(group, left[1:], ends)
+
+    def _sides(self, group: np.ndarray, left: list[np.ndarray], ends: tuple | None) -> tuple | None:
+        """All answers that a code gives as the bits of one number, and the bit of each node; None where that is too many."""
+        nodes = [i for i, feature in enumerate(self.feature) if feature >= 0]
+        if ends is not None or not nodes or len(nodes) > BITS:
+            return None
+        bit, answers = np.zeros(len(self.left), np.int64), {}
+        for b, (node, goes) in enumerate(zip(nodes, left)):
+            bit[node] = b
+            g = int(group[node])
+            answers[g] = answers.get(g, 0) | goes.astype(np.int64) << b
+        return bit, answers
 
 
 def _route(routes: tuple, codes: np.ndarray) -> np.ndarray:
     """The leaf of each row."""
-    depth, group, base, left, ends, kids = routes
+    depth, group, base, left, ends, kids, sides = routes
     n = codes.shape[1]
+    if sides is not None:
+        # Each code is looked up once for all nodes; the root has the first bit.
+        bit, answers = sides
+        said = np.zeros(n, np.int64)
+        for g, answer in answers.items():
+            said |= answer.take(codes[g])
+        at = kids.take(said & 1)
+        for _ in range(depth - 1):
+            side = bit.take(at)
+            np.right_shift(said, side, out=side)
+            side &= 1
+            at += at
+            at += side
+            at = kids.take(at)
+        return at
     at, rows, flat, line = np.zeros(n, np.int64), np.arange(n), codes.ravel(), group * n
     for _ in range(depth):
         code = flat.take(line.take(at) + rows)
@@ -223,16 +252,19 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     values, indices = vectors.field("values"), vectors.field("indices")
     lengths = pa.compute.list_value_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
     of = np.repeat(np.arange(len(lengths)), lengths)
-    at = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    dense = np.array(pa.compute.is_null(indices))
-    at[~dense[of]] = indices.flatten().to_numpy(zero_copy_only=False)
+    at = indices.flatten().to_numpy(zero_copy_only=False)
+    if indices.null_count:  # dense vectors
+        sparse = ~np.array(pa.compute.is_null(indices))[of]
+        given, at = at, np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        at[sparse] = given
     return of, at, values.flatten().to_numpy(zero_copy_only=False)
 
 
-def _numbers(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    of, at, values = _flat(batch)
-    x = np.zeros((width, batch.num_rows))
-    x[at[at < width], of[at < width]] = values[at < width]
+def _numbers(entries: tuple, width: int, n: int) -> np.ndarray:
+    of, at, values = entries
+    mine = np.flatnonzero(at < width)
+    x = np.zeros((width, n))
+    x[at[mine], of[mine]] = values[mine]
     return x
 
 
@@ -244,7 +276,7 @@ def _thresholds(rows: DataFrame, n: int, width: int, most: int, seed: int) -> li
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([pa.array(list(_numbers(batch, width).T), pa.list_(pa.float64()))], ["x"])
+            yield pa.record_batch([pa.array(list(_numbers(_flat(batch), width, batch.num_rows).T), pa.list_(pa.float64()))], ["x"])
 
     features = rows.select(rows.columns[0])
     sampled = (features.sample(share, seed) if share < 1 else features).mapInArrow(told, "x array<double>")
@@ -271,13 +303,14 @@ def _chunks(rows: DataFrame, n: int, told: dict, cuts: list[np.ndarray]) -> RDD:
     """Codes of the bins of numbers and of the slot that a row has in each column, and the label."""
     width, starts, layout = len(cuts), np.array(told["starts"]), _Layout(told, cuts)
 
-    def arrays(batch: pa.RecordBatch) -> tuple:
-        of, at, values = _flat(batch)
-        there = (at >= width) & (values != 0)
-        cells = np.repeat(np.array(layout.lengths)[:, None] - 1, batch.num_rows, axis=1)
-        column = np.searchsorted(starts, at[there], side="right") - 1
-        cells[width + column, of[there]] = at[there] - starts[column]
-        for j, (c, v) in enumerate(zip(cuts, _numbers(batch, width))):
+    def arrays(batch: pa.RecordBatch, place: np.ndarray, value: np.ndarray) -> tuple:
+        n = batch.num_rows
+        of, at, values = entries = _flat(batch)
+        there = np.flatnonzero((at >= width) & (values != 0))
+        cells = np.repeat(np.array(layout.lengths)[:, None] - 1, n, axis=1)
+        slots = at[there]
+        cells.reshape(-1)[place[slots] * n + of[there]] = value[slots]
+        for j, (c, v) in enumerate(zip(cuts, _numbers(entries, width, n))):
             cells[j] = np.searchsorted(c, v, side="left")
         return layout.encode(cells), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
 
@@ -286,9 +319,12 @@ def _chunks(rows: DataFrame, n: int, told: dict, cuts: list[np.ndarray]) -> RDD:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, held = [], 0
+        features = np.arange(layout.size)
+        place = width + np.searchsorted(starts, features, side="right") - 1  # columns of slots
+        value = features - np.concatenate([np.zeros(1, np.int64), starts])[place - width + 1]
         for batch in batches:
             if batch.num_rows:
-                waiting.append(arrays(batch))
+                waiting.append(arrays(batch, place, value))
                 held += batch.num_rows
             if held >= CHUNK:
                 yield pa.record_batch([pa.array([pickle.dumps(joined(waiting), protocol=5)], pa.binary())], ["chunk"])

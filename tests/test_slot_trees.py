@@ -91,3 +91,20 @@ def test_a_model_is_saved_and_settings_of_sparks_trees_stay_there(vectors, tmp_p
     assert both.where("p1 != p2").isEmpty()
     assert not slot_trees.supports(M.gbt("y", subsamplingRate=0.5), vectors)
     assert not slot_trees.supports(M.linear("y"), vectors)
+
+
+def test_bits_of_codes_lead_to_the_same_leaves(monkeypatch):
+    """A code is looked up once for all splits of a tree; one with more splits than bits goes node by node."""
+    told = {"numbers": 1, "size": 1 + 40 + 5, "starts": [1, 41]}
+    layout, rng = slot_trees._Layout(told, [np.arange(8.0)]), np.random.default_rng(5)
+    tree = slot_trees._Tree([1.0], [0.0])
+    for node in range(12):  # some leaves stay high up
+        tree.grow(node, (1.0, int(rng.integers(0, 46)), int(rng.integers(0, 8)), bool(rng.integers(0, 2)), 0.5, 0.0))
+    tree.depth = 12
+    codes = layout.encode(np.stack([rng.integers(0, m, 3000) for m in layout.lengths]))
+    routes = tree.routes(layout)
+    assert routes[-1] is not None
+    monkeypatch.setattr(slot_trees, "BITS", 11)
+    by_node = tree.routes(layout)
+    assert by_node[-1] is None
+    assert (slot_trees._route(routes, codes) == slot_trees._route(by_node, codes)).all()
