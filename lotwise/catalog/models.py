@@ -134,11 +134,11 @@ def fit_gbt_tuned_age(spark, sf):
 def fit_random_forest_age(spark, sf):
     return _tree(spark, sf, M.random_forest)
 
-def assembled(spark, sf):
-    """Train rows with their vectors, written once, and the fitted features."""
+def assembled(spark, sf, *names):
+    """Label and vector of train rows with the named columns, written once, and the fitted features."""
     train, _ = sides(spark, sf)
     fitted = X.feature_pipeline(train, ALL)
-    rows = fitted.transform(train).select(*ALL.categorical, LABEL, X.SCALED_VECTOR, X.FEATURES)
+    rows = fitted.transform(train).select(*names, LABEL, X.FEATURES)
     return materialize(rows, "vectors"), fitted
 
 
@@ -163,7 +163,7 @@ def _mean_labels_sql(digits: int) -> str:
 
 
 def _stationary(spark, sf, estimator, reg: float, mix: float, digits: int):
-    vectors, fitted = assembled(spark, sf)
+    vectors, fitted = assembled(spark, sf, *ALL.categorical, X.SCALED_VECTOR)
     indexer = next(stage for stage in fitted.stages if isinstance(stage, LevelIndexerModel))
     model = M.fit(estimator, vectors)
     means = C.stationary_means(model, indexer, M.predict(model, vectors), ALL, reg, mix)

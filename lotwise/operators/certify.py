@@ -14,8 +14,9 @@ model, which the driver holds as well. What leaves a task is a sum for each node
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 from math import sqrt
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lotwise.operators.features import SCALED_VECTOR, FeatureSpec
 from lotwise.operators.levels import LevelIndexerModel
-from lotwise.sources.workspace import new_path, scope
+from lotwise.sources.workspace import materialize, new_path, scope
 
 # ---- linear models
 
@@ -143,8 +144,8 @@ def read_trees(model) -> tuple[list[Tree], np.ndarray]:
         rows = sorted(tree_nodes(model).collect(), key=lambda r: (r["tree"], r["id"]))
     used = np.array(sorted({r["feature"] for r in rows if r["left"] >= 0}), np.int64)
     trees = []
-    for number in sorted({r["tree"] for r in rows}):
-        mine = [r for r in rows if r["tree"] == number]
+    for _, mine in groupby(rows, key=lambda r: r["tree"]):
+        mine = list(mine)
         place = {r["id"]: i for i, r in enumerate(mine)}
         inner = np.array([r["left"] >= 0 for r in mine])
         left = np.array([place.get(r["left"], -1) for r in mine])
@@ -174,6 +175,42 @@ def route(tree: Tree, x: np.ndarray) -> np.ndarray:
     return at
 
 
+class _Walk:
+    """All trees of a model on the same rows: each different split is tried once on a row, and a row then goes by the answers."""
+
+    def __init__(self, trees: Sequence[Tree]):
+        splits: dict[tuple, int] = {}
+        self.of, self.kids, self.depths = [], [], [t.depth for t in trees]
+        for t in trees:
+            inner, of, node = t.left >= 0, np.zeros(len(t.left), np.int64), np.arange(len(t.left))
+            told = zip(*(v.tolist() for v in (t.column, t.category, np.where(t.category, 0.0, t.threshold), t.zero_left, t.one_left)))
+            of[inner] = [splits.setdefault(split, len(splits)) for split, there in zip(told, inner) if there]
+            self.of.append(of)
+            kids = np.stack([np.where(inner, t.right, node), np.where(inner, t.left, node)], axis=1)
+            self.kids.append(2 * kids.ravel())  # by twice the node, and one more where a row goes left
+        self.splits = list(splits)
+
+    def _answers(self, x: np.ndarray) -> np.ndarray:
+        """Whether each row goes left at each split; a line is a split."""
+        columns, out = np.ascontiguousarray(x.T), np.zeros((max(len(self.splits), 1), len(x)), bool)
+        for line, (column, category, threshold, zero_left, one_left) in zip(out, self.splits):
+            v = columns[column]
+            line[:] = np.where(v != 0, one_left, zero_left) if category else v <= threshold
+        return out
+
+    def leaves(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """The leaf of each row, tree by tree."""
+        n, left, rows = len(x), self._answers(x).ravel(), np.arange(len(x))
+        for of, kids, depth in zip(self.of, self.kids, self.depths):
+            at, line = np.zeros(n, np.int64), np.repeat(of * n, 2)
+            for _ in range(depth):
+                asked = line.take(at)
+                asked += rows
+                at += left.take(asked)
+                at = kids.take(at)
+            yield at >> 1
+
+
 def _chosen(vectors: pa.StructArray, used: np.ndarray) -> np.ndarray:
     """The columns ``used`` of vectors that Arrow has as (type, size, indices, values)."""
     n, width = len(vectors), len(used)
@@ -195,6 +232,8 @@ def _chosen(vectors: pa.StructArray, used: np.ndarray) -> np.ndarray:
 
 #: Relative difference up to which two sums of the same numbers in another order are equal.
 CLOSE = 1e-7
+#: Answers of rows to splits that a task holds at once.
+ANSWERS = 1 << 22
 #: Standard errors between the mean of a sample of a leaf's rows and that of all.
 SAMPLED = 6.0
 
@@ -214,31 +253,35 @@ def tree_evidence(model, rows: DataFrame, label: str, step: float = 1.0, bagged:
     features = model.getFeaturesCol()
     claimed = [1 / len(trees)] * len(trees) if bagged else [1.0] + [step] * (len(trees) - 1)
 
+    walk, sizes = _Walk(trees), [len(t.value) for t in trees]
+    step = max(ANSWERS // max(len(walk.splits), 1), 1)
+
     def sums(batches):
+        added, off = [np.zeros((3, size)) for size in sizes], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _chosen(batch.column(0), used)
-            y = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-            told = batch.column(2).to_numpy(zero_copy_only=False)
-            score, out = np.zeros(len(y)), []
-            for k, (tree, weight) in enumerate(zip(trees, claimed)):
-                target = y if bagged or k == 0 else 2 * (y - score)
-                leaf = route(tree, x)
-                size = len(tree.value)
-                parts = [np.bincount(leaf, weights=w, minlength=size) for w in (np.ones(len(y)), target, target * target)]
-                there = np.flatnonzero(parts[0])
-                out += [(k, int(i), int(parts[0][i]), parts[1][i], parts[2][i]) for i in there]
-                score += weight * tree.value[leaf]
-            off = int((np.abs(score - told) > tolerance * np.maximum(1.0, np.abs(told))).sum())
-            out.append((-1, 0, off, 0.0, 0.0))
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["tree", "node", "rows", "target", "square"])
+            for first in range(0, batch.num_rows, step):
+                vectors, y, told = (batch.column(i).slice(first, step) for i in range(3))
+                y, told = (v.to_numpy(zero_copy_only=False).astype(float) for v in (y, told))
+                score = np.zeros(len(y))
+                for k, (leaf, tree, weight) in enumerate(zip(walk.leaves(_chosen(vectors, used)), trees, claimed)):
+                    target = y if bagged or k == 0 else 2 * (y - score)
+                    for line, w in zip(added[k], (None, target, target * target)):
+                        line += np.bincount(leaf, weights=w, minlength=sizes[k])
+                    score += weight * tree.value[leaf]
+                off += int((np.abs(score - told) > tolerance * np.maximum(1.0, np.abs(told))).sum())
+        tree, node = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.arange(size) for size in sizes])
+        found = np.concatenate(added, axis=1)
+        there = np.flatnonzero(found[0])
+        columns = [tree[there], node[there], found[0, there], found[1, there], found[2, there]]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
+        columns = [pa.array(np.append(c, last).astype(k.to_pandas_dtype())) for c, last, k in zip(columns, (-1, 0, off, 0, 0), kinds)]
+        yield pa.record_batch(columns, ["tree", "node", "rows", "target", "square"])
 
     spark = rows.sparkSession
     scored = model.transform(rows.select(features, label)).select(features, F.col(label).cast("double"), model.getPredictionCol())
     leaves = scored.mapInArrow(sums, "tree int, node int, rows long, target double, square double")
-    leaves = leaves.groupBy("tree", "node").agg(*[F.sum(c).alias(c) for c in ("rows", "target", "square")])
+    # Written, as both what is off and the leaves are read from it, by a caller more than once.
+    leaves = materialize(leaves.groupBy("tree", "node").agg(*[F.sum(c).alias(c) for c in ("rows", "target", "square")]), "leaves")
     nodes = spark.createDataFrame(
         [(k, i, float(t.value[i]), float(t.mean[i]), t.depth) for k, t in enumerate(trees) for i in np.flatnonzero(t.left < 0).tolist()],
         "tree int, node int, value double, mean double, depth int",

@@ -3,10 +3,11 @@
 Spark's trees hold a number for every feature of every row and add it up at every
 level, though a vector of slots has one slot for each column. Here a row keeps the
 slots that it has and the bins of its numbers. At each level the tasks add up rows and
-targets by node and slot, which combine by node in a shuffle; a slot that a row
-lacks is the node's sum less that of the rows that have it. The driver gets the best
-split of each node. Splits, gains and leaves are defined as Spark's, and the
-result is Spark's model.
+targets by node and slot; a slot that a row lacks is the node's sum less that of the
+rows that have it. Few sums go to the driver, which keeps those of a level, so that of two
+children only the smaller one is added up: the other has what is left of the parent.
+Many combine by node in a shuffle, and the driver gets the best split of each node.
+Splits, gains and leaves are defined as Spark's, and the result is Spark's model.
 
 Rows stay in the executors as arrays of ``CHUNK`` rows. Columns of few values share a
 code, so that a row is added up once for each code and not for each column; the
@@ -16,6 +17,7 @@ next to them.
 
 from __future__ import annotations
 
+import gc
 import json
 import pickle
 import time
@@ -43,14 +45,18 @@ from lotwise.sources.workspace import new_path, scope
 CHUNK = 1 << 16
 #: Rows of a partition, where there are more than for every core one.
 PARTITION_ROWS = 4_000_000
-#: Sums that a task holds at once; a level with more nodes takes several jobs.
+#: Sums that a task holds at once; a level with more nodes takes several jobs. The driver takes the sums of all tasks up to as many.
 CELLS = 1 << 22
 #: Values of a code that columns share.
 COMBINED = 256
-#: Splits of a tree up to which the sides that a code takes are bits of one number.
-BITS = 62
+#: Splits of a band of levels whose sides are the bits of one number; where there are more, rows go node by node.
+BITS = 63
+#: Levels of the first band, which has a number of 64 bits for a code, and of each next one, which has a byte for a code at each node it begins with.
+BANDS = 6, 3
 #: Slots whose sums travel together.
 BLOCK = 1 << 16
+#: Arrays are kept as the bytes that Python reads, as every level takes them again.
+HELD = StorageLevel.MEMORY_AND_DISK_DESER
 #: Trees after which what is left is taken from the table again, so that no lineage is longer.
 REBASE = 25
 
@@ -147,6 +153,7 @@ class _Tree:
     gain: list[float] = field(default_factory=lambda: [-1.0])
     depth: int = 0
     square: list[float] = field(default_factory=list)
+    told: dict[int, tuple] = field(default_factory=dict, repr=False)
 
     def grow(self, node: int, split: tuple) -> list[int]:
         """Split a leaf; its new children."""
@@ -186,54 +193,86 @@ class _Tree:
         for i, feature in enumerate(self.feature):
             if feature < 0:
                 continue
-            j, value = layout.column(feature)
-            group[i], stride = layout.place[j]
-            codes, base[i] = layout.codes[group[i]], held
-            if codes <= COMBINED:
-                values, top[i] = np.arange(codes) // stride % layout.lengths[j], codes - 1
-            elif j < layout.width:
-                values, top[i] = np.arange(self.cut[i] + 2), self.cut[i] + 1
-            else:
-                values, low[i], top[i] = np.array([value, -1]), value, 1
-            left.append(values <= self.cut[i] if j < layout.width else (values == value) == self.one_left[i])
-            held += len(left[-1])
+            if i not in self.told:  # the split of a node is never changed
+                self.told[i] = self._stretch(i, layout)
+            group[i], low[i], top[i], goes = self.told[i]
+            base[i] = held
+            left.append(goes)
+            held += len(goes)
         kids = np.stack([self.right, self.left], axis=1).ravel()
         ends = (low, top) if max(layout.codes) > COMBINED else None
-        return self.depth, group, base, np.concatenate(left), ends, kids, self._sides(group, left[1:], ends)
+        return self.depth, group, base, np.concatenate(left), ends, kids, None if ends else self._bands(kids)
+
+    def _stretch(self, node: int, layout: _Layout) -> tuple:
+        """Group, low and top end of a node's split, and for each code between whether it goes left."""
+        j, value = layout.column(self.feature[node])
+        group, stride = layout.place[j]
+        codes, cut, low = layout.codes[group], self.cut[node], 0
+        if codes <= COMBINED:
+            values, top = np.arange(codes) // stride % layout.lengths[j], codes - 1
+        elif j < layout.width:
+            values, top = np.arange(cut + 2), cut + 1
+        else:
+            values, low, top = np.array([value, -1]), value, 1
+        return group, low, top, values <= cut if j < layout.width else (values == value) == self.one_left[node]
+
+    def _bands(self, kids: np.ndarray) -> list[tuple] | None:
+        """Levels taken together: all answers that a code gives there as bits of one number.
 
-    def _sides(self, group: np.ndarray, left: list[np.ndarray], ends: tuple | None) -> tuple | None:
-        """All answers that a code gives as the bits of one number, and the bit of each node; None where that is too many."""
-        nodes = [i for i, feature in enumerate(self.feature) if feature >= 0]
-        if ends is not None or not nodes or len(nodes) > BITS:
-            return None
-        bit, answers = np.zeros(len(self.left), np.int64), {}
-        for b, (node, goes) in enumerate(zip(nodes, left)):
-            bit[node] = b
-            g = int(group[node])
-            answers[g] = answers.get(g, 0) | goes.astype(np.int64) << b
-        return bit, answers
+        A band begins at some nodes. The nodes below each are numbered as in a heap, and that is the bit that
+        says whether a code goes right. Where the bits lead is the place in the next band, or the leaf.
+        """
+        bands, entries, depth = [], np.zeros(1, np.int64), 0
+        while depth < self.depth:
+            levels = min(BANDS[depth > 0], self.depth - depth)
+            kind = np.int64 if depth == 0 else np.uint8
+            at, tables, splits = {1: entries}, {}, 0
+            for p in range(1, 1 << levels):
+                for e, node in enumerate(at[p].tolist()):
+                    if node < 0 or self.feature[node] < 0:
+                        continue
+                    g, _, top, left = self.told[node]
+                    table = tables.setdefault(g, (top + 1, np.zeros((len(entries), top + 1), kind)))[1]
+                    table[e] |= (~left).astype(kind) << kind(p)
+                    splits += 1
+                leaf = np.where(at[p] < 0, True, kids[2 * at[p]] == at[p])
+                at[2 * p], at[2 * p + 1] = (np.where(leaf, -1, kids[2 * at[p] + s]) for s in (1, 0))
+            if splits > BITS * len(entries):
+                return None
+            ends = np.repeat(entries, 1 << levels).reshape(len(entries), -1)
+            for level in reversed(range(levels)):
+                ends = kids[2 * ends + 1 - (np.arange(1 << levels) >> level & 1)]
+            depth += levels
+            entries, exits = np.unique(ends, return_inverse=True)
+            found = [(g, codes, table.ravel()) for g, (codes, table) in tables.items()]
+            bands.append((levels, found, (ends if depth == self.depth else exits).ravel()))
+        return bands
 
 
 def _route(routes: tuple, codes: np.ndarray) -> np.ndarray:
     """The leaf of each row."""
-    depth, group, base, left, ends, kids, sides = routes
+    depth, group, base, left, ends, kids, bands = routes
     n = codes.shape[1]
-    if sides is not None:
-        # Each code is looked up once for all nodes; the root has the first bit.
-        bit, answers = sides
-        said = np.zeros(n, np.int64)
-        for g, answer in answers.items():
-            said |= answer.take(codes[g])
-        at = kids.take(said & 1)
-        for _ in range(depth - 1):
-            side = bit.take(at)
-            np.right_shift(said, side, out=side)
-            side &= 1
-            at += at
-            at += side
-            at = kids.take(at)
+    at = np.zeros(n, np.int64)
+    if bands is not None:
+        for levels, tables, exits in bands:
+            said = None
+            for g, length, table in tables:
+                bits = table.take(codes[g] if len(table) == length else at * length + codes[g])
+                said = bits if said is None else np.bitwise_or(said, bits, out=said)
+            at <<= levels
+            if said is not None:
+                place = np.ones(n, said.dtype)
+                for _ in range(levels):
+                    side = said >> place
+                    side &= 1
+                    place += place
+                    place += side
+                at += place
+                at -= 1 << levels
+            at = exits.take(at)
         return at
-    at, rows, flat, line = np.zeros(n, np.int64), np.arange(n), codes.ravel(), group * n
+    rows, flat, line = np.arange(n), codes.ravel(), group * n
     for _ in range(depth):
         code = flat.take(line.take(at) + rows)
         if ends is not None:
@@ -243,6 +282,18 @@ def _route(routes: tuple, codes: np.ndarray) -> np.ndarray:
     return at
 
 
+_QUIET = False
+
+
+def _quiet() -> None:
+    """Take what a worker has loaded out of its garbage collection, once: it follows each task and is longer than most of those here."""
+    global _QUIET
+    if not _QUIET:
+        gc.collect()
+        gc.freeze()
+        _QUIET = True
+
+
 # ---- rows as arrays
 
 
@@ -370,6 +421,7 @@ class _Data:
         sizes = [len(t.left) for t in trees]
 
         def add(part: int, chunks: Iterator[tuple]) -> Iterator[list[np.ndarray]]:
+            _quiet()
             sums = [np.zeros((3, s)) for s in sizes]
             for c, (cells, rest) in enumerate(chunks):
                 target = rest * scale
@@ -379,28 +431,46 @@ class _Data:
                         sums[k][i] += np.bincount(at, weights=v if w is None else v * w, minlength=sizes[k])
             yield sums
 
-        return self.chunks.mapPartitionsWithIndex(add).treeReduce(lambda a, b: [x + y for x, y in zip(a, b)])
+        parts = self.chunks.mapPartitionsWithIndex(add)
+        if parts.getNumPartitions() * sum(sizes) > CELLS:
+            return parts.treeReduce(lambda a, b: [x + y for x, y in zip(a, b)])
+        return [np.sum(found, axis=0) for found in zip(*parts.collect())]
 
-    def best_splits(self, trees: list[_Tree], nodes: list[tuple[int, int]]) -> dict[tuple[int, int], tuple]:
-        """The best split of each node, given as (tree, number); those without one are absent."""
-        cells = self.told["size"] + sum(self.layout.codes) + sum(len(c) + 1 for c in self.cuts)
-        step, found = max(CELLS // cells, 1), {}
+    def best_splits(
+        self, trees: list[_Tree], nodes: list[tuple[int, int]], above: np.ndarray | None = None
+    ) -> tuple[dict[tuple[int, int], tuple], np.ndarray | None]:
+        """The best split of each node, given as (tree, number) by rising tree; those without one are absent. And the nodes' sums, if they came to the driver.
+
+        ``above`` has the sums of the parents, of which ``nodes`` are the children two by two.
+        """
+        cells = self.told["size"] + sum(len(c) + 1 for c in self.cuts)
+        smaller = nodes if above is None else [min(p, key=lambda at: trees[at[0]].rows[at[1]]) for p in zip(nodes[::2], nodes[1::2])]
+        found = {}
+        if self.chunks.getNumPartitions() * len(smaller) * cells <= CELLS:
+            sums = self._sums(trees, smaller)
+            if above is not None:
+                first = np.array([s == n for s, n in zip(smaller, nodes[::2])])[:, None, None]
+                sums = np.stack([np.where(first, sums, above - sums), np.where(first, above - sums, sums)], axis=1).reshape(-1, 2, cells)
+            return self._judged(trees, nodes, sums), sums
+        step = max(CELLS // (cells + sum(self.layout.codes)), 1)
         for i in range(0, len(nodes), step):
             for key, split in self._best(trees, nodes[i : i + step]).collect():
-                if key not in found or split[0] > found[key][0] or (split[0] == found[key][0] and split[1] < found[key][1]):
-                    found[key] = split
-        return found
+                _keep_better(found, key, split)
+        return found, None
 
-    def _best(self, trees: list[_Tree], nodes: list[tuple[int, int]]) -> RDD:
-        size, width, scale, draw = self.told["size"], len(self.cuts), self.scale, self.weights()
-        layout = self.layout
-        routes = {k: trees[k].routes(layout) for k, _ in nodes}
-        asked = {k: np.full(len(trees[k].left), -1) for k in routes}
-        order = {k: [i for t, i in nodes if t == k] for k in routes}
+    def _adder(self, trees: list[_Tree], nodes: list[tuple[int, int]]):
+        """What adds up a task's rows and targets for each tree, by its nodes in order: those of slots, then of the bins of each number."""
+        scale, draw, layout = self.scale, self.weights(), self.layout
+        order: dict[int, list[int]] = {}
         for k, i in nodes:
-            asked[k][i] = order[k].index(i)
+            order.setdefault(k, []).append(i)
+        routes = {k: trees[k].routes(layout) for k in order}
+        asked = {k: np.full(len(trees[k].left), -1) for k in order}
+        for k, mine in order.items():
+            asked[k][mine] = np.arange(len(mine))
 
         def add(part: int, chunks: Iterator[tuple]) -> Iterator[tuple]:
+            _quiet()
             by_code = {k: [np.zeros((2, len(order[k]) * m)) for m in layout.codes] for k in routes}
             for c, (cells, rest) in enumerate(chunks):
                 for k, route in routes.items():
@@ -415,59 +485,104 @@ class _Data:
                         keys = own * m + line
                         sums[0] += np.bincount(keys, weights=w, minlength=sums.shape[1])
                         sums[1] += np.bincount(keys, weights=y, minlength=sums.shape[1])
-            for k in routes:
-                slots, bins = layout.unfold(by_code.pop(k), len(order[k]))
-                for i, node in enumerate(order[k]):
-                    for first in range(0, size, BLOCK):
-                        yield (k, node, "slots", first), slots[:, i, first : min(first + BLOCK, size)].copy()
-                    for j, sums in enumerate(bins):
-                        yield (k, node, "bins", j), sums[:, i].copy()
+            for k, mine in order.items():
+                yield k, mine, *layout.unfold(by_code.pop(k), len(mine))
+
+        return add
+
+    def _sums(self, trees: list[_Tree], nodes: list[tuple[int, int]]) -> np.ndarray:
+        """Rows and targets of each node by cell: slots, then the bins of each number."""
+        add = self._adder(trees, nodes)
+
+        def together(part: int, chunks: Iterator[tuple]) -> Iterator[np.ndarray]:
+            yield np.concatenate([np.concatenate([slots, *bins], axis=2) for _, _, slots, bins in add(part, chunks)], axis=1)
 
+        return sum(self.chunks.mapPartitionsWithIndex(together).collect()).transpose(1, 0, 2)
+
+    def _judged(self, trees: list[_Tree], nodes: list[tuple[int, int]], sums: np.ndarray) -> dict[tuple[int, int], tuple]:
+        """The best splits of nodes whose sums are here."""
+        size, found, judge = self.told["size"], {}, self._judge(trees, nodes)
+        step = max(BLOCK // sums.shape[2], 1)
+        for i in range(0, len(nodes), step):
+            mine, at = sums[i : i + step], size
+            parts = [("slots", 0, mine[:, :, :size])]
+            for j, c in enumerate(self.cuts):
+                parts.append(("bins", j, mine[:, :, at : at + len(c) + 1]))
+                at += len(c) + 1
+            for kind, first, part in parts:
+                for key, split in judge(nodes[i : i + step], kind, first, part[:, 0], part[:, 1]):
+                    _keep_better(found, key, split)
+        return found
+
+    def _judge(self, trees: list[_Tree], nodes: list[tuple[int, int]]):
+        """What finds the best splits of nodes on slots from ``first`` on, or on the bins of the number ``first``, from sums with a line for each node."""
         totals = {(k, i): (trees[k].rows[i], trees[k].total[i]) for k, i in nodes}
-        least, floor = self.estimator.getMinInstancesPerNode(), self.estimator.getMinInfoGain()
+        size, width = self.told["size"], len(self.cuts)
+        least, floor = max(self.estimator.getMinInstancesPerNode(), 1), self.estimator.getMinInfoGain()
         bagged, seed = self.bagged, abs(self.estimator.getSeed())
 
-        def judge(item: tuple) -> Iterator[tuple]:
-            (k, node, kind, first), (rows, total) = item
-            n, t = totals[k, node]
+        def judge(keys: list[tuple[int, int]], kind: str, first: int, rows: np.ndarray, total: np.ndarray) -> Iterator[tuple]:
+            n, t = np.array([totals[key] for key in keys]).T[:, :, None]
             # The side of the rows that have the slot, or whose number is up to the cut.
-            inner_n, inner_t = (rows, total) if kind == "slots" else (np.cumsum(rows)[:-1], np.cumsum(total)[:-1])
+            inner_n, inner_t = (rows, total) if kind == "slots" else (np.cumsum(rows, axis=1)[:, :-1], np.cumsum(total, axis=1)[:, :-1])
             outer_n, outer_t = n - inner_n, t - inner_t
-            may = (inner_n >= max(least, 1)) & (outer_n >= max(least, 1))
+            may = (inner_n >= least) & (outer_n >= least)
             if bagged:
                 # A third of the features for each node, as for Spark's forests.
-                picked = np.zeros(size, bool)
-                picked[np.random.default_rng([seed, k, node]).permutation(size)[: ceil(size / 3)]] = True
-                may &= picked[first : first + len(may)] if kind == "slots" else picked[first]
+                picked = np.zeros((len(keys), size), bool)
+                for line, key in zip(picked, keys):
+                    line[np.random.default_rng([seed, *key]).permutation(size)[: ceil(size / 3)]] = True
+                may &= picked[:, first : first + may.shape[1]] if kind == "slots" else picked[:, first : first + 1]
             if kind == "slots":
-                may[: max(width - first, 0)] = False  # those places are of numbers
+                may[:, : max(width - first, 0)] = False  # those places are of numbers
             if not may.any():
                 return
             safe_in, safe_out = np.where(may, inner_n, 1), np.where(may, outer_n, 1)
             gain = (inner_t * inner_t / safe_in + outer_t * outer_t / safe_out - t * t / n) / n
             gain = np.where(may, gain, -np.inf)
-            best = int(np.argmax(gain))
-            # Gains that are rounding are none.
-            if gain[best] < floor or gain[best] <= 1e-13 * (t / n) ** 2:
-                return
-            if kind == "bins":
-                yield (k, node), (float(gain[best]), first, best, False, float(inner_n[best]), float(inner_t[best]))
-                return
-            one_left = bool(inner_t[best] / inner_n[best] < outer_t[best] / outer_n[best])
-            sums = (inner_n, inner_t) if one_left else (outer_n, outer_t)
-            yield (k, node), (float(gain[best]), first + best, 0, one_left, *[float(v[best]) for v in sums])
+            best = np.argmax(gain, axis=1)
+            for line, (key, b) in enumerate(zip(keys, best.tolist())):
+                won = float(gain[line, b])
+                # Gains that are rounding are none.
+                if won < floor or won <= 1e-13 * float(t[line, 0] / n[line, 0]) ** 2:
+                    continue
+                in_n, in_t, out_n, out_t = (float(v[line, b]) for v in (inner_n, inner_t, outer_n, outer_t))
+                if kind == "bins":
+                    yield key, (won, first, b, False, in_n, in_t)
+                    continue
+                one_left = in_t / in_n < out_t / out_n
+                yield key, (won, first + b, 0, one_left, *((in_n, in_t) if one_left else (out_n, out_t)))
+
+        return judge
+
+    def _best(self, trees: list[_Tree], nodes: list[tuple[int, int]]) -> RDD:
+        size, width = self.told["size"], len(self.cuts)
+        add, judge = self._adder(trees, nodes), self._judge(trees, nodes)
+
+        def spread(part: int, chunks: Iterator[tuple]) -> Iterator[tuple]:
+            for k, mine, slots, bins in add(part, chunks):
+                for i, node in enumerate(mine):
+                    for first in range(0, size, BLOCK):
+                        yield (k, node, "slots", first), slots[:, i, first : min(first + BLOCK, size)].copy()
+                    for j, sums in enumerate(bins):
+                        yield (k, node, "bins", j), sums[:, i].copy()
+
+        def judged(item: tuple) -> Iterator[tuple]:
+            (k, node, kind, first), (rows, total) = item
+            return judge([(k, node)], kind, first, rows[None], total[None])
 
         parts = min(len(nodes) * (width + 1), self.chunks.getNumPartitions())
-        return self.chunks.mapPartitionsWithIndex(add).reduceByKey(lambda a, b: a + b, parts).flatMap(judge)
+        return self.chunks.mapPartitionsWithIndex(spread).reduceByKey(lambda a, b: a + b, parts).flatMap(judged)
 
     def grow(self, roots: list[tuple[float, float]]) -> list[_Tree]:
         """Trees on all rows, level by level together, from the rows and targets at their roots."""
         trees = [_Tree([n], [t]) for n, t in roots]
-        open_nodes = [(k, 0) for k, t in enumerate(trees) if t.rows[0] > 0]
+        open_nodes, above = [(k, 0) for k, t in enumerate(trees) if t.rows[0] > 0], None
         for depth in range(self.estimator.getMaxDepth()):
             if not open_nodes:
                 break
-            found = self.best_splits(trees, open_nodes)
+            found, sums = self.best_splits(trees, open_nodes, above)
+            above = None if sums is None else sums[[key in found for key in open_nodes]]
             open_nodes = []
             for (k, node), split in sorted(found.items()):
                 open_nodes += [(k, child) for child in trees[k].grow(node, split)]
@@ -477,6 +592,12 @@ class _Data:
         return trees
 
 
+def _keep_better(found: dict, key: tuple[int, int], split: tuple) -> None:
+    """Keep the split of a node with the larger gain; of equal ones that on the earlier feature."""
+    if key not in found or split[0] > found[key][0] or (split[0] == found[key][0] and split[1] < found[key][1]):
+        found[key] = split
+
+
 def _less(chunks: RDD, done: list[tuple[_Tree, float]], layout: _Layout) -> RDD:
     """What is left of the label after trees with their weights."""
     steps = [(t.routes(layout), t.value() * weight) for t, weight in done]
@@ -505,7 +626,7 @@ def _boost(data: _Data, base: RDD) -> list[tuple[_Tree, float]]:
                 break
             total = tree.total[0] * (1 / data.scale - weight)
             source, since = (base, done) if (k + 1) % REBASE == 0 else (data.chunks, done[-1:])
-            before, data.chunks = data.chunks, _less(source, since, data.layout).persist(StorageLevel.MEMORY_AND_DISK)
+            before, data.chunks = data.chunks, _less(source, since, data.layout).persist(HELD)
             data.scale, weight = 2.0, data.estimator.getStepSize()
     finally:
         if before is not None:
@@ -524,7 +645,7 @@ def fit(estimator, rows: DataFrame):
     most = min(estimator.getMaxBins(), n)
     cuts = _thresholds(rows, n, told["numbers"], most, abs(estimator.getSeed()) % 2**31)
     base = _chunks(rows, n, told, cuts)
-    data = _Data(base.map(lambda chunk: chunk).persist(StorageLevel.MEMORY_AND_DISK), told, cuts, estimator)
+    data = _Data(base.map(lambda chunk: chunk).persist(HELD), told, cuts, estimator)
     try:
         if isinstance(estimator, GBTRegressor):
             done = _boost(data, base)
@@ -576,7 +697,7 @@ def _model(spark: SparkSession, estimator, done: list[tuple[_Tree, float]], size
             told["numTrees"] = len(done)
             nodes = [(k, row) for k, (tree, _) in enumerate(done) for row in _rows_of(tree, cuts)]
             schema = f"treeID int, nodeData struct<{NODE}>"
-            spark.createDataFrame(nodes, schema).coalesce(1).write.parquet(f"{path}/data")
+            spark.createDataFrame(nodes, schema, verifySchema=False).coalesce(1).write.parquet(f"{path}/data")
             single = {p.name for p in DecisionTreeRegressor().params}
             of_tree = {kind: {n: v for n, v in found.items() if n in single} for kind, found in params.items()}
             about = {**told, **of_tree, "class": f"{package}.{DecisionTreeRegressionModel.__name__}"}

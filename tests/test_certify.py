@@ -142,3 +142,18 @@ def test_constant_label_is_one_leaf(fitted):
     (row,) = evidence(model, flat)
     assert (row.depth, row.leaves, row.mean_output, row.off_leaves, row.off_predictions) == (0, 1, 7.0, 0, 0)
     assert C.beaten_splits(model, flat, "y").count() == 0
+
+
+def test_evidence_of_trees_takes_one_pass_of_any_step(fitted, monkeypatch):
+    """What is asked twice of it routed all rows twice; rows that do not fit the answers at once are taken in steps."""
+    rows, _ = fitted
+    model = M.fit(M.gbt("y", maxIter=5, maxDepth=7, stepSize=0.3), rows)
+    trees, used = C.read_trees(model)
+    x = np.random.default_rng(1).choice([0.0, 1.0, 0.3, -0.8], (500, len(used)))
+    assert all((got == C.route(tree, x)).all() for got, tree in zip(C._Walk(trees).leaves(x), trees))
+    found = C.tree_evidence(model, rows, "y", 0.3)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    monkeypatch.setattr(C, "ANSWERS", 2000)
+    close = ("tree", "depth", "leaves", "rows", "off_leaves", "off_predictions")
+    told = [sorted(map(tuple, f.select(*close).collect())) for f in (found, C.tree_evidence(model, rows, "y", 0.3))]
+    assert told[0] == told[1] and [(r[3], r[4], r[5]) for r in told[0]] == [(3000, 0, 0)] * 5

@@ -108,3 +108,52 @@ def test_bits_of_codes_lead_to_the_same_leaves(monkeypatch):
     by_node = tree.routes(layout)
     assert by_node[-1] is None
     assert (slot_trees._route(routes, codes) == slot_trees._route(by_node, codes)).all()
+
+
+@pytest.mark.parametrize("make", [
+    lambda: M.gbt("y", maxIter=3, maxDepth=4, stepSize=0.3),
+    lambda: M.random_forest("y").setNumTrees(3).setMaxDepth(4),
+])
+def test_sums_on_the_driver_are_those_of_a_shuffle(vectors, make, monkeypatch):
+    """The larger of two children is its parent less the smaller one, and the trees are those that add up every node."""
+    asked, adder = [], slot_trees._Data._adder
+    monkeypatch.setattr(slot_trees._Data, "_adder", lambda self, trees, nodes: asked.append(len(nodes)) or adder(self, trees, nodes))
+    here, few = M.fit(make(), vectors), sum(asked)
+    asked.clear()
+    monkeypatch.setattr(slot_trees, "CELLS", 1)
+    both = M.predict(M.fit(make(), vectors), M.predict(here, vectors, "p1"), "p2")
+    assert both.where("abs(p1 - p2) > 1e-8 * greatest(1, abs(p2))").isEmpty()
+    # The roots of three trees, and below them one of each two nodes.
+    assert 2 * few - 3 == sum(asked)
+
+
+def test_a_level_takes_one_job_of_one_stage(vectors, monkeypatch):
+    """A level had a shuffle, and made the way through a tree once for each node."""
+    made, jobs, routes, collect = [], [], slot_trees._Tree.routes, slot_trees.RDD.collect
+    told = vectors.schema[X.FEATURES].metadata[slot_trees.SLOTS]
+    rows = vectors.select(X.FEATURES, F.col("y").cast("double"))
+    cuts = slot_trees._thresholds(rows, 4000, told["numbers"], 32, 1)
+    data = slot_trees._Data(slot_trees._chunks(rows, 4000, told, cuts), told, cuts, M.gbt("y", maxDepth=6))
+    total = rows.agg(F.sum("y")).first()[0]
+    monkeypatch.setattr(slot_trees._Tree, "routes", lambda self, layout: made.append(1) or routes(self, layout))
+    monkeypatch.setattr(slot_trees.RDD, "collect", lambda self: jobs.append(1) or collect(self))
+    for name in ("reduceByKey", "treeReduce"):
+        monkeypatch.setattr(slot_trees.RDD, name, None)
+    (tree,) = data.grow([(4000.0, total)])
+    assert tree.depth == 6 and len(made) == len(jobs) == 7
+
+
+@pytest.mark.parametrize("depth", [1, 6, 7, 10])
+def test_bands_of_levels_lead_to_the_same_leaves(depth):
+    """Six levels at once and then three at a time, as node by node; some leaves are high up."""
+    told = {"numbers": 1, "size": 1 + 40 + 5, "starts": [1, 41]}
+    layout, rng = slot_trees._Layout(told, [np.arange(8.0)]), np.random.default_rng(7)
+    tree, level = slot_trees._Tree([1.0], [0.0], depth=depth), [0]
+    for _ in range(depth):
+        level = [child for node in level if not node or rng.random() < 0.8 for child in tree.grow(
+            node, (1.0, int(rng.integers(0, 46)), int(rng.integers(0, 8)), bool(rng.integers(0, 2)), 0.5, 0.0)
+        )]
+    codes = layout.encode(np.stack([rng.integers(0, m, 3000) for m in layout.lengths]))
+    routes = tree.routes(layout)
+    assert len(routes[-1]) == 1 + max(0, -(-(depth - 6) // 3))
+    assert (slot_trees._route(routes, codes) == slot_trees._route((*routes[:-1], None), codes)).all()
