@@ -58,7 +58,7 @@ BLOCK = 1 << 16
 #: Arrays are kept as the bytes that Python reads, as every level takes them again.
 HELD = StorageLevel.MEMORY_AND_DISK_DESER
 #: Trees after which what is left is taken from the table again, so that no lineage is longer.
-REBASE = 25
+REBASE = 50
 
 MODELS = {
     DecisionTreeRegressor: DecisionTreeRegressionModel,
@@ -203,6 +203,11 @@ class _Tree:
         ends = (low, top) if max(layout.codes) > COMBINED else None
         return self.depth, group, base, np.concatenate(left), ends, kids, None if ends else self._bands(kids)
 
+    def way(self, layout: _Layout) -> tuple:
+        """The routes as they are sent: bands need none of what goes node by node, and a lineage keeps those of all its trees."""
+        *by_node, bands = self.routes(layout)
+        return (*by_node, None) if bands is None else (*[None] * len(by_node), bands)
+
     def _stretch(self, node: int, layout: _Layout) -> tuple:
         """Group, low and top end of a node's split, and for each code between whether it goes left."""
         j, value = layout.column(self.feature[node])
@@ -416,7 +421,7 @@ class _Data:
 
     def leaf_sums(self, trees: list[_Tree]) -> list[np.ndarray]:
         """Rows, targets and squared targets in each leaf of each tree."""
-        routes = [t.routes(self.layout) for t in trees]
+        routes = [t.way(self.layout) for t in trees]
         scale, draw = self.scale, self.weights()
         sizes = [len(t.left) for t in trees]
 
@@ -464,7 +469,7 @@ class _Data:
         order: dict[int, list[int]] = {}
         for k, i in nodes:
             order.setdefault(k, []).append(i)
-        routes = {k: trees[k].routes(layout) for k in order}
+        routes = {k: trees[k].way(layout) for k in order}
         asked = {k: np.full(len(trees[k].left), -1) for k in order}
         for k, mine in order.items():
             asked[k][mine] = np.arange(len(mine))
@@ -598,22 +603,26 @@ def _keep_better(found: dict, key: tuple[int, int], split: tuple) -> None:
         found[key] = split
 
 
-def _less(chunks: RDD, done: list[tuple[_Tree, float]], layout: _Layout) -> RDD:
-    """What is left of the label after trees with their weights."""
-    steps = [(t.routes(layout), t.value() * weight) for t, weight in done]
+def _sent(spark: SparkSession, tree: _Tree, weight: float, layout: _Layout):
+    """A tree's way and the weighted values of its leaves, sent once: a lineage names it, and every job sends the lineage."""
+    return spark.sparkContext.broadcast((tree.way(layout), tree.value() * weight))
+
+
+def _less(chunks: RDD, steps: list) -> RDD:
+    """What is left of the label after the trees of ``_sent``."""
 
     def take(chunk: tuple) -> tuple:
         cells, rest = chunk
-        for routes, value in steps:
+        for routes, value in (step.value for step in steps):
             rest = rest - value[_route(routes, cells)]
         return cells, rest
 
     return chunks.map(take)
 
 
-def _boost(data: _Data, base: RDD) -> list[tuple[_Tree, float]]:
+def _boost(spark: SparkSession, data: _Data, base: RDD) -> list[tuple[_Tree, float]]:
     """The first tree on the label, each next one on twice what is left, the slope of the squared error."""
-    done, weight, before = [], 1.0, None
+    done, steps, weight, before = [], [], 1.0, None
     blank = _Tree([0.0], [0.0])
     rows, total, _ = data.leaf_sums([blank])[0][:, 0]
     try:
@@ -625,12 +634,16 @@ def _boost(data: _Data, base: RDD) -> list[tuple[_Tree, float]]:
             if k + 1 == data.estimator.getMaxIter():
                 break
             total = tree.total[0] * (1 / data.scale - weight)
-            source, since = (base, done) if (k + 1) % REBASE == 0 else (data.chunks, done[-1:])
-            before, data.chunks = data.chunks, _less(source, since, data.layout).persist(HELD)
+            steps.append(_sent(spark, tree, weight, data.layout))
+            tree.told.clear()
+            source, since = (base, steps[:]) if (k + 1) % REBASE == 0 else (data.chunks, steps[-1:])
+            before, data.chunks = data.chunks, _less(source, since).persist(HELD)
             data.scale, weight = 2.0, data.estimator.getStepSize()
     finally:
         if before is not None:
             before.unpersist()
+        for step in steps:
+            step.destroy()
     return done
 
 
@@ -648,7 +661,7 @@ def fit(estimator, rows: DataFrame):
     data = _Data(base.map(lambda chunk: chunk).persist(HELD), told, cuts, estimator)
     try:
         if isinstance(estimator, GBTRegressor):
-            done = _boost(data, base)
+            done = _boost(spark, data, base)
         else:
             count = estimator.getNumTrees() if isinstance(estimator, RandomForestRegressor) else 1
             data.bagged = count > 1

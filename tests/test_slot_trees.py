@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import functions as F
 
 from lotwise.operators import features as X
@@ -157,3 +158,17 @@ def test_bands_of_levels_lead_to_the_same_leaves(depth):
     routes = tree.routes(layout)
     assert len(routes[-1]) == 1 + max(0, -(-(depth - 6) // 3))
     assert (slot_trees._route(routes, codes) == slot_trees._route((*routes[:-1], None), codes)).all()
+
+
+def test_a_lineage_names_trees_and_does_not_hold_them(spark):
+    """Every job sends the lineage of what is left, which had the ways through all trees since it was begun."""
+    told = {"numbers": 1, "size": 1 + 40 + 5, "starts": [1, 41]}
+    layout, tree = slot_trees._Layout(told, [np.arange(8.0)]), slot_trees._Tree([1.0], [2.0], depth=8)
+    for node in range(255):
+        tree.grow(node, (1.0, node % 46, node % 8, node % 3 == 0, 0.5, 1.0))
+    codes = layout.encode(np.stack([np.arange(3000) % m for m in layout.lengths]))
+    sent = slot_trees._sent(spark, tree, 0.5, layout)
+    left = slot_trees._less(spark.sparkContext.parallelize([(codes, np.zeros(3000))], 1), [sent])
+    assert len(CloudPickleSerializer().dumps(left.func)) < 4000 < len(CloudPickleSerializer().dumps(tree.way(layout)))
+    assert (left.first()[1] == -0.5 * tree.value()[slot_trees._route(tree.routes(layout), codes)]).all()
+    sent.destroy()
