@@ -66,15 +66,25 @@ def _single_point(estimator, point: dict, train, test, fitted) -> list[dict]:
     return [{**point, "train_r2": r2[0], "test_r2": r2[1]}]
 
 
-def _linear_points(estimator, points: Sequence[dict], train, test, fitted) -> list[dict] | None:
+def _at_once(spark: SparkSession, work: Callable, items: Sequence, parallelism: int) -> list:
+    """``work`` on each item in threads. Each call takes its own copy of the thread's properties, which Spark changes while a query runs."""
+    with ThreadPoolExecutor(max(parallelism, 1)) as pool:
+        runs = [inheritable_thread_target(spark)(partial(work, item)) for item in items]
+        return list(pool.map(lambda run: run(), runs))
+
+
+def _linear_points(estimator, points: Sequence[dict], train, test, fitted, parallelism: int) -> list[dict] | None:
     """All points of a linear model from the moments of one pass, and the scores of all from one pass over each side."""
     few = moments.condensed(train) if moments.supports(estimator) else None
     if few is None:
         return None
-    models = {}
-    for i, point in enumerate(points):
-        models[str(i)] = moments.fit(estimator.copy({getattr(estimator, p): v for p, v in point.items()}), few)
-        fitted(point, models[str(i)])
+
+    def one(point: dict) -> Model:
+        model = moments.fit(estimator.copy({getattr(estimator, p): v for p, v in point.items()}), few)
+        fitted(point, model)
+        return model
+
+    models = {str(i): model for i, model in enumerate(_at_once(train.sparkSession, one, points, parallelism))}
     scores = [
         {r["Model"]: r["R2"] for r in leaderboard(models, side, estimator.getLabelCol(), digits=None).collect()} for side in (train, test)
     ]
@@ -173,13 +183,10 @@ def grid_search(
     settings = grid_points({n: v for n, v in grid.items() if not (boosted and n == "maxIter")})
     # With a path each point is scored and written on its own.
     if not path and set(names) <= set(PENALTIES):
-        together = _linear_points(estimator, settings, train, test, fitted)
+        together = _linear_points(estimator, settings, train, test, fitted, parallelism)
         if together is not None:
             return spark.createDataFrame([typed(row) for row in together], schema)
-    with ThreadPoolExecutor(max(parallelism, 1)) as pool:
-        # Each call takes its own copy of the thread's properties, which Spark changes while a query runs.
-        runs = [inheritable_thread_target(spark)(partial(work, setting)) for setting in settings]
-        found = [row for rows in pool.map(lambda run: run(), runs) for row in rows]
+    found = [row for rows in _at_once(spark, work, settings, parallelism) for row in rows]
     order = {tuple(p[n] for n in names): i for i, p in enumerate(grid_points(grid))}
     found.sort(key=lambda row: order[row[: len(names)]])
     return spark.createDataFrame(found, schema)
